@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from factloom.llm import decontaminate, quality_rules
+from factloom.llm import decontaminate, pii, quality_rules
 
 QUERIES = {
+    "op1_pii": pii.op1_pii,
     "op4_quality_rules": quality_rules.op4_quality_rules,
     "op9_decontamination": decontaminate.op9_decontamination,
 }
