@@ -6,18 +6,20 @@
    borrows from the bin that a fixed hash sequence reaches first). BANDS bands of
    ROWS lanes are its bucket keys. At the threshold of 0.75 a pair shares no band
    with a probability of 1e-6. Sets of up to SMALL shingles, for which bins are few,
-   have as keys the shingles of their prefix instead, which is exact.
+   have as keys the rarest shingles, as many as any similar set must share one of,
+   which is exact.
 2. Documents with equal sets become one representative; copies never meet.
 3. In each bucket, one centre gets an edge to each other member: at most one edge
    a row, however large the bucket. Edges are compared first by the lanes of both
    sketches, whose estimate lies far above the bound it is held against for any
    true link, then on the full sets.
 4. Components of the confirmed edges are contracted. A bucket whose members lie in
-   one component is done. In the others, members of different components still
-   have to be compared: directly where a bucket has at most DIRECT of them, else
-   in sub-buckets of those that share a second (and third) band as well. That
-   covers every link that the bands cover: a pair at the threshold shares 12
-   bands on average, and at most two with a probability of 1e-4.
+   one component is done. The others get a second star with another centre, and
+   what is open after that is compared across components: directly where a bucket
+   has at most DIRECT members outside its main component (so at most DIRECT edges
+   a row), else in sub-buckets of members that share a second (and third) band
+   too. A pair at the threshold shares 12 bands on average, and at most two with a
+   probability of 1e-4.
 
 Nothing is collected but counts. Defined cases: null and empty texts have an empty
 set and link with nothing; with fewer than five words the whole sequence is the one
@@ -45,7 +47,7 @@ ROWS = 5
 BANDS = LANES // ROWS
 SMALL = 48
 #: Lanes of 256 that must agree; at a similarity of 0.75, 192 do on average, with a deviation of about 7 to 9.
-AGREE = 136
+AGREE = 144
 #: Members of different components that a bucket compares directly.
 DIRECT = 48
 
@@ -94,8 +96,8 @@ def sketches(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _keys(sets: list[np.ndarray]) -> tuple[list[np.ndarray], list[bytes | None]]:
-    """Bucket keys, and one byte of each lane, of each set."""
+def _keys(sets: list[np.ndarray]) -> tuple[list[np.ndarray], list[bytes | None], list[np.ndarray]]:
+    """Band keys, one byte of each lane, and, of sets that small ones may be similar to, the set itself."""
     keys: list[np.ndarray] = [np.zeros(0, dtype=np.int64)] * len(sets)
     lanes: list[bytes | None] = [None] * len(sets)
     large = [k for k, x in enumerate(sets) if len(x) > SMALL]
@@ -110,37 +112,54 @@ def _keys(sets: list[np.ndarray]) -> tuple[list[np.ndarray], list[bytes | None]]
         small_bytes = (m >> U64(20)).astype(np.uint8)
         for row, k in enumerate(large):
             keys[k], lanes[k] = bands[row].view(np.int64), small_bytes[row].tobytes()
-    for k, x in enumerate(sets):
-        if 0 < len(x) <= SMALL * 100 // PERCENT:
-            prefix = mix(x[: len(x) - -(-PERCENT * len(x) // 100) + 1] ^ U64(0xA5A5A5A5)).view(np.int64)
-            keys[k] = np.concatenate((keys[k], prefix))
-    return keys, lanes
+    none = np.zeros(0, dtype=np.int64)
+    return keys, lanes, [x.view(np.int64) if len(x) <= SMALL * 100 // PERCENT else none for x in sets]
 
 
-_SKETCH = "n_shingles bigint, s1 bigint, s2 bigint, lanes binary, keys array<bigint>"
+_SKETCH = "n_shingles bigint, s1 bigint, s2 bigint, lanes binary, keys array<bigint>, small array<bigint>"
 
 
 def _sketch_table(docs: DataFrame, text: str) -> DataFrame:
-    """(doc_id, n_shingles, s1 and s2: hashes of the set, lanes, keys)."""
+    """(doc_id, n_shingles, s1 and s2: hashes of the set, lanes, keys, small)."""
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, text):
                 sets = shingle_sets(part.column(text))
-                keys, lanes = _keys(sets)
+                keys, lanes, small = _keys(sets)
                 mark = np.array([[int(np.bitwise_xor.reduce(mix(x))) if len(x) else 0, int(np.add.reduce(mix(x + U64(99)))) if len(x) else 0] for x in sets], dtype=U64).reshape(-1, 2).view(np.int64)
-                columns = [part.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), pa.array(mark[:, 0]), pa.array(mark[:, 1]), pa.array(lanes, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "s1", "s2", "lanes", "keys"])
+                columns = [part.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), pa.array(mark[:, 0]), pa.array(mark[:, 1]), pa.array(lanes, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(small, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "s1", "s2", "lanes", "keys", "small"])
 
     schema = T.StructType([docs.schema["doc_id"], *T._parse_datatype_string(_SKETCH).fields])
     return docs.select("doc_id", text).mapInArrow(run, schema)
 
 
-def _stars(buckets: DataFrame) -> DataFrame:
-    """Edges (a, b) from one member of each bucket (key, node, n) to the others whose size fits."""
-    centre = buckets.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", "key").alias("h"), "node", "n")).alias("c"), F.count("*").alias("m")).where("m > 1").select("key", "c.node", "c.n").toDF("key", "centre", "cn")
-    near = buckets.join(centre, "key").where((F.col("node") != F.col("centre")) & _sizes_fit("n", "cn"))
-    return near.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+def _prefix_rows(reps: DataFrame) -> DataFrame:
+    """(key, node) for the rarest shingles of small sets: as many as any similar set must share one of."""
+    rows = reps.where(F.size("small") > 0).select("node", "n", F.explode("small").alias("key")).distinct()
+    counted = rows.join(rows.groupBy("key").agg(F.count("*").alias("m")), "key").where("m > 1 or n < 2")
+    ordered = rows.join(counted.select("key", "m").distinct(), "key", "left").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("m", F.lit(1)).alias("m"), "key"))).alias("x"))
+    length = (F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1).cast("int")
+    return ordered.select(F.explode(F.slice("x", F.lit(1), length)).alias("x"), "node").where("x.m > 1").select("x.key", "node")
+
+
+def _shared_buckets(reps: DataFrame) -> DataFrame:
+    """(key, node, n) of the keys that two representatives or more have; most keys have one, and go here."""
+    rows = reps.select(F.explode("keys").alias("key"), "node")
+    shared = rows.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
+    left = keep(rows.join(shared, "key", "left_semi").unionByName(_prefix_rows(reps)).distinct())
+    return keep(left.join(reps.select("node", "n").distinct(), "node"))
+
+
+def _stars(buckets: DataFrame, salt: int = 0) -> DataFrame:
+    """Edges (a, b) from one member of each bucket (key, node, n) to the others whose size fits, of another component if `root` is there."""
+    rooted = ["root"] if "root" in buckets.columns else []
+    centre = buckets.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", "key", F.lit(salt)).alias("h"), "node", "n", *rooted)).alias("c"), F.count("*").alias("m")).where("m > 1").select("key", *(F.col(f"c.{x}").alias(f"c_{x}") for x in ("node", "n", *rooted)))
+    near = buckets.join(centre, "key").where((F.col("node") != F.col("c_node")) & _sizes_fit("n", "c_n"))
+    if rooted:
+        near = near.where(F.col("root") != F.col("c_root"))
+    return near.select(F.least("node", "c_node").alias("a"), F.greatest("node", "c_node").alias("b")).distinct()
 
 
 def _sizes_fit(x: str, y: str):
@@ -148,15 +167,16 @@ def _sizes_fit(x: str, y: str):
 
 
 def _pairs(buckets: DataFrame) -> DataFrame:
-    """Edges between all members of different components in buckets (key, node, n, root) of bounded size."""
+    """Edges from members outside a bucket's main component to members of other components; (key, node, n, root, main)."""
     other = buckets.select("key", F.col("node").alias("b"), F.col("n").alias("n2"), F.col("root").alias("other"))
-    return buckets.join(other, "key").where((F.col("node") < F.col("b")) & (F.col("root") != F.col("other")) & _sizes_fit("n", "n2")).select(F.col("node").alias("a"), "b").distinct()
+    stray = buckets.where(F.col("root") != F.col("main"))
+    return stray.join(other, "key").where((F.col("root") != F.col("other")) & _sizes_fit("n", "n2")).select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
 
 
 def _agree(edges: DataFrame, reps: DataFrame) -> DataFrame:
     """Edges that both sketches leave possible."""
     own = lambda x: reps.select(F.col("node").alias(x), F.col("lanes").alias(f"lanes_{x}"))
-    wide = edges.join(own("a"), "a").join(own("b"), "b").select("a", "b", "lanes_a", "lanes_b")
+    wide = edges.join(own("a"), "a").join(own("b"), "b").select("a", "b", "lanes_a", "lanes_b").dropDuplicates(["a", "b"])
 
     def run(batches):
         for batch in batches:
@@ -200,31 +220,32 @@ def _confirm(edges: DataFrame, docs: DataFrame, text: str) -> DataFrame:
     return keep(wide.mapInArrow(run, edges.schema))
 
 
+def _mixed(buckets: DataFrame) -> DataFrame:
+    """(key, node, n, root, main, stray) of the buckets with two components or more: the largest one, and how many members lie outside it."""
+    by_root = buckets.groupBy("key", "root").agg(F.count("*").alias("m"))
+    by_key = by_root.groupBy("key").agg(F.max(F.struct("m", "root")).alias("top"), F.sum("m").alias("m")).where("m > top.m").select("key", F.col("top.root").alias("main"), (F.col("m") - F.col("top.m")).alias("stray"))
+    return buckets.join(by_key, "key")
+
+
 def _open_buckets(buckets: DataFrame, links: DataFrame) -> DataFrame:
-    """(key, node, n, root, m) of the buckets whose members lie in two components or more; m: members."""
+    """What _mixed() gives for the components of the links so far."""
     roots = maybe_broadcast(components(links))
-    own = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = own.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("m")).where("low <> high").select("key", "m")
-    return own.join(mixed, "key")
+    return keep(_mixed(buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))))
 
 
 def _candidates_of_rest(rest: DataFrame) -> DataFrame:
-    """Edges between members of different components: directly in small buckets, else where members share further buckets too."""
-    rest = keep(rest)
-    out = _pairs(rest.where(F.col("m") <= DIRECT))
-    large = rest.where(F.col("m") > DIRECT)
+    """Edges between members of different components: directly in buckets with few strays, else where members share further buckets too."""
+    out = _pairs(rest.where(F.col("stray") <= DIRECT))
+    others = rest.groupBy("node").agg(F.collect_set("key").alias("others"))  # at most BANDS and a prefix
     for last in (False, True):
+        large = rest.where(F.col("stray") > DIRECT)
         if large.isEmpty():
             break
-        # a sub-bucket: members of a large bucket that share a second key besides; keys of two sorted, so each pair of keys once
-        own = large.groupBy("node").agg(F.array_sort(F.collect_set("key")).alias("keys"), F.first("n").alias("n"), F.first("root").alias("root"))
-        all_keys = rest.groupBy("node").agg(F.array_sort(F.collect_set("key")).alias("others"))  # at most BANDS and a prefix
-        two = own.join(all_keys, "node").select("node", "n", "root", F.explode("keys").alias("k1"), "others").select("node", "n", "root", "k1", F.explode("others").alias("k2")).where("k1 <> k2")
-        sub = two.select(F.xxhash64(F.least("k1", "k2"), F.greatest("k1", "k2")).alias("key"), "node", "n", "root").distinct()
-        mixed = sub.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("m")).where("low <> high").select("key", "m")
-        sub = keep(sub.join(mixed, "key"))
-        out = out.unionByName(_pairs(sub if last else sub.where(F.col("m") <= DIRECT)))
-        rest, large = sub, sub.where(F.col("m") > DIRECT)
+        # a sub-bucket: those members of a large bucket that share a further open bucket
+        two = large.join(others, "node").select("node", "n", "root", F.col("key").alias("k1"), F.explode("others").alias("k2")).where("k1 <> k2")
+        mixed = F.xxhash64("k1", "k2") if last else F.xxhash64(F.least("k1", "k2"), F.greatest("k1", "k2"))
+        rest = keep(_mixed(two.select(mixed.alias("key"), "node", "n", "root").distinct()))
+        out = out.unionByName(_pairs(rest if last else rest.where(F.col("stray") <= DIRECT)))
     return out.distinct()
 
 
@@ -233,14 +254,13 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     sketch = keep(_sketch_table(docs, text))
     alive = sketch.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     rep_of = keep(alive.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep")))
-    reps = keep(alive.join(rep_of.select(F.col("rep").alias("doc_id"), "s1", "s2"), ["doc_id", "s1", "s2"]).dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "lanes", "keys"))
-    buckets = reps.select(F.explode("keys").alias("key"), "node", "n")
+    rep_ids = maybe_broadcast(rep_of.select(F.col("rep").alias("doc_id"), "s1", "s2"))
+    reps = alive.join(rep_ids, ["doc_id", "s1", "s2"]).select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "lanes", "keys", "small")
+    buckets = _shared_buckets(reps)
     first = _confirm(_agree(_stars(buckets), reps), docs, text)
-    shared = buckets.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
-    buckets = keep(buckets.join(shared, "key"))
-    rest = _agree(_candidates_of_rest(_open_buckets(buckets, first)), reps)
-    second = _confirm(rest, docs, text)
-    roots = components(first.unionByName(second))
+    links = first.unionByName(_confirm(_agree(_stars(_open_buckets(buckets, first), salt=1), reps), docs, text))
+    rest = _candidates_of_rest(_open_buckets(buckets, links))
+    roots = components(links.unionByName(_confirm(_agree(rest, reps), docs, text)))
     of_rep = rep_of.join(roots, rep_of["rep"] == roots["node"], "left").select("s1", "s2", "n_shingles", F.coalesce("root", "rep").alias("component_id"))
     own = sketch.select("doc_id", "n_shingles", "s1", "s2").join(of_rep, ["s1", "s2", "n_shingles"], "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
