@@ -13,8 +13,8 @@ A file (one a task, holding a range of the order) is
 Any zstandard reader gets all ids in one stream; TokenFile reads the tail of a
 file, and then only the frames of the documents asked for.
 
-A text is cut at ASCII white space, each distinct piece of a run of documents is
-encoded once with the tokenizers library, and the ids are put together in numpy.
+A text is cut at ASCII white space, each distinct piece is encoded once in a
+Python worker with the tokenizers library, and the ids are put together in numpy.
 That is what encoding whole texts gives if the tokenizer's matches cross no white
 space, as with those of type Split on classes without it; `whole=True` encodes
 whole texts instead, for other tokenizers.
@@ -35,6 +35,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pafs
 import xxhash
@@ -43,10 +44,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm._shared import shared_dir, table
-from factloom.llm._text import SPACE, raw, slices, words
+from factloom.llm._text import SPACE, hashes, raw, slices, words
 
 FRAME_IDS = 1 << 16
 END_ID = 2
+#: Words that a worker remembers with their ids (about 40 bytes each); then it starts anew.
+CACHE_WORDS = 2_000_000
 _INDEX_MAGIC, _SEEK_MAGIC, _SEEK_END = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 _NULL_ID = np.iinfo(np.int64).min
 
@@ -146,47 +149,92 @@ class TokenFile:
 class Encoder:
     """Texts to ids, each text with the end id behind it."""
 
-    def __init__(self, model: str, end_id: int = END_ID, whole: bool = False):
+    def __init__(self, model: str, end_id: int = END_ID, whole: bool = False, most_words: int = CACHE_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks are the parallelism
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.end_id, self.whole = Tokenizer.from_str(model), end_id, whole
+        self.tokenizer, self.end_id, self.whole, self.most_words = Tokenizer.from_str(model), end_id, whole, most_words
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
+        # an added token that is matched in raw text parts pieces that are encoded in one call
+        parts = [(k, t.content) for k, t in sorted(self.tokenizer.get_added_tokens_decoder().items()) if t.special and not (t.normalized or t.lstrip or t.rstrip or t.single_word)]
+        self.part_id, self.part = parts[-1] if parts else (None, None)
+        self._clear()
+
+    def _clear(self) -> None:
+        self.known, self.check = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint64)
+        self.at, self.count, self.flat = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint32)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in one array, and where each text's begin."""
-        ids = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-        flat = np.fromiter((i for x in ids for i in x), dtype=np.uint32, count=int(size.sum()))
-        return flat, np.concatenate(([0], np.cumsum(size)))
+        if self.part is None or any(self.part in x for x in texts):
+            ids = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+            return np.fromiter((i for x in ids for i in x), dtype=np.uint32, count=int(size.sum())), np.concatenate(([0], np.cumsum(size)))
+        runs = [self.part.join(texts[k : k + 500]) for k in range(0, len(texts), 500)]
+        if not runs:
+            return np.zeros(0, dtype=np.uint32), np.zeros(1, dtype=np.int64)
+        flat = np.concatenate([np.array([*x.ids, self.part_id], dtype=np.uint32) for x in self.tokenizer.encode_batch_fast(runs, add_special_tokens=False)])
+        ends = flat == self.part_id
+        return flat[~ends], np.concatenate(([0], np.flatnonzero(ends) - np.arange(int(ends.sum()))))
+
+    def _words(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Words to ids: the place of each word, and where the ids of each place begin and how many they are in self.flat.
+
+        Words are told apart by 128 bits of hashes; those met before in this worker are not encoded again.
+        """
+        place, one = pd.factorize(hashes(data, start, end))
+        at = np.empty(len(one), dtype=np.int64)
+        at[place[::-1]] = np.arange(len(place))[::-1]
+        two = hashes(data, start[at], end[at], seed=1)
+        if len(self.known) + len(one) > self.most_words:
+            self._clear()
+        slot = np.minimum(np.searchsorted(self.known, one), max(0, len(self.known) - 1))
+        new = np.flatnonzero((self.known[slot] != one) | (self.check[slot] != two)) if len(self.known) else np.arange(len(one))
+        if len(new):
+            text = data.tobytes()
+            flat, first = self.encode([text[a:b].decode() for a, b in zip(start[at[new]].tolist(), end[at[new]].tolist())])
+            base = len(self.flat)
+            self.flat = np.concatenate((self.flat, flat))
+            order = np.argsort(one[new])
+            to = np.searchsorted(self.known, one[new][order])  # of equal first hashes the newest comes first
+            self.known, self.check = np.insert(self.known, to, one[new][order]), np.insert(self.check, to, two[new][order])
+            self.at, self.count = np.insert(self.at, to, (first[:-1] + base)[order]), np.insert(self.count, to, np.diff(first)[order])
+            slot = np.searchsorted(self.known, one)
+        return place, self.at[slot], self.count[slot]
 
     def column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """The same for an Arrow column, with end ids."""
+        """All ids of an Arrow column in one array, with end ids, and where each row's begin."""
         if self.whole:
-            flat, first = self.encode([x or "" for x in texts.to_pylist()])
-            piece = np.arange(len(texts))
+            source, first = self.encode([x or "" for x in texts.to_pylist()])
+            piece, at, count = np.arange(len(texts)), first[:-1], np.diff(first)
             pieces = np.arange(len(texts) + 1)
         else:
             data, rows = raw(texts)
             start, end, pieces = words(data, rows, ~SPACE)
-            size = end - start
-            at = np.concatenate(([0], np.cumsum(size)))
-            inside = ~SPACE[data[: int(rows[-1])]]
-            column = pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(at.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data[: int(rows[-1])][inside])))
-            coded = column.dictionary_encode()
-            piece = coded.indices.to_numpy()
-            flat, first = self.encode(coded.dictionary.to_pylist())
-        count = np.diff(first)[piece]
+            piece, at, count = self._words(data, start, end)
+            source = self.flat
+        count, at = count[piece], at[piece]
         before = np.concatenate(([0], np.cumsum(count)))
         row_first = before[pieces] + np.arange(len(pieces))  # each row before has one end id
         out = np.full(int(before[-1]) + len(pieces) - 1, self.end_id, dtype=np.uint32)
         row = np.repeat(np.arange(len(pieces) - 1), np.diff(pieces))
-        to = np.arange(int(before[-1])) + np.repeat(row, count)
-        out[to] = flat[np.arange(int(before[-1])) - np.repeat(before[:-1] - first[:-1][piece], count)]
+        out[np.arange(int(before[-1])) + np.repeat(row, count)] = source[np.arange(int(before[-1])) - np.repeat(before[:-1] - at, count)]
         return out, row_first
 
 
+_ENCODERS: dict[tuple, Encoder] = {}
+
+
+def encoder(model: str, end_id: int, whole: bool) -> Encoder:
+    """The encoder of this Python worker, kept from task to task with the words it has met."""
+    key = (xxhash.xxh64_intdigest(model), end_id, whole)
+    if key not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[key] = Encoder(model, end_id, whole)
+    return _ENCODERS[key]
+
+
 _SHARD_SCHEMA = "path string, first_key bigint, n_docs bigint, n_ids bigint"
 
 
@@ -200,20 +248,19 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, order:
     ordered = docs.select("doc_id", text, *[c for c in order if c != "doc_id"]).repartitionByRange(*order).sortWithinPartitions(*order, text)
 
     def write(batches):
-        encoder = writer = path = None
+        writer = path = None
         n_docs = n_ids = 0
         for batch in batches:
             for part in slices(batch, text):
                 if writer is None:
                     from pyspark import TaskContext
 
-                    encoder = Encoder(model.value, end_id, whole)
                     fs, base = pafs.FileSystem.from_uri(folder)
                     fs.create_dir(base, recursive=True)
                     number = TaskContext.get().partitionId()
                     path = f"{folder}/{number:08d}-{uuid.uuid4().hex}.tok.zst"
                     writer = TokenWriter(fs.open_output_stream(pafs.FileSystem.from_uri(path)[1], compression=None))
-                ids, first = encoder.column(part.column(text))
+                ids, first = encoder(model.value, end_id, whole).column(part.column(text))
                 for k, doc in enumerate(part.column("doc_id").to_pylist()):
                     writer.add(doc, ids[first[k] : first[k + 1]])
                 n_docs, n_ids = n_docs + part.num_rows, n_ids + len(ids)
