@@ -48,6 +48,8 @@ HOT_SHARE = 2e-6
 HOT_LEAST = 2000
 #: Packed words of a bucket, on average.
 BUCKET_BYTES = 16 << 20
+#: Text that a task cuts into super-k-mers at a time.
+RUN_BYTES = 6 << 20
 _STRING_BYTES = 120
 _LAST = np.iinfo(np.int64).max
 
@@ -101,7 +103,7 @@ def _hot_minimisers(docs: DataFrame, text: str) -> tuple[np.ndarray, int]:
 
     def count(batches):
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch, text, RUN_BYTES):
                 w = _Windows(part, text)
                 keys, n = np.unique(w.minimiser[w.open], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([None, *keys.view(np.int64).tolist()], pa.int64()), pa.array(np.concatenate(([len(w.open)], n)))], ["minimiser", "n"])
@@ -196,7 +198,7 @@ def repeated_ranges(docs: DataFrame, text: str = "text") -> DataFrame:
 
     def send(batches):
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch, text, RUN_BYTES):
                 rows = _map(part, text, hot_sent.value, buckets)
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.bool_(), pa.binary()))], ["bucket", "repeats", "blob"])
 
@@ -222,13 +224,31 @@ def repeated_ranges(docs: DataFrame, text: str = "text") -> DataFrame:
     return packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(compare, _RANGE_SCHEMA)
 
 
+def _merged(ranges: DataFrame) -> DataFrame:
+    """(doc_id, ranges): the ranges of each document, those that touch put together."""
+
+    def merge(batches):
+        for batch in batches:
+            out = []
+            for own in batch.column("ranges").to_pylist():
+                merged: list[dict] = []
+                for x in sorted(own, key=lambda x: x["first"]):
+                    if merged and x["first"] <= merged[-1]["first"] + merged[-1]["n"]:
+                        merged[-1]["n"] = max(merged[-1]["n"], x["first"] + x["n"] - merged[-1]["first"])
+                    else:
+                        merged.append(x)
+                out.append(merged)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.list_(pa.struct([("first", pa.int64()), ("n", pa.int64())])))], ["doc_id", "ranges"])
+
+    return ranges.groupBy("doc_id").agg(F.collect_list(F.struct("first", "n")).alias("ranges")).mapInArrow(merge, "doc_id bigint, ranges array<struct<first: bigint, n: bigint>>")
+
+
 def remove_repeats(docs: DataFrame, text: str = "text", with_text: bool = False) -> DataFrame:
     """docs without the text, with n_words, n_removed and kept_sha256, and with_text also kept_text: the kept words joined by spaces."""
     made = {"n_words": pa.int64(), "n_removed": pa.int64(), "kept_sha256": pa.string()} | ({"kept_text": pa.string()} if with_text else {})
     others = [c for c in docs.columns if c not in (text, *made, "__ranges")]
-    ranges = keep(repeated_ranges(docs, text))
-    n = ranges.limit(BROADCAST_ROWS + 1).count()
-    of_doc = ranges.groupBy("doc_id").agg(F.collect_list(F.struct("first", "n")).alias("__ranges")).withColumnRenamed("doc_id", "__id")
+    of_doc = keep(_merged(repeated_ranges(docs, text)).withColumnRenamed("doc_id", "__id").withColumnRenamed("ranges", "__ranges"))
+    n = of_doc.agg(F.sum(F.size("__ranges"))).first()[0] or 0
     own = docs.select(*others, text).withColumn("__id", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST)))
     joined = own.join(F.broadcast(of_doc) if n <= BROADCAST_ROWS else of_doc.hint("merge"), "__id", "left").select(*others, text, "__ranges")
 
