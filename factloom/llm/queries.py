@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from factloom.llm import decontaminate, near_dedup, pii, quality_rules, substring_dedup, token_files
+from factloom.llm import decontaminate, mixing, near_dedup, pii, quality_rules, substring_dedup, token_files
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
+    "op2_mixing": mixing.op2_mixing,
     "op3_substring_dedup": substring_dedup.op3_substring_dedup,
     "op4_quality_rules": quality_rules.op4_quality_rules,
     "op5_token_files": token_files.op5_token_files,
     "op6_near_dedup": near_dedup.op6_near_dedup,
     "op9_decontamination": decontaminate.op9_decontamination,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_mixing": mixing.OP2_SQL,
+}
