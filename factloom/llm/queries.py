@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from factloom.llm import decontaminate, mixing, near_dedup, pii, quality_rules, substring_dedup, token_files
+from factloom.llm import decontaminate, mixing, near_dedup, pii, quality_classifier, quality_rules, substring_dedup, token_files
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_quality_rules": quality_rules.op4_quality_rules,
     "op5_token_files": token_files.op5_token_files,
     "op6_near_dedup": near_dedup.op6_near_dedup,
+    "op7_quality_classifier": quality_classifier.op7_quality_classifier,
     "op9_decontamination": decontaminate.op9_decontamination,
 }
 ORACLE_SQL: dict[str, str] = {
