@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from factloom.llm import decontaminate, mixing, near_dedup, pii, quality_classifier, quality_rules, substring_dedup, token_files
+from factloom.llm import decontaminate, mixing, near_dedup, pii, quality_classifier, quality_rules, substring_dedup, token_files, toxicity
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_near_dedup": near_dedup.op6_near_dedup,
     "op7_quality_classifier": quality_classifier.op7_quality_classifier,
     "op9_decontamination": decontaminate.op9_decontamination,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_mixing": mixing.OP2_SQL,
