@@ -14,12 +14,12 @@
    sketches, whose estimate lies far above the bound it is held against for any
    true link, then on the full sets.
 4. Components of the confirmed edges are contracted. A bucket whose members lie in
-   one component is done. The others get a second star with another centre, and
-   what is open after that is compared across components: directly where a bucket
-   has at most DIRECT members outside its main component (so at most DIRECT edges
-   a row), else in sub-buckets of members that share a second (and third) band
-   too. A pair at the threshold shares 12 bands on average, and at most two with a
-   probability of 1e-4.
+   one component is done. In the others, members outside the main component (strays)
+   are compared with the rest by their lanes, within tasks that hold a bounded part
+   of a bucket, and only pairs that may be similar leave them: directly where a
+   bucket has at most DIRECT strays (so a row meets at most DIRECT others), else in
+   sub-buckets of members that share a second (and third) band too. A pair at the
+   threshold shares 12 bands on average, and at most two with a probability of 1e-4.
 
 Nothing is collected but counts. Defined cases: null and empty texts have an empty
 set and link with nothing; with fewer than five words the whole sequence is the one
@@ -47,9 +47,11 @@ ROWS = 5
 BANDS = LANES // ROWS
 SMALL = 48
 #: Lanes of 256 that must agree; at a similarity of 0.75, 192 do on average, with a deviation of about 7 to 9.
-AGREE = 144
-#: Members of different components that a bucket compares directly.
-DIRECT = 48
+AGREE = 158
+#: Members outside its main component up to which a bucket is compared directly.
+DIRECT = 256
+#: Members of a bucket that one task compares with its strays at a time.
+PART = 4096
 
 _FAMILY = [U64(0x9E3779B97F4A7C15), U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB), U64(0xD6E8FEB86659FD93)]
 _ORDER = np.random.default_rng(7).permutation(LANES)
@@ -152,25 +154,73 @@ def _shared_buckets(reps: DataFrame) -> DataFrame:
     return keep(left.join(reps.select("node", "n").distinct(), "node"))
 
 
-def _stars(buckets: DataFrame, salt: int = 0) -> DataFrame:
-    """Edges (a, b) from one member of each bucket (key, node, n) to the others whose size fits, of another component if `root` is there."""
-    rooted = ["root"] if "root" in buckets.columns else []
-    centre = buckets.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", "key", F.lit(salt)).alias("h"), "node", "n", *rooted)).alias("c"), F.count("*").alias("m")).where("m > 1").select("key", *(F.col(f"c.{x}").alias(f"c_{x}") for x in ("node", "n", *rooted)))
-    near = buckets.join(centre, "key").where((F.col("node") != F.col("c_node")) & _sizes_fit("n", "c_n"))
-    if rooted:
-        near = near.where(F.col("root") != F.col("c_root"))
-    return near.select(F.least("node", "c_node").alias("a"), F.greatest("node", "c_node").alias("b")).distinct()
+def _stars(buckets: DataFrame) -> DataFrame:
+    """Edges (a, b) from one member of each bucket (key, node, n) to the others whose size fits."""
+    centre = buckets.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", "key").alias("h"), "node", "n")).alias("c"), F.count("*").alias("m")).where("m > 1").select("key", F.col("c.node").alias("centre"), F.col("c.n").alias("centre_n"))
+    near = buckets.join(centre, "key").where((F.col("node") != F.col("centre")) & _sizes_fit("n", "centre_n"))
+    return near.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
 
 
 def _sizes_fit(x: str, y: str):
     return (100 * F.least(x, y) >= PERCENT * F.greatest(x, y))
 
 
-def _pairs(buckets: DataFrame) -> DataFrame:
-    """Edges from members outside a bucket's main component to members of other components; (key, node, n, root, main)."""
-    other = buckets.select("key", F.col("node").alias("b"), F.col("n").alias("n2"), F.col("root").alias("other"))
-    stray = buckets.where(F.col("root") != F.col("main"))
-    return stray.join(other, "key").where((F.col("root") != F.col("other")) & _sizes_fit("n", "n2")).select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
+def _compare(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of one stray and one row of a bucket that differ in component, fit in size and may be similar by their lanes."""
+    stray = rows["stray"].to_numpy()
+    node, n, root = (rows[c].to_numpy() for c in ("node", "n", "root"))
+    has = rows["lanes"].is_valid().to_numpy()
+    lanes = np.zeros((len(node), LANES), dtype=np.uint8)
+    if has.any():
+        lanes[has] = np.frombuffer(b"".join(x for x in rows["lanes"].to_pylist() if x is not None), dtype=np.uint8).reshape(-1, LANES)
+    members = np.flatnonzero(~stray)
+    out = []
+    for s in np.flatnonzero(stray):
+        ok = (root[members] != root[s]) & (100 * np.minimum(n[members], n[s]) >= PERCENT * np.maximum(n[members], n[s]))
+        own = members[ok]
+        if has[s] and len(own):
+            own = own[~has[own] | ((lanes[own] == lanes[s]).sum(axis=1) >= AGREE)]
+        out.append((np.full(len(own), node[s]), node[own]))
+    return tuple(np.concatenate([x[k] for x in out]) if out else np.zeros(0, dtype=np.int64) for k in (0, 1))
+
+
+def _pairs(buckets: DataFrame, reps: DataFrame) -> DataFrame:
+    """Candidate edges from members outside a bucket's main component to members of other components.
+
+    buckets: (key, node, n, root, main, stray, m). A bucket is dealt out in parts of
+    PART members, each with the bucket's strays; pairs are compared within a task, and
+    only those that may be similar leave it.
+    """
+    wide = buckets.join(reps.select("node", "lanes").dropDuplicates(["node"]), "node")
+    parts = F.ceil(F.col("m") / PART).cast("int")
+    members = wide.select("key", F.pmod(F.hash("node"), parts).alias("salt"), F.lit(False).alias("stray"), "node", "n", "root", "lanes")
+    strays = wide.where(F.col("root") != F.col("main")).select("key", F.explode(F.sequence(F.lit(0), parts - 1)).alias("salt"), F.lit(True).alias("stray"), "node", "n", "root", "lanes")
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            now = pa.Table.from_batches([batch])
+            held = now if held is None else pa.concat_tables([held, now])
+            if held.num_rows >= 2 * PART:
+                key, salt = held["key"].to_numpy(), held["salt"].to_numpy()
+                last = int(np.flatnonzero((key != key[-1]) | (salt != salt[-1]))[-1]) + 1 if (key[0] != key[-1] or salt[0] != salt[-1]) else 0
+                if last:
+                    yield from groups(held.slice(0, last))
+                    held = held.slice(last)
+        if held is not None and held.num_rows:
+            yield from groups(held)
+
+    def groups(rows):
+        rows = rows.combine_chunks()
+        key, salt = rows["key"].to_numpy(), rows["salt"].to_numpy()
+        cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]) | (salt[1:] != salt[:-1])) + 1).tolist(), len(key)]
+        found = [_compare(rows.slice(a, b - a)) for a, b in zip(cuts, cuts[1:])]
+        a, b = (np.concatenate([x[k] for x in found]) for k in (0, 1))
+        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+    dealt = members.unionByName(strays).repartition("key", "salt").sortWithinPartitions("key", "salt")
+    return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def _agree(edges: DataFrame, reps: DataFrame) -> DataFrame:
@@ -221,9 +271,9 @@ def _confirm(edges: DataFrame, docs: DataFrame, text: str) -> DataFrame:
 
 
 def _mixed(buckets: DataFrame) -> DataFrame:
-    """(key, node, n, root, main, stray) of the buckets with two components or more: the largest one, and how many members lie outside it."""
+    """(key, node, n, root, m, main, stray) of the buckets with two components or more: members, the largest component, and how many lie outside it."""
     by_root = buckets.groupBy("key", "root").agg(F.count("*").alias("m"))
-    by_key = by_root.groupBy("key").agg(F.max(F.struct("m", "root")).alias("top"), F.sum("m").alias("m")).where("m > top.m").select("key", F.col("top.root").alias("main"), (F.col("m") - F.col("top.m")).alias("stray"))
+    by_key = by_root.groupBy("key").agg(F.max(F.struct("m", "root")).alias("top"), F.sum("m").alias("m")).where("m > top.m").select("key", "m", F.col("top.root").alias("main"), (F.col("m") - F.col("top.m")).alias("stray"))
     return buckets.join(by_key, "key")
 
 
@@ -233,9 +283,9 @@ def _open_buckets(buckets: DataFrame, links: DataFrame) -> DataFrame:
     return keep(_mixed(buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))))
 
 
-def _candidates_of_rest(rest: DataFrame) -> DataFrame:
+def _candidates_of_rest(rest: DataFrame, reps: DataFrame) -> DataFrame:
     """Edges between members of different components: directly in buckets with few strays, else where members share further buckets too."""
-    out = _pairs(rest.where(F.col("stray") <= DIRECT))
+    out = _pairs(rest.where(F.col("stray") <= DIRECT), reps)
     others = rest.groupBy("node").agg(F.collect_set("key").alias("others"))  # at most BANDS and a prefix
     for last in (False, True):
         large = rest.where(F.col("stray") > DIRECT)
@@ -245,7 +295,7 @@ def _candidates_of_rest(rest: DataFrame) -> DataFrame:
         two = large.join(others, "node").select("node", "n", "root", F.col("key").alias("k1"), F.explode("others").alias("k2")).where("k1 <> k2")
         mixed = F.xxhash64("k1", "k2") if last else F.xxhash64(F.least("k1", "k2"), F.greatest("k1", "k2"))
         rest = keep(_mixed(two.select(mixed.alias("key"), "node", "n", "root").distinct()))
-        out = out.unionByName(_pairs(rest if last else rest.where(F.col("stray") <= DIRECT)))
+        out = out.unionByName(_pairs(rest if last else rest.where(F.col("stray") <= DIRECT), reps))
     return out.distinct()
 
 
@@ -258,9 +308,8 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     reps = alive.join(rep_ids, ["doc_id", "s1", "s2"]).select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "lanes", "keys", "small")
     buckets = _shared_buckets(reps)
     first = _confirm(_agree(_stars(buckets), reps), docs, text)
-    links = first.unionByName(_confirm(_agree(_stars(_open_buckets(buckets, first), salt=1), reps), docs, text))
-    rest = _candidates_of_rest(_open_buckets(buckets, links))
-    roots = components(links.unionByName(_confirm(_agree(rest, reps), docs, text)))
+    rest = _candidates_of_rest(_open_buckets(buckets, first), reps)
+    roots = components(first.unionByName(_confirm(rest, docs, text)))
     of_rep = rep_of.join(roots, rep_of["rep"] == roots["node"], "left").select("s1", "s2", "n_shingles", F.coalesce("root", "rep").alias("component_id"))
     own = sketch.select("doc_id", "n_shingles", "s1", "s2").join(of_rep, ["s1", "s2", "n_shingles"], "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
