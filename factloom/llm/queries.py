@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from factloom.llm import decontaminate, mixing, near_dedup, pii, quality_classifier, quality_rules, substring_dedup, token_files, toxicity
+from factloom.llm import decontaminate, mixing, near_dedup, pii, quality_classifier, quality_rules, substring_dedup, token_files, toxicity, warc
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_token_files": token_files.op5_token_files,
     "op6_near_dedup": near_dedup.op6_near_dedup,
     "op7_quality_classifier": quality_classifier.op7_quality_classifier,
+    "op8_warc": warc.op8_warc,
     "op9_decontamination": decontaminate.op9_decontamination,
     "op10_toxicity": toxicity.op10_toxicity,
 }
