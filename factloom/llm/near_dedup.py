@@ -174,12 +174,24 @@ def _compare(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     if has.any():
         lanes[has] = np.frombuffer(b"".join(x for x in rows["lanes"].to_pylist() if x is not None), dtype=np.uint8).reshape(-1, LANES)
     members = np.flatnonzero(~stray)
+    # a pair that shares several buckets leaves only that of the smallest key
+    others = rows["keys"].combine_chunks()
+    first, flat = others.offsets.to_numpy(), others.values.to_numpy()
+    width = int(np.diff(first).max())
+    earlier = np.full((len(node), width), rows["key"][0].as_py(), dtype=np.int64)
+    at = np.arange(width)[None, :] < np.diff(first)[:, None]
+    earlier[at] = flat[first[0] : first[-1]]
+    key = earlier.dtype.type(rows["key"][0].as_py())
     out = []
     for s in np.flatnonzero(stray):
         ok = (root[members] != root[s]) & (100 * np.minimum(n[members], n[s]) >= PERCENT * np.maximum(n[members], n[s]))
         own = members[ok]
         if has[s] and len(own):
             own = own[~has[own] | ((lanes[own] == lanes[s]).sum(axis=1) >= AGREE)]
+        if len(own):
+            before = flat[first[s] : first[s + 1]]
+            before = before[before < key]
+            own = own[~np.isin(earlier[own], before).any(axis=1)] if len(before) else own
         out.append((np.full(len(own), node[s]), node[own]))
     return tuple(np.concatenate([x[k] for x in out]) if out else np.zeros(0, dtype=np.int64) for k in (0, 1))
 
@@ -191,10 +203,11 @@ def _pairs(buckets: DataFrame, reps: DataFrame) -> DataFrame:
     PART members, each with the bucket's strays; pairs are compared within a task, and
     only those that may be similar leave it.
     """
-    wide = buckets.join(reps.select("node", "lanes").dropDuplicates(["node"]), "node")
+    keys = buckets.groupBy("node").agg(F.array_sort(F.collect_set("key")).alias("keys"))  # at most BANDS and a prefix, or pairs of these
+    wide = buckets.join(reps.select("node", "lanes").dropDuplicates(["node"]), "node").join(keys, "node")
     parts = F.ceil(F.col("m") / PART).cast("int")
-    members = wide.select("key", F.pmod(F.hash("node"), parts).alias("salt"), F.lit(False).alias("stray"), "node", "n", "root", "lanes")
-    strays = wide.where(F.col("root") != F.col("main")).select("key", F.explode(F.sequence(F.lit(0), parts - 1)).alias("salt"), F.lit(True).alias("stray"), "node", "n", "root", "lanes")
+    members = wide.select("key", F.pmod(F.hash("node"), parts).alias("salt"), F.lit(False).alias("stray"), "node", "n", "root", "lanes", "keys")
+    strays = wide.where(F.col("root") != F.col("main")).select("key", F.explode(F.sequence(F.lit(0), parts - 1)).alias("salt"), F.lit(True).alias("stray"), "node", "n", "root", "lanes", "keys")
 
     def run(batches):
         held = None
