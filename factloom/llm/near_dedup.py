@@ -24,7 +24,8 @@
 Nothing is collected but counts. Defined cases: null and empty texts have an empty
 set and link with nothing; with fewer than five words the whole sequence is the one
 shingle; a null doc_id links with nothing; rows that share a doc_id are repeats of
-one document; extra columns stay, but for those with names of output columns.
+one document; other columns are not read, and drop_near_duplicates() leaves them as
+they are; doc_id is a whole number.
 """
 
 from __future__ import annotations
@@ -49,7 +50,7 @@ SMALL = 48
 #: Lanes of 256 that must agree; at a similarity of 0.75, 192 do on average, with a deviation of about 7 to 9.
 AGREE = 158
 #: Members outside its main component up to which a bucket is compared directly.
-DIRECT = 256
+DIRECT = 2048
 #: Members of a bucket that one task compares with its strays at a time.
 PART = 4096
 
@@ -177,7 +178,7 @@ def _compare(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     # a pair that shares several buckets leaves only that of the smallest key
     others = rows["keys"].combine_chunks()
     first, flat = others.offsets.to_numpy(), others.values.to_numpy()
-    width = int(np.diff(first).max())
+    width = max(1, int(np.diff(first).max()))
     earlier = np.full((len(node), width), rows["key"][0].as_py(), dtype=np.int64)
     at = np.arange(width)[None, :] < np.diff(first)[:, None]
     earlier[at] = flat[first[0] : first[-1]]
@@ -196,15 +197,16 @@ def _compare(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.concatenate([x[k] for x in out]) if out else np.zeros(0, dtype=np.int64) for k in (0, 1))
 
 
-def _pairs(buckets: DataFrame, reps: DataFrame) -> DataFrame:
+def _pairs(buckets: DataFrame, reps: DataFrame, once: bool = True) -> DataFrame:
     """Candidate edges from members outside a bucket's main component to members of other components.
 
     buckets: (key, node, n, root, main, stray, m). A bucket is dealt out in parts of
     PART members, each with the bucket's strays; pairs are compared within a task, and
-    only those that may be similar leave it.
+    only those that may be similar leave it; with once, from the first bucket they share.
     """
-    keys = buckets.groupBy("node").agg(F.array_sort(F.collect_set("key")).alias("keys"))  # at most BANDS and a prefix, or pairs of these
-    wide = buckets.join(reps.select("node", "lanes").dropDuplicates(["node"]), "node").join(keys, "node")
+    keys = buckets.groupBy("node").agg(F.array_sort(F.collect_set("key")).alias("keys"))  # at most BANDS and a prefix
+    wide = buckets.join(reps.select("node", "lanes").dropDuplicates(["node"]), "node")
+    wide = wide.join(keys, "node") if once else wide.withColumn("keys", F.array().cast("array<bigint>"))
     parts = F.ceil(F.col("m") / PART).cast("int")
     members = wide.select("key", F.pmod(F.hash("node"), parts).alias("salt"), F.lit(False).alias("stray"), "node", "n", "root", "lanes", "keys")
     strays = wide.where(F.col("root") != F.col("main")).select("key", F.explode(F.sequence(F.lit(0), parts - 1)).alias("salt"), F.lit(True).alias("stray"), "node", "n", "root", "lanes", "keys")
@@ -308,12 +310,13 @@ def _candidates_of_rest(rest: DataFrame, reps: DataFrame) -> DataFrame:
         two = large.join(others, "node").select("node", "n", "root", F.col("key").alias("k1"), F.explode("others").alias("k2")).where("k1 <> k2")
         mixed = F.xxhash64("k1", "k2") if last else F.xxhash64(F.least("k1", "k2"), F.greatest("k1", "k2"))
         rest = keep(_mixed(two.select(mixed.alias("key"), "node", "n", "root").distinct()))
-        out = out.unionByName(_pairs(rest if last else rest.where(F.col("stray") <= DIRECT), reps))
+        out = out.unionByName(_pairs(rest if last else rest.where(F.col("stray") <= DIRECT), reps, once=False))
     return out.distinct()
 
 
 def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs (without the text) with n_shingles, component_id and kept."""
+    """(doc_id, n_shingles, component_id, kept) for each row of docs; other columns are not read."""
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text)
     sketch = keep(_sketch_table(docs, text))
     alive = sketch.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     rep_of = keep(alive.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep")))
@@ -325,14 +328,14 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     roots = components(first.unionByName(_confirm(rest, docs, text)))
     of_rep = rep_of.join(roots, rep_of["rep"] == roots["node"], "left").select("s1", "s2", "n_shingles", F.coalesce("root", "rep").alias("component_id"))
     own = sketch.select("doc_id", "n_shingles", "s1", "s2").join(of_rep, ["s1", "s2", "n_shingles"], "left")
-    component = F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
+    component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
     return own.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def drop_near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs of which one of each group stays, the one with the smallest doc_id."""
-    gone = keep(near_duplicates(docs, text).where(~F.col("kept")).select("doc_id").distinct())
-    return docs.join(maybe_broadcast(gone), "doc_id", "left_anti").select(*docs.columns)
+    gone = keep(near_duplicates(docs, text).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct())
+    return docs.join(maybe_broadcast(gone), F.col("doc_id") == F.col("__gone"), "left_anti").select(*docs.columns)
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
