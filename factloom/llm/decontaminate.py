@@ -208,13 +208,15 @@ def digest(items: Column) -> Column:
 
 
 def remove_benchmark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs (doc_id, text, n_chars, ...) without the benchmark's passages; a document of which no word stays is dropped."""
-    found = find_benchmark(docs, benchmark, keep_text=True)
-    emptied = (F.col("n_hit") > 0) & (F.col("n_hit") == F.col("n_words"))
-    out = found.where(~emptied).withColumn("text", F.when(F.col("n_hit") > 0, F.col("clean_text")).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_hit") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*[F.col(c) for c in docs.columns])
+    """docs (doc_id, text, ...) without the benchmark's passages, n_chars following if it is there; a document of which no word stays is dropped."""
+    others = [c for c in docs.columns if c != "text"]
+    found = find_benchmark(docs.select(F.struct(*others).alias("__row"), "text"), benchmark, keep_text=True)
+    cut = F.col("n_hit") > 0
+    kept = found.where(~cut | (F.col("n_hit") < F.col("n_words"))).withColumn("text", F.when(cut, F.col("clean_text")).otherwise(F.col("text")))
+    value = {c: F.col(f"__row.`{c}`") for c in others} | {"text": F.col("text")}
+    if "n_chars" in others:
+        value["n_chars"] = F.when(cut, F.length("text").cast("long")).otherwise(value["n_chars"])
+    return kept.select(*[value[c].alias(c) for c in docs.columns])
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

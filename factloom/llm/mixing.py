@@ -78,7 +78,8 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_docs: in
     """
     others = [c for c in docs.columns if c not in _OUT]
     digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    rows = docs.select(*others).withColumns({"__source": F.coalesce(F.col("source"), F.lit("")), "__md5": digest})
+    # other columns travel as one, so that their names cannot meet those used here
+    rows = docs.select(F.struct(*others).alias("__row"), F.coalesce(F.col("source"), F.lit("")).alias("__source"), digest.alias("__md5"), F.col("doc_id").alias("__id"))
     counts = docs.select(F.coalesce(F.col("source"), F.lit("")).alias("source")).groupBy("source").agg(F.count("*").alias("n"))
     n, sources = counts.agg(F.sum("n"), F.count("*")).first()
     if sources > SOURCES:
@@ -100,13 +101,13 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_docs: in
     rows = rows.withColumn("__prefix", F.substring("__md5", 1, digits))
     by_prefix = docs.select(F.coalesce(F.col("source"), F.lit("")).alias("__source"), F.substring(digest, 1, digits).alias("__prefix")).groupBy("__source", "__prefix").agg(F.count("*").alias("m"))
     before = by_prefix.withColumn("__before", F.sum("m").over(Window.partitionBy("__source").orderBy("__prefix")) - F.col("m")).drop("m")
-    in_prefix = F.row_number().over(Window.partitionBy("__source", "__prefix").orderBy("__md5", "doc_id")) - 1
+    in_prefix = F.row_number().over(Window.partitionBy("__source", "__prefix").orderBy("__md5", "__id")) - 1
     ranked = rows.withColumn("__n", in_prefix).join(before, ["__source", "__prefix"]).withColumn("__rank", F.col("__before") + F.col("__n"))
     shared = F.broadcast(schedule.select("__source", "q").distinct())
     blocks = ranked.join(shared, "__source", "left").withColumns({"block": F.expr(f"__rank div {block_docs}"), "pos": F.expr(f"cast(__rank % {block_docs} AS int)")}).withColumn("k", F.expr("cast(block % q AS int)"))
     placed = blocks.join(F.broadcast(schedule.drop("q")), ["__source", "k"], "left").withColumn("slot", F.expr(f"block div q * {frame}L + at"))
     window = {"release": F.expr(f"block * {frame} div q"), "deadline": F.expr(f"((block + 1) * {frame} + q - 1) div q")}
-    return placed.withColumns(window).withColumn("in_mix", F.coalesce(F.col("slot") < F.col("horizon"), F.lit(False))).select(*others, *_OUT)
+    return placed.withColumns(window).withColumn("in_mix", F.coalesce(F.col("slot") < F.col("horizon"), F.lit(False))).select("__row.*", *_OUT)
 
 
 def in_order(mixed: DataFrame) -> DataFrame:

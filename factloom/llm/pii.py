@@ -35,7 +35,7 @@ from factloom.llm._shared import keep, table
 from factloom.llm._text import slices
 
 BASE_KINDS = ("email", "ip", "card", "phone")
-KINDS = (*BASE_KINDS, "email_text", "phone_local", "national_id", "iban")
+KINDS = (*BASE_KINDS, "email_text", "phone_local", "national_id", "iban", "card_digits")
 LABELERS = ("format", "gazetteer", "context", "boundary", "digits")
 #: A loose candidate is added from this probability on.
 ACCEPT = 0.5
@@ -54,7 +54,7 @@ CUES = {
     "bank": ("iban", "account", "konto", "compte", "cuenta", "bank"),
 }
 CONTRA_CUES = frozenset("version v release isbn issn order figure fig table page chapter section build model no nr ref".split())
-_GROUP = {"email": "mail", "email_text": "mail", "ip": "net", "card": "card", "phone": "tel", "phone_local": "tel", "national_id": "id", "iban": "bank"}
+_GROUP = {"email": "mail", "email_text": "mail", "ip": "net", "card": "card", "phone": "tel", "phone_local": "tel", "national_id": "id", "iban": "bank", "card_digits": "card"}
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -65,6 +65,8 @@ _LOOSE = {
     "email_text": re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?(?:\[at\]|\(at\)|\[AT\]|\(AT\)| at ) ?[A-Za-z0-9-]{1,63}(?: ?(?:\[dot\]|\(dot\)|\[DOT\]|\(DOT\)| dot ) ?[A-Za-z0-9-]{1,63}){1,4}"),
     "phone_local": re.compile(r"(?<![0-9+().-])(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9-])"),
     "national_id": re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
+    # a number that the base pattern has run together with digits in front or behind
+    "card_digits": re.compile(r"(?<![0-9])[0-9]{13,19}(?![0-9])"),
     "iban": re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
 }
 #: Texts without a match hold no candidate of any kind.
@@ -114,6 +116,8 @@ def _format(kind: str, value: str, valid: bool) -> int:
         flat = value.replace(" ", "")
         number = "".join(str(int(c, 36)) for c in flat[4:] + flat[:4])
         return 1 if int(number) % 97 == 1 else -1
+    if kind == "card_digits":
+        return 1 if luhn(value) else -1
     if kind == "national_id":
         return 1 if value[4:6] != "00" and value[7:] != "0000" else -1
     if kind == "phone_local":
@@ -129,7 +133,7 @@ def _gazetteer(kind: str, value: str) -> int:
     if kind == "ip":
         first = value.split(".")[0].lstrip("0")
         return 1 if first and len(first) <= 3 and int(first) < 224 else -1
-    if kind == "card":
+    if kind in ("card", "card_digits"):
         return 1 if d.startswith(CARD_PREFIXES) else -1
     if kind == "phone":
         return 1 if d.startswith(CALLING_CODES) else -1

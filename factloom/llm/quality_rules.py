@@ -100,10 +100,13 @@ def metrics(text: Column) -> Column:
     return let(word_array(text), of_words)
 
 
+def stop_forms() -> list[str]:
+    """The stop words in small, capital and title case, bare and with a mark behind."""
+    return sorted({form + mark for w in STOP_WORDS for form in (w, w.title(), w.upper()) for mark in ("", ",", ".", ";", ":", "!", "?")})
+
+
 def _stop_count(words: Column) -> Column:
-    """Words that are stop words, in small, capital or title case, perhaps with a mark behind."""
-    forms = {form + mark for w in STOP_WORDS for form in (w, w.title(), w.upper()) for mark in ("", ",", ".", ";", ":", "!", "?")}
-    return F.size(F.filter(words, lambda w: w.isin(sorted(forms)))).cast("long")
+    return F.size(F.filter(words, lambda w: w.isin(stop_forms()))).cast("long")
 
 
 def ratios(m: Column) -> dict[str, Column]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from factloom.llm import decontaminate, mixing, near_dedup, pii, quality_classifier, quality_rules, substring_dedup, token_files, toxicity, warc
+from factloom.llm import decontaminate, mixing, near_dedup, oracle_sql, pii, quality_classifier, quality_rules, substring_dedup, token_files, toxicity, warc
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -18,4 +18,8 @@ QUERIES = {
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_mixing": mixing.OP2_SQL,
+    "op3_substring_dedup": oracle_sql.OP3,
+    "op4_quality_rules": oracle_sql.OP4,
+    "op6_near_dedup": oracle_sql.OP6,
+    "op9_decontamination": oracle_sql.OP9,
 }

@@ -1,0 +1,231 @@
+"""The operators against brute force, exact round trips and held-out accuracy on small data."""
+
+import random
+import re
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from factloom.llm import decontaminate, mixing, near_dedup, pii, quality_classifier, substring_dedup, token_files, toxicity, warc
+from factloom.llm._shared import keep, shared_dir
+from factloom.llm.components import components
+from factloom.llm.fm_index import FMIndex
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def corpus(spark):
+    """Texts of few words, with copies, near copies and shared passages, one of them hot."""
+    rng = random.Random(3)
+    words = [f"w{k}" for k in range(300)]
+    passage = " ".join(rng.choices(words, k=60))
+    base = [" ".join(rng.choices(words, k=rng.randint(1, 150))) for _ in range(120)]
+    texts = []
+    for k in range(400):
+        x = base[k % 120].split()
+        if k % 3 == 0:
+            x += passage.split()
+        if k % 5 == 0 and len(x) > 20:
+            x[rng.randrange(len(x))] = "Edit"
+        texts.append((k, "\n".join(" ".join(x[i : i + 9]) for i in range(0, len(x), 9))))
+    return texts
+
+
+@pytest.fixture(scope="module")
+def docs(spark, corpus):
+    return keep(spark.createDataFrame(corpus, "doc_id bigint, text string"))
+
+
+BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def test_base_patterns():
+    rng = random.Random(1)
+    for _ in range(20_000):
+        text = "".join(rng.choice(["a", "b.", "@", "@", ".", "1", "25", "-", " ", "+", "(", ")", "x@y.z", "é", "1.2.3"]) for _ in range(rng.randint(0, 30)))
+        want = sorted((k, *m.span()) for k, p in BASE.items() for m in re.finditer(p, text))
+        assert sorted(x[:3] for x in pii.base_matches(text)) == want, text
+
+
+def test_base_patterns_are_linear():
+    assert list(pii.base_matches("a" * 200_000)) == [] and len(list(pii.base_matches("1" * 200_000))) == 1
+
+
+def test_added_spans(spark):
+    texts = [(0, "write to jane [at] mail [dot] com please"), (1, "my ssn 123-45-6789 is private"), (2, "call (212) 555-0187 today"), (3, "IBAN DE89 3704 0044 0532 0130 00 here"), (4, "version 1.2.3 of 2024-01-02 costs 100"), (5, "+1 (314) 555-6532 4802264633377894 x")]
+    got = {r["doc_id"]: [s["kind"] for s in r["pii_spans"]] for r in pii.find_personal_data(spark.createDataFrame(texts, "doc_id bigint, text string")).collect()}
+    assert got == {0: ["email_text"], 1: ["national_id"], 2: ["phone_local"], 3: ["iban"], 4: [], 5: ["phone_local", "card_digits"]}
+
+
+def test_reliabilities():
+    """EM finds the labeler that votes at random."""
+    rng = random.Random(0)
+    counts: dict = {}
+    for _ in range(5000):
+        true = rng.random() < 0.5
+        votes = "".join(("+" if true == (rng.random() < p) else "-") for p in (0.95, 0.9, 0.9, 0.5, 0.9))
+        counts[4, votes, 1] = counts.get((4, votes, 1), 0) + 1
+    model = pii.fit([(*k, n) for k, n in counts.items()])
+    good, bad = model.reliability["format"], model.reliability["boundary"]
+    assert good[2] > 0.85 and good[5] < 0.15 and abs(bad[2] - bad[5]) < 0.1
+
+
+def test_pfair_windows(spark):
+    rows = [(i, s) for i, s in enumerate("a" * 500 + "b" * 120 + "c" * 60 + "d" * 3)]
+    weights = {"a": 0.5, "b": 0.3, "c": 0.15, "d": 0.05}
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id bigint, source string"), weights=weights, block_docs=1, frame=100).orderBy("slot").collect()
+    assert all(r["release"] <= r["slot"] < r["deadline"] for r in got)
+    horizon = sum(r["in_mix"] for r in got)
+    assert horizon >= 60 and [r["slot"] for r in got[:horizon]] == list(range(horizon))
+    seen = dict.fromkeys(weights, 0)
+    for t, r in enumerate(got[:horizon], 1):
+        seen[r["source"]] += 1
+        assert all(abs(seen[s] - w * t) < 1 for s, w in weights.items())
+
+
+def test_substring_dedup(docs, corpus, monkeypatch):
+    want = {r[0]: r for r in substring_dedup.brute_force(corpus)}
+    for least in (substring_dedup.HOT_LEAST, 1):
+        monkeypatch.setattr(substring_dedup, "HOT_LEAST", least)
+        got = substring_dedup.remove_repeats(docs).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
+        assert {r[0]: tuple(r) for r in got} == want
+
+
+def test_token_file(tmp_path):
+    rng = np.random.default_rng(0)
+    docs = [rng.integers(0, 49_000, n).astype(np.uint32) for n in (5, 0, 70_000, 3, 65_536, 1, 200_000)]
+    with open(tmp_path / "x", "wb") as f:
+        writer = token_files.TokenWriter(f)
+        for k, ids in enumerate(docs):
+            writer.add(k, ids)
+        writer.close()
+    reader = token_files.TokenFile(pa.OSFile(str(tmp_path / "x")))
+    assert len(reader.packed) == 6
+    for (k, ids), want in zip(reader.documents(), docs, strict=True):
+        assert (ids == want).all() and (reader.document(k) == want).all()
+    data = bytearray((tmp_path / "x").read_bytes())
+    data[10] ^= 1
+    (tmp_path / "y").write_bytes(data)
+    with pytest.raises(Exception):
+        token_files.TokenFile(pa.OSFile(str(tmp_path / "y"))).document(0)
+
+
+def test_tokens_of_whole_texts(spark):
+    """Ids of pieces put together are those of whole texts."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer = Tokenizer.from_file(path)
+    texts = ["It's 3,14 ÉCOLE x́ y", "<|endoftext|> a<|startoftext|>b", " \n", "", None, "é ́a ΣΑΣ ß", "wo rd\tTab"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = token_files.read_digests(spark, token_files.write_token_files(docs, shared_dir(spark), path)).orderBy("doc_id").collect()
+    start = 0
+    for r, text in zip(got, texts, strict=True):
+        ids = np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, 2], dtype="<u4")
+        assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
+
+
+def exact_components(texts):
+    sets, root = {}, {k: k for k, _ in texts}
+
+    def find(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+
+    for k, t in texts:
+        w = t.encode().lower().split()
+        sets[k] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    for a, x in sets.items():
+        for b, y in sets.items():
+            if a < b and x and 100 * len(x & y) >= 75 * len(x | y):
+                root[max(find(a), find(b))] = min(find(a), find(b))
+    return {k: (len(sets[k]), find(k)) for k in sets}
+
+
+@pytest.mark.parametrize("direct", [near_dedup.DIRECT, 1])
+def test_near_dedup(docs, corpus, monkeypatch, direct):
+    monkeypatch.setattr(near_dedup, "DIRECT", direct)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(docs).collect()}
+    assert got == exact_components(corpus)
+
+
+def test_components(spark):
+    rng = random.Random(2)
+    edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(k, k + 1) for k in range(300, 340)]
+    root = {k: k for e in edges for k in e}
+    for _ in range(60):
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    assert all(got.get(k, k) == v for k, v in root.items())
+
+
+def test_fm_index():
+    rng = np.random.default_rng(0)
+    for symbols in (2, 5, 50):
+        text = rng.integers(0, symbols + 1, 300)
+        text[-1] = 0
+        index = FMIndex(text, symbols + 1)
+        lengths = rng.integers(1, 5, 100)
+        phrases = np.zeros((100, 5), dtype=np.int64)
+        for k, n in enumerate(lengths):
+            phrases[k, :n] = rng.integers(1, symbols + 1, n)
+        for p, n, a, b in zip(phrases, lengths, *index.search(phrases, lengths)):
+            assert sorted(index.locate(np.arange(a, b))) == [i for i in range(len(text) - n + 1) if (text[i : i + n] == p[:n]).all()]
+
+
+def test_decontamination(spark, docs, corpus):
+    items = [(k, corpus[k * 7][1]) for k in range(30)] + [(99, "w1 w2"), (98, "nowhere to be found")]
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"], len(r["items"]), r["n_hit"] > 0) for r in decontaminate.find_benchmark(docs, spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+    want = decontaminate.brute_force([t for _, t in corpus], {str(k): t for k, t in items})
+    assert got == {k: (w[0], w[1], w[2], w[4]) for k, w in enumerate(want)}
+
+
+def labelled(spark, flag):
+    rng = random.Random(4)
+    words = [f"n{k}" for k in range(400)]
+    texts, labels = [], []
+    for k in range(600):
+        y = rng.random() < 0.4
+        x = rng.choices(words, k=rng.randint(20, 80))
+        for _ in range(3 if y else 0):
+            x[rng.randrange(len(x))] = rng.choice(["awful", "dreadful", "vile"])
+        texts.append((k, " ".join(x)))
+        labels.append((k, int(y)))
+    return spark.createDataFrame(texts, "doc_id bigint, text string"), spark.createDataFrame(labels, f"doc_id bigint, {flag} int")
+
+
+@pytest.mark.parametrize(("train", "flag"), [(quality_classifier.train, "quality"), (toxicity.train, "toxic")])
+def test_classifiers(spark, train, flag):
+    docs, labels = labelled(spark, flag)
+    model = train(docs, labels)
+    got = quality_classifier.score(docs, model, accept=0.5).join(labels, "doc_id").where("held_out")
+    assert got.where(F.col("predicted") == F.col(flag)).count() >= 0.95 * got.count() > 50
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in got.collect())
+
+
+def test_warc(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    lines, directory = warc.write_archive(pages.unionByName(pages.withColumn("page_id", F.col("page_id") + 1000)), shared_dir(spark))
+    index = warc.CaptureIndex.load(directory)
+    for r in pages.collect():
+        found = {x["page_id"]: x for x in index.find(r["url"])}
+        first, second = (index.read(found[k]) for k in (r["page_id"], r["page_id"] + 1000))
+        assert first["payload"].decode() == r["html"] and first["WARC-Type"] == "response"
+        assert second["WARC-Type"] == "revisit" and second["payload"] == b"" and second["payload_bytes"] == len(r["html"].encode())
+        assert second["X-Refers-To-Page-ID"] == str(r["page_id"])
+    assert index.find("http://nowhere.example/") == []
+    keys = [r["first_key"] for r in directory.orderBy("part", "offset").collect()]
+    assert keys == sorted(keys) and lines.count() == 2 * pages.count()
+
+
+def test_url_keys():
+    assert warc.url_key("http://www.A.example.com:80/x/?b=2&a=1") == "com,example,a)/x?a=1&b=2"
+    assert warc.url_key("https://a.b:8443") == "b,a:8443)/"
