@@ -22,7 +22,7 @@ def write(root, **files):
 
 
 def test_walk(spark, tmp_path):
-    write(tmp_path, a_md="x", sub__b_md="y", **{"notes.txt": "t", ".obsidian/c.md": "z", "node_modules/d.md": "w", "E.MD": "v"})
+    write(tmp_path, a_md="x", sub__b_md="y", **{"notes.txt": "t", ".hidden/c.md": "z", "node_modules/d.md": "w", "E.MD": "v"})
     assert sorted(walk(str(tmp_path))) == ["E.MD", "a.md", "sub/b.md"]
     assert sorted(r["path"] for r in read_notes(spark, str(tmp_path)).collect()) == ["E.MD", "a.md", "sub/b.md"]
 
