@@ -44,6 +44,12 @@ def _block(base: DataFrame, ids: np.ndarray, vectors: np.ndarray, k: int, id_col
             if not len(own) or not len(ids):
                 continue
             x = flat.reshape(len(own), -1)
+            # of equal vectors only the k smallest ids can be among the nearest
+            _, alike = np.unique(x, axis=0, return_inverse=True)
+            order = np.lexsort((own, alike.ravel()))
+            group = alike.ravel()[order]
+            few = np.sort(order[np.arange(len(order)) - np.searchsorted(group, group) < k])
+            own, x = own[few], x[few]
             step = max(1, _CELLS // len(own))
             for at in range(0, len(ids), step):
                 part = q[at : at + step]
