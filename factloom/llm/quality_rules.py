@@ -125,17 +125,29 @@ def ratios(m: Column) -> dict[str, Column]:
     }
 
 
+def judge(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
+    """Counts and verdict of a text as one struct.
+
+    The counts are bound to a variable of the expression, so that a filter on the verdict,
+    which Spark moves below the projection, works them out once and not once a rule.
+    """
+
+    def of_counts(m: Column) -> Column:
+        value = ratios(m)
+        bad = lambda r: (F.lit(False) if r.low is None else value[r.metric] < r.low) | (F.lit(False) if r.high is None else value[r.metric] > r.high)
+        failed = F.array_compact(F.array(*[F.when(bad(r), F.lit(r.metric)) for r in rules])) if rules else F.array().cast("array<string>")
+        base = (m["n_words"] < 50) | (100 * m["n_repeat_words"] > 50 * m["n_words"])
+        counts = [m[k].alias(k) for k in ("n_words", "word_chars", "n_symbols", "n_repeat_words")]
+        return let(failed, lambda x: F.struct(*counts, m["lines"]["dup"].alias("n_dup_lines"), base.alias("base_failed"), x.alias("failed_rules"), (~base & (F.size(x) == 0)).alias("kept")))
+
+    return let(metrics(text), of_counts)
+
+
 def apply_rules(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """df with the counts, `base_failed`, `failed_rules` (names) and `kept`."""
-    m = "__metrics"
-    df = df.withColumn(m, metrics(F.col(text)))
-    c = F.col(m)
-    value = ratios(c)
-    bad = lambda r: (F.lit(False) if r.low is None else value[r.metric] < r.low) | (F.lit(False) if r.high is None else value[r.metric] > r.high)
-    failed = F.array_compact(F.array(*[F.when(bad(r), F.lit(r.metric)) for r in rules])) if rules else F.array().cast("array<string>")
-    base = (c["n_words"] < 50) | (100 * c["n_repeat_words"] > 50 * c["n_words"])
-    out = {k: c[k] for k in ("n_words", "word_chars", "n_symbols", "n_repeat_words")} | {"n_dup_lines": c["lines"]["dup"], "base_failed": base, "failed_rules": failed, "kept": ~base & (F.size(failed) == 0)}
-    return df.withColumns(out).drop(m)
+    m = "__judged"
+    out = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "failed_rules", "kept")
+    return df.withColumn(m, judge(F.col(text), rules)).withColumns({k: F.col(m)[k] for k in out}).drop(m)
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
