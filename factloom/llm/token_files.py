@@ -41,7 +41,6 @@ import pyarrow.fs as pafs
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from factloom.llm._shared import shared_dir, table
 from factloom.llm._text import SPACE, hashes, raw, slices, words
