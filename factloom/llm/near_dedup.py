@@ -16,10 +16,14 @@
 4. Components of the confirmed edges are contracted. A bucket whose members lie in
    one component is done. In the others, members outside the main component (strays)
    are compared with the rest by their lanes, within tasks that hold a bounded part
-   of a bucket, and only pairs that may be similar leave them: directly where a
-   bucket has at most DIRECT strays (so a row meets at most DIRECT others), else in
-   sub-buckets of members that share a second (and third) band too. A pair at the
-   threshold shares 12 bands on average, and at most two with a probability of 1e-4.
+   of a bucket, and only pairs that may be similar leave them; sets that small ones
+   may be similar to are compared in full there, and a task sends on no more of their
+   links than join its rows. Buckets of at most DIRECT strays and buckets of prefix
+   keys, which may be the only ones a pair shares, are compared whole, in parts of
+   strays and parts of members. In larger buckets of bands that holds for members
+   without a second open bucket; the others meet in sub-buckets of members that share
+   a second (and third) band too. A pair at the threshold shares 12 bands on average,
+   and at most two with a probability of 1e-4.
 
 Nothing is collected but counts. Defined cases: null and empty texts have an empty
 set and link with nothing; with fewer than five words the whole sequence is the one
@@ -49,7 +53,7 @@ BANDS = LANES // ROWS
 SMALL = 48
 #: Lanes of 256 that must agree; at a similarity of 0.75, 192 do on average, with a deviation of about 7 to 9.
 AGREE = 158
-#: Members outside its main component up to which a bucket is compared directly.
+#: Members outside its main component up to which a bucket of bands is compared directly; strays that one task holds of a bucket.
 DIRECT = 2048
 #: Members of a bucket that one task compares with its strays at a time.
 PART = 4096
@@ -155,10 +159,10 @@ def _prefix_rows(reps: DataFrame) -> DataFrame:
 
 
 def _shared_buckets(reps: DataFrame) -> DataFrame:
-    """(key, node, n) of the keys that two representatives or more have; most keys have one, and go here."""
+    """(key, node, prefix, n) of the keys that two representatives or more have; most keys have one, and go here. prefix: a shingle, not a band."""
     rows = reps.select(F.explode("keys").alias("key"), "node")
     shared = rows.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
-    left = keep(rows.join(shared, "key", "left_semi").unionByName(_prefix_rows(reps)).distinct())
+    left = keep(rows.join(shared, "key", "left_semi").withColumn("prefix", F.lit(False)).unionByName(_prefix_rows(reps).withColumn("prefix", F.lit(True))).distinct())
     return keep(left.join(reps.select("node", "n").distinct(), "node"))
 
 
@@ -174,7 +178,7 @@ def _sizes_fit(x: str, y: str):
 
 
 def _compare(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of one stray and one row of a bucket that differ in component, fit in size and may be similar by their lanes."""
+    """Pairs of one stray and one row of a bucket that differ in component, fit in size and may be similar by their lanes; of rows with whole sets, links that join what is similar."""
     stray = rows["stray"].to_numpy()
     node, n, root = (rows[c].to_numpy() for c in ("node", "n", "root"))
     has = rows["lanes"].is_valid().to_numpy()
@@ -185,6 +189,16 @@ def _compare(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     if has.any():
         fine[has] = np.frombuffer(b"".join(x for x in rows["fine"].to_pylist() if x is not None), dtype=np.uint8).reshape(-1, FINE * BINS)
     members = np.flatnonzero(~stray)
+    sets = rows["small"].combine_chunks()
+    edge, flat_set = sets.offsets.to_numpy(), sets.values.to_numpy()
+    ids = np.unique(flat_set[edge[0] : edge[-1]], return_inverse=True)[1].astype(np.int64)
+    edge = edge - edge[0]
+    exact = np.diff(edge) > 0
+    inner = members[exact[members]]
+    inner_ids = np.concatenate([ids[edge[k] : edge[k + 1]] for k in inner]) if len(inner) else ids[:0]
+    inner_first = np.concatenate(([0], np.cumsum(n[inner])))[:-1]
+    mark = np.zeros(len(ids) + 1, dtype=np.uint8)
+    root = np.unique(root, return_inverse=True)[1]
     # a pair that shares several buckets leaves only that of the smallest key
     others = rows["keys"].combine_chunks()
     first, flat = others.offsets.to_numpy(), others.values.to_numpy()
@@ -195,8 +209,18 @@ def _compare(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     key = earlier.dtype.type(rows["key"][0].as_py())
     out = []
     for s in np.flatnonzero(stray):
+        if exact[s] and len(inner):
+            mark[ids[edge[s] : edge[s + 1]]] = 1
+            same = np.add.reduceat(mark[inner_ids], inner_first, dtype=np.int64)
+            mark[ids[edge[s] : edge[s + 1]]] = 0
+            own = inner[(100 * same >= PERCENT * (n[inner] + n[s] - same)) & (root[inner] != root[s])]
+            if len(own):
+                linked, one = np.unique(root[own], return_index=True)
+                out.append((np.full(len(one), node[s]), node[own[one]]))
+                root[np.isin(root, linked)] = root[s]
         ok = (root[members] != root[s]) & (100 * np.minimum(n[members], n[s]) >= PERCENT * np.maximum(n[members], n[s]))
         own = members[ok]
+        own = own[~exact[own]] if exact[s] else own
         if has[s] and len(own):
             agree = (lanes[own] == lanes[s]).sum(axis=1)
             own, agree = own[~has[own] | (agree >= AGREE)], agree[~has[own] | (agree >= AGREE)]
@@ -212,16 +236,19 @@ def _compare(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 def _pairs(buckets: DataFrame, lanes: DataFrame, once: bool = True) -> DataFrame:
     """Candidate edges from members outside a bucket's main component to members of other components.
 
-    buckets: (key, node, n, root, main, stray, m). A bucket is dealt out in parts of
-    PART members, each with the bucket's strays; pairs are compared within a task, and
-    only those that may be similar leave it; with once, from the first bucket they share.
+    buckets: (key, node, n, root, outside, stray, m). A bucket is dealt out in parts of
+    PART members, each once with each part of DIRECT strays (rows marked outside, stray in
+    all); pairs are compared within a task, and only those that may be similar leave it;
+    with once, from the first bucket they share.
     """
     keys = buckets.groupBy("node").agg(F.array_sort(F.collect_set("key")).alias("keys"))  # at most BANDS and a prefix
     wide = buckets.join(lanes, "node")
     wide = wide.join(keys, "node") if once else wide.withColumn("keys", F.array().cast("array<bigint>"))
-    parts = F.ceil(F.col("m") / PART).cast("int")
-    members = wide.select("key", F.pmod(F.hash("node"), parts).alias("salt"), F.lit(False).alias("stray"), "node", "n", "root", "lanes", "fine", "keys")
-    strays = wide.where(F.col("root") != F.col("main")).select("key", F.explode(F.sequence(F.lit(0), parts - 1)).alias("salt"), F.lit(True).alias("stray"), "node", "n", "root", "lanes", "fine", "keys")
+    parts, stray_parts = (F.greatest(F.lit(1), F.ceil(F.col(c) / most)).cast("int") for c, most in (("m", PART), ("stray", DIRECT)))
+    each = lambda count: F.explode(F.sequence(F.lit(0), count - 1))
+    columns = ["node", "n", "root", "lanes", "fine", "small", "keys"]
+    members = wide.select("key", F.pmod(F.hash("node"), parts).alias("salt"), each(stray_parts).alias("part"), F.lit(False).alias("stray"), *columns)
+    strays = wide.where("outside").select("key", each(parts).alias("salt"), F.pmod(F.xxhash64("node"), stray_parts).cast("int").alias("part"), F.lit(True).alias("stray"), *columns)
 
     def run(batches):
         held = None
@@ -229,24 +256,26 @@ def _pairs(buckets: DataFrame, lanes: DataFrame, once: bool = True) -> DataFrame
             now = pa.Table.from_batches([batch])
             held = now if held is None else pa.concat_tables([held, now])
             if held.num_rows >= 2 * PART:
-                key, salt = held["key"].to_numpy(), held["salt"].to_numpy()
-                last = int(np.flatnonzero((key != key[-1]) | (salt != salt[-1]))[-1]) + 1 if (key[0] != key[-1] or salt[0] != salt[-1]) else 0
+                last = cuts(held)[-2]
                 if last:
                     yield from groups(held.slice(0, last))
                     held = held.slice(last)
         if held is not None and held.num_rows:
             yield from groups(held)
 
+    def cuts(rows):
+        cell = [rows[c].to_numpy() for c in ("key", "salt", "part")]
+        return [0, *(np.flatnonzero(np.any([x[1:] != x[:-1] for x in cell], axis=0)) + 1).tolist(), rows.num_rows]
+
     def groups(rows):
         rows = rows.combine_chunks()
-        key, salt = rows["key"].to_numpy(), rows["salt"].to_numpy()
-        cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]) | (salt[1:] != salt[:-1])) + 1).tolist(), len(key)]
-        found = [_compare(rows.slice(a, b - a)) for a, b in zip(cuts, cuts[1:])]
+        at = cuts(rows)
+        found = [_compare(rows.slice(a, b - a)) for a, b in zip(at, at[1:])]
         a, b = (np.concatenate([x[k] for x in found]) for k in (0, 1))
         pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
-    dealt = members.unionByName(strays).repartition("key", "salt").sortWithinPartitions("key", "salt")
+    dealt = members.unionByName(strays).repartition("key", "salt", "part").sortWithinPartitions("key", "salt", "part")
     return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
@@ -281,7 +310,7 @@ def _chosen(docs: DataFrame, text: str, wanted: DataFrame, column: str, encode)
 
 
 def _all_lanes(nodes: DataFrame, reps: DataFrame, docs: DataFrame, text: str) -> DataFrame:
-    """(node, lanes, fine): one byte of each lane of the nodes' sketches, null for small sets."""
+    """(node, lanes, small, fine): one byte of each lane of the nodes' sketches, null for small sets, and the sets that small ones may be similar to."""
 
     def encode(sets):
         out = [None] * len(sets)
@@ -292,7 +321,7 @@ def _all_lanes(nodes: DataFrame, reps: DataFrame, docs: DataFrame, text: str) ->
         return out
 
     fine = _chosen(docs, text, nodes.select(F.col("node").alias("doc_id")), "fine", encode).withColumnRenamed("doc_id", "node")
-    return keep(fine.join(reps.select("node", "lanes").dropDuplicates(["node"]), "node"))
+    return keep(fine.join(reps.select("node", "lanes", "small").dropDuplicates(["node"]), "node"))
 
 
 def _confirm(edges: DataFrame, docs: DataFrame, text: str) -> DataFrame:
@@ -316,10 +345,10 @@ def _confirm(edges: DataFrame, docs: DataFrame, text: str) -> DataFrame:
 
 
 def _mixed(buckets: DataFrame) -> DataFrame:
-    """(key, node, n, root, m, main, stray) of the buckets with two components or more: members, the largest component, and how many lie outside it."""
+    """(key, node, n, root, m, main, stray, outside) of the buckets with two components or more: members, the largest component, how many lie outside it, and whether this one does."""
     by_root = buckets.groupBy("key", "root").agg(F.count("*").alias("m"))
     by_key = by_root.groupBy("key").agg(F.max(F.struct("m", "root")).alias("top"), F.sum("m").alias("m")).where("m > top.m").select("key", "m", F.col("top.root").alias("main"), (F.col("m") - F.col("top.m")).alias("stray"))
-    return buckets.join(by_key, "key")
+    return buckets.join(by_key, "key").withColumn("outside", F.col("root") != F.col("main"))
 
 
 def _open_buckets(buckets: DataFrame, links: DataFrame) -> DataFrame:
@@ -329,7 +358,7 @@ def _open_buckets(buckets: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _candidates_of_rest(rest: DataFrame, reps: DataFrame, docs: DataFrame, text: str) -> DataFrame:
-    """Edges between members of different components: directly in buckets with few strays, else where members share further buckets too."""
+    """Edges between members of different components: in the whole of a bucket with few strays or of a prefix key, else where members share further buckets too, or have none."""
     lanes = _all_lanes(rest.select("node").distinct(), reps, docs, text)
     out = _pairs(rest.where(F.col("stray") <= DIRECT), lanes)
     others = rest.groupBy("node").agg(F.collect_set("key").alias("others"))  # at most BANDS and a prefix
@@ -337,6 +366,12 @@ def _candidates_of_rest(rest: DataFrame, reps: DataFrame, docs: DataFrame, text:
         large = rest.where(F.col("stray") > DIRECT)
         if large.isEmpty():
             break
+        if not last:
+            # what may share this bucket alone: all pairs of a prefix key, and members of no other open bucket
+            alone = large.join(others, "node").withColumn("outside", F.when(F.col("prefix"), F.col("outside")).otherwise(F.size("others") < 2))
+            alone = keep(alone.drop("stray", "others").join(alone.where("outside").groupBy("key").agg(F.count("*").alias("stray")), "key"))
+            out = out.unionByName(_pairs(alone, lanes, once=False))
+            large = large.where("not prefix")
         # a sub-bucket: those members of a large bucket that share a further open bucket
         two = large.join(others, "node").select("node", "n", "root", F.col("key").alias("k1"), F.explode("others").alias("k2")).where("k1 <> k2")
         mixed = F.xxhash64("k1", "k2") if last else F.xxhash64(F.least("k1", "k2"), F.greatest("k1", "k2"))

@@ -156,6 +156,17 @@ def test_near_dedup(docs, corpus, monkeypatch, direct):
     assert got == exact_components(corpus)
 
 
+@pytest.mark.parametrize("part", [near_dedup.PART, 8])
+def test_near_dedup_of_a_template(spark, monkeypatch, part):
+    """Small sets that share one rarest shingle, in a bucket above DIRECT, all similar to the template alone."""
+    monkeypatch.setattr(near_dedup, "DIRECT", 1)
+    monkeypatch.setattr(near_dedup, "PART", part)
+    template = " ".join(f"t{k}" for k in range(24))
+    texts = [(k, f"{template} " + " ".join(f"x{k}y{j}" for j in range(6))) for k in range(40)] + [(40, template)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(spark.createDataFrame(texts, "doc_id bigint, text string")).collect()}
+    assert got == exact_components(texts) and {c for _, c in got.values()} == {0}
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(k, k + 1) for k in range(300, 340)]
