@@ -70,7 +70,7 @@ _LOOSE = {
     "iban": re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
 }
 #: Texts without a match hold no candidate of any kind.
-_MAY_HOLD = r"[0-9@]|[\[(](?:at|AT)[\])]| dot "
+_MAY_HOLD = r"[0-9@]|[\[(](?:at|AT|dot|DOT)[\])]| dot "
 
 
 def _digits(x: str) -> str:
