@@ -234,6 +234,12 @@ def test_classifiers(spark, train, flag):
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in got.collect())
 
 
+def test_models_hold_what_was_met_once(spark):
+    counts = spark.createDataFrame([((k << 32) | (k + 1), k % 2, 1 - k % 2) for k in range(2, 40)], "key bigint, c0 bigint, c1 bigint")
+    models = toxicity.fit_models(counts)
+    assert len(models.bigrams) == 38 and len(models.words) == 39
+
+
 def test_warc(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     lines, directory = warc.write_archive(pages.unionByName(pages.withColumn("page_id", F.col("page_id") + 1000)), shared_dir(spark))
