@@ -240,6 +240,14 @@ def test_models_hold_what_was_met_once(spark):
     assert len(models.bigrams) == 38 and len(models.words) == 39
 
 
+def test_rows_of_fold_1_beyond_the_calibration_are_counted(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "CALIBRATION_DOCS", 5)
+    docs, labels = labelled(spark, "toxic")
+    docs = docs.withColumn("text", F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1, F.concat("text", F.lit(" seldom"))).otherwise(F.col("text")))
+    word = toxicity.bigrams(pa.array(["seldom"]))[0] & np.uint64(0xFFFFFFFF)
+    assert int(word[0]) in toxicity.train(docs, labels).models.words.tolist()
+
+
 def test_warc(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     lines, directory = warc.write_archive(pages.unionByName(pages.withColumn("page_id", F.col("page_id") + 1000)), shared_dir(spark))
