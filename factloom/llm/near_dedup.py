@@ -9,10 +9,12 @@
    have as keys the rarest shingles, as many as any similar set must share one of,
    which is exact.
 2. Documents with equal sets become one representative; copies never meet.
-3. In each bucket, one centre gets an edge to each other member: at most one edge
-   a row, however large the bucket. Edges are compared first by the lanes of both
-   sketches, whose estimate lies far above the bound it is held against for any
-   true link, then on the full sets.
+3. In each bucket, two centres get an edge to each other member: at most two edges
+   a row, however large the bucket. The first is the member of the least position and
+   size, the second, in each part of PART members, the one whose lanes agree most with
+   all others: the hub of a group of documents that are similar to it but not to one
+   another. Edges are compared first by the lanes of both sketches, whose estimate lies
+   far above the bound it is held against for any true link, then on the full sets.
 4. Components of the confirmed edges are contracted. A bucket whose members lie in
    one component is done. In the others, members outside the main component (strays)
    are compared with the rest by their lanes, within tasks that hold a bounded part
@@ -20,10 +22,14 @@
    may be similar to are compared in full there, and a task sends on no more of their
    links than join its rows. Buckets of at most DIRECT strays and buckets of prefix
    keys, which may be the only ones a pair shares, are compared whole, in parts of
-   strays and parts of members. In larger buckets of bands that holds for members
+   strays and parts of members; in those of prefix keys, pairs whose positions rule
+   them out are passed over: what two sets share from their first common shingle on is
+   at most what follows it in either. In larger buckets of bands that holds for members
    without a second open bucket; the others meet in sub-buckets of members that share
    a second (and third) band too. A pair at the threshold shares 12 bands on average,
-   and at most two with a probability of 1e-4.
+   and at most two with a probability of 1e-4: that, and 1e-6 for pairs that share no
+   band, is the one way in which a link may be lost, and only between sets of more
+   than SMALL shingles.
 
 Nothing is collected but counts. Defined cases: null and empty texts have an empty
 set and link with nothing; with fewer than five words the whole sequence is the one
@@ -150,54 +156,120 @@ def _sketch_table(docs: DataFrame, text: str) -> DataFrame:
 
 
 def _prefix_rows(reps: DataFrame) -> DataFrame:
-    """(key, node) for the rarest shingles of small sets: as many as any similar set must share one of."""
-    rows = reps.where(F.size("small") > 0).select("node", "n", F.explode("small").alias("key")).distinct()
-    counted = rows.join(rows.groupBy("key").agg(F.count("*").alias("m")), "key").where("m > 1 or n < 2")
-    ordered = rows.join(counted.select("key", "m").distinct(), "key", "left").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("m", F.lit(1)).alias("m"), "key"))).alias("x"))
+    """(key, node, p) for the rarest shingles of small sets, as many as any similar set must share one of; p: how many of the set are rarer."""
+    rows = reps.where(F.size("small") > 0).select("node", "n", F.explode("small").alias("key"))
+    shared = rows.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
+    ordered = rows.join(shared, "key", "left").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("m", F.lit(1)).alias("m"), "key"))).alias("x"))
     length = (F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1).cast("int")
-    return ordered.select(F.explode(F.slice("x", F.lit(1), length)).alias("x"), "node").where("x.m > 1").select("x.key", "node")
+    return ordered.select(F.posexplode(F.slice("x", F.lit(1), length)).alias("p", "x"), "node").where("x.m > 1").select("x.key", "node", "p")
 
 
 def _shared_buckets(reps: DataFrame) -> DataFrame:
-    """(key, node, prefix, n) of the keys that two representatives or more have; most keys have one, and go here. prefix: a shingle, not a band."""
+    """(key, node, p, n) of the keys that two representatives or more have; most keys have one, and go here. p: the position of a shingle, null for bands."""
     rows = reps.select(F.explode("keys").alias("key"), "node")
     shared = rows.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
-    left = keep(rows.join(shared, "key", "left_semi").withColumn("prefix", F.lit(False)).unionByName(_prefix_rows(reps).withColumn("prefix", F.lit(True))).distinct())
-    return keep(left.join(reps.select("node", "n").distinct(), "node"))
+    bands = rows.join(shared, "key", "left_semi").dropDuplicates(["key", "node"]).withColumn("p", F.lit(None).cast("int"))
+    return keep(bands.unionByName(_prefix_rows(reps)).join(reps.select("node", "n"), "node"))
 
 
-def _stars(buckets: DataFrame) -> DataFrame:
-    """Edges (a, b) from one member of each bucket (key, node, n) to the others whose size fits."""
-    centre = buckets.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", "key").alias("h"), "node", "n")).alias("c"), F.count("*").alias("m")).where("m > 1").select("key", F.col("c.node").alias("centre"), F.col("c.n").alias("centre_n"))
-    near = buckets.join(centre, "key").where((F.col("node") != F.col("centre")) & _sizes_fit("n", "centre_n"))
-    return near.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+def _stars(buckets: DataFrame, reps: DataFrame) -> DataFrame:
+    """Edges (a, b) from the centres of each bucket (key, node, p, n) to the other members, where sizes, positions and lanes allow a link."""
+    centre = buckets.groupBy("key").agg(F.min(F.struct("p", "n", F.xxhash64("node", "key").alias("h"), "node")).alias("c"), F.count("*").alias("m")).where("m > 1").select("key", F.col("c.node").alias("centre"), F.ceil(F.col("m") / PART).cast("int").alias("parts"))
+    wide = buckets.join(centre, "key").join(reps.select("node", "lanes"), "node").withColumn("centre", F.col("node") == F.col("centre"))
+    salt = F.when(F.col("centre"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.hash("node"), "parts")))
+    dealt = wide.select("key", F.explode(salt).alias("salt"), "centre", "node", "n", "p", "lanes").repartition("key", "salt").sortWithinPartitions("key", "salt", F.desc("centre"))
 
+    def run(batches):
+        for rows in _whole_groups(batches, ("key", "salt")):
+            a, b = _star_edges(rows)
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def _whole_groups(batches, columns: tuple[str, ...]):
+    """Tables of whole groups, of rows that are sorted by the columns; a group is taken to be of bounded size."""
+    held = None
+    for batch in batches:
+        now = pa.Table.from_batches([batch])
+        held = now if held is None else pa.concat_tables([held, now])
+        if held.num_rows >= 2 * PART:
+            last = _cuts(held, columns)[-2]
+            if last:
+                yield held.slice(0, last).combine_chunks()
+                held = held.slice(last)
+    if held is not None and held.num_rows:
+        yield held.combine_chunks()
 
-def _sizes_fit(x: str, y: str):
-    return (100 * F.least(x, y) >= PERCENT * F.greatest(x, y))
+
+def _cuts(rows: pa.Table, columns: tuple[str, ...]) -> list[int]:
+    cell = [rows[c].to_numpy() for c in columns]
+    return [0, *(np.flatnonzero(np.any([x[1:] != x[:-1] for x in cell], axis=0)) + 1).tolist(), rows.num_rows]
+
+
+def _lane_rows(column: pa.ChunkedArray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """A row of bytes for each value, and which values are there."""
+    has = column.is_valid().to_numpy()
+    out = np.zeros((len(has), width), dtype=np.uint8)
+    if has.any():
+        out[has] = np.frombuffer(b"".join(x for x in column.to_pylist() if x is not None), dtype=np.uint8).reshape(-1, width)
+    return out, has
+
+
+def _hub(lanes: np.ndarray) -> int:
+    """The row whose lanes agree with most of the others'."""
+    if len(lanes) <= 16:
+        return int((lanes[:, None, :] == lanes[None, :, :]).sum(axis=(1, 2)).argmax())
+    cell = lanes + np.arange(lanes.shape[1]) * 256
+    return int(np.bincount(cell.ravel(), minlength=lanes.shape[1] * 256)[cell].sum(axis=1).argmax())
+
+
+def _star_edges(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of groups (key, salt), each with its bucket's centre in front."""
+    cuts = np.array(_cuts(rows, ("key", "salt")))
+    node, n = rows["node"].to_numpy(), rows["n"].to_numpy()
+    after = n - rows["p"].fill_null(0).to_numpy()
+    lanes, has = _lane_rows(rows["lanes"], LANES)
+    size = np.diff(cuts)
+    centre = np.repeat(cuts[:-1], size)
+    pairs = [np.stack([centre, np.arange(len(node))])]
+    for k in np.flatnonzero(size > 2).tolist():
+        own = np.arange(cuts[k], cuts[k + 1])
+        own = own[has[own]]
+        if len(own) > 2:
+            pairs.append(np.stack([np.full(len(own), own[_hub(lanes[own])]), own]))
+    a, b = np.concatenate(pairs, axis=1)
+    ok = (node[a] != node[b]) & _fit(n[a], n[b], after[a], after[b])
+    a, b = a[ok], b[ok]
+    possible = ~(has[a] & has[b])
+    at = np.flatnonzero(~possible)
+    for k in range(0, len(at), 1 << 16):
+        part = at[k : k + (1 << 16)]
+        possible[part] = (lanes[a[part]] == lanes[b[part]]).sum(axis=1) >= AGREE
+    return node[a[possible]], node[b[possible]]
+
+
+def _fit(n: np.ndarray, m: np.ndarray, after_n: np.ndarray, after_m: np.ndarray) -> np.ndarray:
+    """Whether sets of n and m shingles, that share no more than after_n of the one and after_m of the other, can be similar."""
+    return (100 + PERCENT) * np.minimum(after_n, after_m) >= PERCENT * (n + m)
 
 
 def _compare(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of one stray and one row of a bucket that differ in component, fit in size and may be similar by their lanes; of rows with whole sets, links that join what is similar."""
+    """Pairs of one stray and one row of a bucket that differ in component, fit in size and position and may be similar by their lanes; of rows with whole sets, links that join what is similar."""
     stray = rows["stray"].to_numpy()
     node, n, root = (rows[c].to_numpy() for c in ("node", "n", "root"))
-    has = rows["lanes"].is_valid().to_numpy()
-    lanes = np.zeros((len(node), LANES), dtype=np.uint8)
-    if has.any():
-        lanes[has] = np.frombuffer(b"".join(x for x in rows["lanes"].to_pylist() if x is not None), dtype=np.uint8).reshape(-1, LANES)
-    fine = np.zeros((len(node), FINE * BINS), dtype=np.uint8)
-    if has.any():
-        fine[has] = np.frombuffer(b"".join(x for x in rows["fine"].to_pylist() if x is not None), dtype=np.uint8).reshape(-1, FINE * BINS)
+    after = n - rows["p"].fill_null(0).to_numpy()
+    lanes, has = _lane_rows(rows["lanes"], LANES)
+    fine, _ = _lane_rows(rows["fine"], FINE * BINS)
     members = np.flatnonzero(~stray)
+    # whole sets as rows of numbers, filled up with one that no set has
     sets = rows["small"].combine_chunks()
     edge, flat_set = sets.offsets.to_numpy(), sets.values.to_numpy()
-    ids = np.unique(flat_set[edge[0] : edge[-1]], return_inverse=True)[1].astype(np.int64)
-    edge = edge - edge[0]
+    names, ids = np.unique(flat_set[edge[0] : edge[-1]], return_inverse=True)
     exact = np.diff(edge) > 0
-    inner = members[exact[members]]
-    inner_ids = np.concatenate([ids[edge[k] : edge[k + 1]] for k in inner]) if len(inner) else ids[:0]
-    inner_first = np.concatenate(([0], np.cumsum(n[inner])))[:-1]
-    mark = np.zeros(len(ids) + 1, dtype=np.uint8)
+    whole = np.full((len(node), max(1, int(np.diff(edge).max()))), len(names), dtype=np.int32)
+    whole[np.arange(whole.shape[1])[None, :] < np.diff(edge)[:, None]] = ids
+    mark = np.zeros(len(names) + 1, dtype=np.uint8)
     root = np.unique(root, return_inverse=True)[1]
     # a pair that shares several buckets leaves only that of the smallest key
     others = rows["keys"].combine_chunks()
@@ -209,18 +281,19 @@ def _compare(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     key = earlier.dtype.type(rows["key"][0].as_py())
     out = []
     for s in np.flatnonzero(stray):
-        if exact[s] and len(inner):
-            mark[ids[edge[s] : edge[s + 1]]] = 1
-            same = np.add.reduceat(mark[inner_ids], inner_first, dtype=np.int64)
-            mark[ids[edge[s] : edge[s + 1]]] = 0
-            own = inner[(100 * same >= PERCENT * (n[inner] + n[s] - same)) & (root[inner] != root[s])]
-            if len(own):
-                linked, one = np.unique(root[own], return_index=True)
-                out.append((np.full(len(one), node[s]), node[own[one]]))
+        own = members[(root[members] != root[s]) & _fit(n[members], n[s], after[members], after[s])]
+        if exact[s] and len(own):
+            inner = own[exact[own]]
+            own = own[~exact[own]]
+            mark[whole[s]] = 1
+            mark[-1] = 0
+            same = mark[whole[inner]].sum(axis=1, dtype=np.int64)
+            mark[whole[s]] = 0
+            inner = inner[100 * same >= PERCENT * (n[inner] + n[s] - same)]
+            if len(inner):
+                linked, one = np.unique(root[inner], return_index=True)
+                out.append((np.full(len(one), node[s]), node[inner[one]]))
                 root[np.isin(root, linked)] = root[s]
-        ok = (root[members] != root[s]) & (100 * np.minimum(n[members], n[s]) >= PERCENT * np.maximum(n[members], n[s]))
-        own = members[ok]
-        own = own[~exact[own]] if exact[s] else own
         if has[s] and len(own):
             agree = (lanes[own] == lanes[s]).sum(axis=1)
             own, agree = own[~has[own] | (agree >= AGREE)], agree[~has[own] | (agree >= AGREE)]
@@ -236,7 +309,7 @@ def _compare(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 def _pairs(buckets: DataFrame, lanes: DataFrame, once: bool = True) -> DataFrame:
     """Candidate edges from members outside a bucket's main component to members of other components.
 
-    buckets: (key, node, n, root, outside, stray, m). A bucket is dealt out in parts of
+    buckets: (key, node, n, p, root, outside, stray, m). A bucket is dealt out in parts of
     PART members, each once with each part of DIRECT strays (rows marked outside, stray in
     all); pairs are compared within a task, and only those that may be similar leave it;
     with once, from the first bucket they share.
@@ -246,57 +319,23 @@ def _pairs(buckets: DataFrame, lanes: DataFrame, once: bool = True) -> DataFrame
     wide = wide.join(keys, "node") if once else wide.withColumn("keys", F.array().cast("array<bigint>"))
     parts, stray_parts = (F.greatest(F.lit(1), F.ceil(F.col(c) / most)).cast("int") for c, most in (("m", PART), ("stray", DIRECT)))
     each = lambda count: F.explode(F.sequence(F.lit(0), count - 1))
-    columns = ["node", "n", "root", "lanes", "fine", "small", "keys"]
+    columns = ["node", "n", "p", "root", "lanes", "fine", "small", "keys"]
     members = wide.select("key", F.pmod(F.hash("node"), parts).alias("salt"), each(stray_parts).alias("part"), F.lit(False).alias("stray"), *columns)
     strays = wide.where("outside").select("key", each(parts).alias("salt"), F.pmod(F.xxhash64("node"), stray_parts).cast("int").alias("part"), F.lit(True).alias("stray"), *columns)
+    cell = ("key", "salt", "part")
 
     def run(batches):
-        held = None
-        for batch in batches:
-            now = pa.Table.from_batches([batch])
-            held = now if held is None else pa.concat_tables([held, now])
-            if held.num_rows >= 2 * PART:
-                last = cuts(held)[-2]
-                if last:
-                    yield from groups(held.slice(0, last))
-                    held = held.slice(last)
-        if held is not None and held.num_rows:
-            yield from groups(held)
-
-    def cuts(rows):
-        cell = [rows[c].to_numpy() for c in ("key", "salt", "part")]
-        return [0, *(np.flatnonzero(np.any([x[1:] != x[:-1] for x in cell], axis=0)) + 1).tolist(), rows.num_rows]
-
-    def groups(rows):
-        rows = rows.combine_chunks()
-        at = cuts(rows)
-        found = [_compare(rows.slice(a, b - a)) for a, b in zip(at, at[1:])]
-        a, b = (np.concatenate([x[k] for x in found]) for k in (0, 1))
-        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
-
-    dealt = members.unionByName(strays).repartition("key", "salt", "part").sortWithinPartitions("key", "salt", "part")
+        for rows in _whole_groups(batches, cell):
+            at = _cuts(rows, cell)
+            found = [_compare(rows.slice(a, b - a)) for a, b in zip(at, at[1:])]
+            a, b = (np.concatenate([x[k] for x in found]) for k in (0, 1))
+            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+    dealt = members.unionByName(strays).repartition(*cell).sortWithinPartitions(*cell)
     return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def _agree(edges: DataFrame, reps: DataFrame) -> DataFrame:
-    """Edges that both sketches leave possible."""
-    own = lambda x: reps.select(F.col("node").alias(x), F.col("lanes").alias(f"lanes_{x}"))
-    wide = edges.join(own("a"), "a").join(own("b"), "b").select("a", "b", "lanes_a", "lanes_b").dropDuplicates(["a", "b"])
-
-    def run(batches):
-        for batch in batches:
-            both = [batch.column(c).to_pylist() for c in ("lanes_a", "lanes_b")]
-            ok = np.ones(batch.num_rows, dtype=bool)
-            at = [k for k, (x, y) in enumerate(zip(*both)) if x is not None and y is not None]
-            if at:
-                x, y = (np.frombuffer(b"".join(side[k] for k in at), dtype=np.uint8).reshape(-1, LANES) for side in both)
-                ok[at] = (x == y).sum(axis=1) >= AGREE
-            yield batch.select(["a", "b"]).filter(pa.array(ok))
-
-    return wide.mapInArrow(run, edges.schema)
-
-
 def _chosen(docs: DataFrame, text: str, wanted: DataFrame, column: str, encode) -> DataFrame:
     """(doc_id, column): encode(sets of a run of rows) for the documents of wanted (doc_id), kept."""
 
@@ -321,7 +360,7 @@ def _all_lanes(nodes: DataFrame, reps: DataFrame, docs: DataFrame, text: str) ->
         return out
 
     fine = _chosen(docs, text, nodes.select(F.col("node").alias("doc_id")), "fine", encode).withColumnRenamed("doc_id", "node")
-    return keep(fine.join(reps.select("node", "lanes", "small").dropDuplicates(["node"]), "node"))
+    return keep(fine.join(reps.select("node", "lanes", "small"), "node"))
 
 
 def _confirm(edges: DataFrame, docs: DataFrame, text: str) -> DataFrame:
@@ -368,14 +407,14 @@ def _candidates_of_rest(rest: DataFrame, reps: DataFrame, docs: DataFrame, text:
             break
         if not last:
             # what may share this bucket alone: all pairs of a prefix key, and members of no other open bucket
-            alone = large.join(others, "node").withColumn("outside", F.when(F.col("prefix"), F.col("outside")).otherwise(F.size("others") < 2))
+            alone = large.join(others, "node").withColumn("outside", F.when(F.col("p").isNotNull(), F.col("outside")).otherwise(F.size("others") < 2))
             alone = keep(alone.drop("stray", "others").join(alone.where("outside").groupBy("key").agg(F.count("*").alias("stray")), "key"))
             out = out.unionByName(_pairs(alone, lanes, once=False))
-            large = large.where("not prefix")
+            large = large.where("p is null")
         # a sub-bucket: those members of a large bucket that share a further open bucket
-        two = large.join(others, "node").select("node", "n", "root", F.col("key").alias("k1"), F.explode("others").alias("k2")).where("k1 <> k2")
+        two = large.join(others, "node").select("node", "n", "p", "root", F.col("key").alias("k1"), F.explode("others").alias("k2")).where("k1 <> k2")
         mixed = F.xxhash64("k1", "k2") if last else F.xxhash64(F.least("k1", "k2"), F.greatest("k1", "k2"))
-        rest = keep(_mixed(two.select(mixed.alias("key"), "node", "n", "root").distinct()))
+        rest = keep(_mixed(two.select(mixed.alias("key"), "node", "n", "p", "root").distinct()))
         out = out.unionByName(_pairs(rest if last else rest.where(F.col("stray") <= DIRECT), lanes, once=False))
     return out.distinct()
 
@@ -387,9 +426,9 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     alive = sketch.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     rep_of = keep(alive.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep")))
     rep_ids = maybe_broadcast(rep_of.select(F.col("rep").alias("doc_id"), "s1", "s2"))
-    reps = alive.join(rep_ids, ["doc_id", "s1", "s2"]).select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "lanes", "keys", "small")
+    reps = keep(alive.join(rep_ids, ["doc_id", "s1", "s2"]).select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "lanes", "keys", "small").dropDuplicates(["node"]))
     buckets = _shared_buckets(reps)
-    first = _confirm(_agree(_stars(buckets), reps), docs, text)
+    first = _confirm(_stars(buckets, reps), docs, text)
     rest = _candidates_of_rest(_open_buckets(buckets, first), reps, docs, text)
     roots = components(first.unionByName(_confirm(rest, docs, text)))
     of_rep = rep_of.join(roots, rep_of["rep"] == roots["node"], "left").select("s1", "s2", "n_shingles", F.coalesce("root", "rep").alias("component_id"))
@@ -400,8 +439,8 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs of which one of each group stays, the one with the smallest doc_id."""
-    gone = keep(near_duplicates(docs, text).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct())
-    return docs.join(maybe_broadcast(gone), F.col("doc_id") == F.col("__gone"), "left_anti").select(*docs.columns)
+    gone = keep(near_duplicates(docs, text).where(~F.col("kept")).select("doc_id").distinct())
+    return docs.join(maybe_broadcast(gone), "doc_id", "left_anti").select(*docs.columns)
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
