@@ -21,5 +21,6 @@ ORACLE_SQL: dict[str, str] = {
     "op3_substring_dedup": oracle_sql.OP3,
     "op4_quality_rules": oracle_sql.OP4,
     "op6_near_dedup": oracle_sql.OP6,
+    "op8_warc": oracle_sql.OP8,
     "op9_decontamination": oracle_sql.OP9,
 }

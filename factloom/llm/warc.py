@@ -6,21 +6,25 @@ others are revisits (profile identical-payload-digest) that name it and keep its
 HTTP header with the length, but no payload.
 
 The index follows the capture index of web archives. Its lines, (reversed-host URL
-key, page_id, file, offset, length), are sorted over all tasks and stored in blocks
-of BLOCK_LINES lines, each a gzip member; a sparse directory has the first key of
-every block with its place, in order. CaptureIndex.find() binary-searches the
-directory, reads the one or few blocks that can hold the key, searches those, and
-then reads single records by range.
+key, page_id, file, offset, length), are sorted over all tasks by key and page_id and
+stored in blocks of BLOCK_LINES lines, each a gzip member. Beside each file of blocks
+stands its sparse directory: the first key of every block with its place. The driver
+holds one row a file. CaptureIndex.find() binary-searches the files, then one file's
+directory, reads the block that can hold the key, searches that, and then reads single
+records by range. read_pages() does so in tasks for any table of pages: sorted by key,
+so that a block is read about once, and record by record in the order of the archives.
 
 Files are written under new names in the shared folder and count only through the
 rows that their tasks return, so a repeated task leaves at most an unused file.
-Texts are shuffled once; what else moves are digests, ids and index lines.
+Digests, ids and index lines move, and payloads only where more than REPEATED of them
+are stored more than once.
 
 Defined cases: a null html is an empty payload, a null URL an empty one; URLs that
 cannot be parsed sort under their own text; a null page_id comes after all others
 and is written without a number; rows that share a page_id are records of their
-own, the first read of equal payloads being the response; an empty table gives no
-files and an empty index.
+own, and responses if their page_id is the smallest; a very long payload is held whole
+by the task that writes or reads it; other columns are not read; an empty table gives
+no files and an empty index.
 """
 
 from __future__ import annotations
@@ -32,7 +36,7 @@ import hashlib
 import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections import OrderedDict
 from dataclasses import dataclass
 from urllib.parse import urlsplit
 
@@ -41,17 +45,23 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm._shared import keep, shared_dir, table
+from factloom.llm._shared import keep, maybe_broadcast, shared_dir, table
 from factloom.llm._text import slices
 
 BLOCK_LINES = 2000
+#: Repeated payloads whose digests are broadcast (about 100 bytes each); beyond it pages are shuffled by digest.
+REPEATED = 200_000
+#: Pages that one task reads back, about.
+READ_PAGES = 4000
+#: Blocks and directories that a worker holds.
+_HELD_BLOCKS = 64
 _DATE = "1970-01-01T00:00:00Z"  # the tables have no capture time
 _VERSION = b"WARC/1.1\r\n"
 
 
 def url_key(url: str | None) -> str:
-    """The host reversed, comma-joined, then ')' and the path with the query: pages of a domain sort together."""
-    url = url or ""
+    """The host reversed, comma-joined, then ')' and the path with the query: pages of a domain sort together; without tabs and line ends, which part the lines of the index."""
+    url = re.sub(r"[\t\r\n]", " ", url or "")
     try:
         x = urlsplit(url)
         host, port = (x.hostname or "").rstrip("."), x.port
@@ -75,15 +85,20 @@ def _line(x: str | None) -> str:
     return re.sub(r"[\x00-\x1f\x7f]+", "%20", x or "")
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, kind: str) -> bytes:
-    """One record as a gzip member."""
+def _record_id(*parts) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, ' '.join(map(str, parts)))}>"
+
+
+def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, kind: str, place: str = "") -> bytes:
+    """One record as a gzip member. A response is named by its page and payload, a revisit also by its place."""
+    own = _record_id(page_id, digest(payload)) if kind == "response" else _record_id(page_id, digest(payload), place)
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     body = http + (payload if kind == "response" else b"")
-    head = [f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'{page_id}')}>", f"WARC-Date: {_DATE}", f"WARC-Target-URI: {_line(url)}", f"WARC-Payload-Digest: sha1:{digest(payload)}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(body)}"]
+    head = [f"WARC-Type: {kind}", f"WARC-Record-ID: {own}", f"WARC-Date: {_DATE}", f"WARC-Target-URI: {_line(url)}", f"WARC-Payload-Digest: sha1:{digest(payload)}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(body)}"]
     if page_id is not None:
         head.append(f"X-Page-ID: {page_id}")
     if kind == "revisit":
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'{refers_to}')}>", f"X-Refers-To-Page-ID: {refers_to}"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {_record_id(refers_to, digest(payload))}", f"X-Refers-To-Page-ID: {refers_to}"]
     pack = zlib.compressobj(6, zlib.DEFLATED, 31)
     return pack.compress(_VERSION + "\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n") + pack.flush()
 
@@ -100,20 +115,6 @@ def parse(plain: bytes) -> dict:
     return fields | {"payload": payload, "payload_bytes": int(length[1]) if length else len(payload)}
 
 
-def members(source, size: int = 1 << 20) -> Iterator[tuple[int, int, bytes]]:
-    """(offset, length, plain bytes) of each gzip member of a file, read in order."""
-    unpack, offset, at, out = zlib.decompressobj(31), 0, 0, []
-    while chunk := source.read(size):
-        while chunk:
-            out.append(unpack.decompress(chunk))
-            left = unpack.unused_data if unpack.eof else b""
-            at += len(chunk) - len(left)
-            if unpack.eof:
-                yield offset, at - offset, b"".join(out)
-                unpack, offset, out = zlib.decompressobj(31), at, []
-            chunk = left
-
-
 def _open(path: str):
     fs, name = pafs.FileSystem.from_uri(path)
     return fs.open_input_file(name)
@@ -136,7 +137,7 @@ def write_records(pages: DataFrame, folder: str) -> DataFrame:
     first = rows.groupBy("sha1").agg(F.min(F.coalesce("page_id", last)).alias("first"), F.count("*").alias("copies"))
     # only digests of repeated payloads are joined to the pages, and only their revisits keep an entry
     repeated = first.where("copies > 1").drop("copies")
-    joined = rows.join(repeated, "sha1", "left").drop("sha1")
+    joined = rows.join(maybe_broadcast(keep(repeated), REPEATED), "sha1", "left").drop("sha1")
 
     def write(batches):
         from pyspark import TaskContext
@@ -148,7 +149,7 @@ def write_records(pages: DataFrame, folder: str) -> DataFrame:
                 sink = sink or _create(folder, name)
                 for page_id, url, html, first_id in zip(*(part.column(c).to_pylist() for c in ("page_id", "url", "html", "first"))):
                     kind = "response" if first_id is None or first_id == (2**63 - 1 if page_id is None else page_id) else "revisit"
-                    packed = record(page_id, url, html.encode(), first_id, kind)
+                    packed = record(page_id, url, html.encode(), first_id, kind, f"{name} {at}")
                     sink.write(packed)
                     out.append((url_key(url), page_id, f"{folder}/{name}", at, len(packed), kind))
                     at += len(packed)
@@ -164,121 +165,165 @@ def _lines(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["url_key", "page_id", "file", "offset", "length", "record_type"])
 
 
-_DIRECTORY_SCHEMA = "part bigint, first_key string, file string, offset bigint, length bigint, lines bigint"
+_LAST = 2**63  # a null page_id sorts behind all others
 
 
-def write_index(lines: DataFrame, folder: str) -> DataFrame:
-    """Sort the lines over all tasks, write them as compressed blocks, and return the directory: a row a block, in order."""
-    ordered = lines.repartitionByRange("url_key", "page_id").sortWithinPartitions("url_key", "page_id", "file", "offset")
+def write_index(lines: DataFrame, folder: str) -> CaptureIndex:
+    """Sort the lines over all tasks and write them as compressed blocks, with a directory beside each file."""
+    order = [F.col("url_key").asc(), F.col("page_id").asc_nulls_last()]
+    ordered = lines.repartitionByRange(*order).sortWithinPartitions(*order, "file", "offset")
 
     def write(batches):
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        sink, name, at, held = None, f"{part:08d}-{uuid.uuid4().hex}.cdx.gz", 0, []
+        sink, name, at, held, directory, total = None, f"{part:08d}-{uuid.uuid4().hex}", 0, [], [], 0
 
         def block():
-            nonlocal at
+            nonlocal at, total
             packed = gzip.compress("".join(held).encode(), 6, mtime=0)
             sink.write(packed)
-            row = {"part": part, "first_key": held[0].split("\t", 1)[0], "file": f"{folder}/{name}", "offset": at, "length": len(packed), "lines": len(held)}
-            at += len(packed)
+            key, page = held[0].split("\t", 2)[:2]
+            directory.append(f"{key}\t{page}\t{at}\t{len(packed)}\n")
+            at, total = at + len(packed), total + len(held)
             held.clear()
-            return pa.RecordBatch.from_pylist([row], pa.schema([("part", pa.int64()), ("first_key", pa.string()), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("lines", pa.int64())]))
 
         for batch in batches:
-            sink = sink or _create(folder, name)
             for row in zip(*(c.to_pylist() for c in batch.columns)):
-                held.append("\t".join(re.sub(r"[\t\r\n]", " ", "" if x is None else str(x)) for x in row) + "\n")
+                sink = sink or _create(folder, f"{name}.cdx.gz")
+                held.append("\t".join("" if x is None else str(x) for x in row) + "\n")
                 if len(held) == BLOCK_LINES:
-                    yield block()
+                    block()
         if held:
-            yield block()
+            block()
         if sink is not None:
             sink.close()
+            with _create(folder, f"{name}.dir.gz") as beside:
+                beside.write(gzip.compress("".join(directory).encode(), 6, mtime=0))
+            key, page = directory[0].split("\t", 2)[:2]
+            kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64())
+            row = (part, key, int(page) if page else None, f"{folder}/{name}", len(directory), total)
+            yield pa.RecordBatch.from_arrays([pa.array([x], kind) for x, kind in zip(row, kinds)], ["part", "url_key", "page_id", "path", "blocks", "lines"])
+
+    files = ordered.mapInArrow(write, "part bigint, url_key string, page_id bigint, path string, blocks bigint, lines bigint").collect()
+    files = sorted(files, key=lambda r: r["part"])
+    return CaptureIndex([_place(r["url_key"], r["page_id"]) for r in files], [r["path"] for r in files], sum(r["lines"] for r in files))
+
+
+def _place(key: str, page_id: int | None) -> tuple[str, int]:
+    return key, _LAST if page_id is None else page_id
+
+
+def _rows(packed: bytes) -> list[list[str]]:
+    return [x.split("\t") for x in gzip.decompress(packed).decode().split("\n")[:-1]]
+
+
+_HELD: OrderedDict[tuple, tuple[list, list]] = OrderedDict()
 
-    return keep(ordered.mapInArrow(write, _DIRECTORY_SCHEMA))
 
+def _read_rows(path: str, offset: int = 0, length: int | None = None) -> tuple[list[tuple[str, int]], list[list[str]]]:
+    """The sorted keys and the rows of a directory or a block, from this worker's memory if they are held."""
+    name = (path, offset)
+    if name not in _HELD:
+        with _open(path) as source:
+            source.seek(offset)
+            rows = _rows(source.read(length) if length is not None else source.read())
+        _HELD[name] = [_place(x[0], int(x[1]) if x[1] else None) for x in rows], rows
+        if len(_HELD) > _HELD_BLOCKS:
+            _HELD.popitem(last=False)
+    _HELD.move_to_end(name)
+    return _HELD[name]
 
-@dataclass
+
+@dataclass(frozen=True)
 class CaptureIndex:
-    """The directory in memory (one row for BLOCK_LINES captures), and lookups through it."""
-
-    keys: list[str]
-    places: list[tuple[str, int, int]]
-
-    @classmethod
-    def load(cls, directory: DataFrame) -> CaptureIndex:
-        rows = directory.orderBy("part", "offset").collect()
-        return cls([r["first_key"] for r in rows], [(r["file"], r["offset"], r["length"]) for r in rows])
-
-    def find(self, url: str | None) -> list[dict]:
-        """The captures of a URL: block by binary search in the directory, line by binary search in the block."""
-        key, out = re.sub(r"[\t\r\n]", " ", url_key(url)), []
-        at = max(0, bisect.bisect_left(self.keys, key) - 1)
-        while at < len(self.keys) and self.keys[at] <= key:
-            file, offset, length = self.places[at]
-            with _open(file) as source:
-                source.seek(offset)
-                lines = gzip.decompress(source.read(length)).decode().splitlines()
-            low = bisect.bisect_left(lines, key, key=lambda x: x.split("\t", 1)[0])
-            for x in lines[low:]:
-                fields = x.split("\t")
-                if fields[0] != key:
-                    break
-                out.append({"url_key": key, "page_id": int(fields[1]) if fields[1] else None, "file": fields[2], "offset": int(fields[3]), "length": int(fields[4]), "record_type": fields[5]})
-            at += 1
+    """The first key and the name of each index file, in order (one row a task that wrote), and lookups through them."""
+
+    first: list[tuple[str, int]]
+    paths: list[str]
+    lines: int
+
+    def find(self, url: str | None, page_id: int | None = None, every: bool = True) -> list[dict]:
+        """The captures of a URL, or, without `every`, that of one page: file, block and line by binary search."""
+        return self.captures(url_key(url), page_id, every)
+
+    def captures(self, key: str, page_id: int | None, every: bool = False) -> list[dict]:
+        low, high = ((key, -_LAST), (key, _LAST)) if every else (_place(key, page_id),) * 2
+        out = []
+        # keys equal to `low` may begin in the block before the first one that begins with them
+        for k in range(max(0, bisect.bisect_left(self.first, low) - 1), bisect.bisect_right(self.first, high)):
+            starts, blocks = _read_rows(f"{self.paths[k]}.dir.gz")
+            for b in range(max(0, bisect.bisect_left(starts, low) - 1), bisect.bisect_right(starts, high)):
+                keys, rows = _read_rows(f"{self.paths[k]}.cdx.gz", int(blocks[b][2]), int(blocks[b][3]))
+                for x in rows[bisect.bisect_left(keys, low) : bisect.bisect_right(keys, high)]:
+                    out.append({"url_key": x[0], "page_id": int(x[1]) if x[1] else None, "file": x[2], "offset": int(x[3]), "length": int(x[4]), "record_type": x[5]})
         return out
 
     @staticmethod
     def read(capture: dict) -> dict:
         """The record of a capture, read by range."""
         with _open(capture["file"]) as source:
-            source.seek(capture["offset"])
-            return parse(gzip.decompress(source.read(capture["length"])))
-
+            return _read_record(source, capture)
 
-_READ_SCHEMA = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint"
 
+def _read_record(source, capture: dict) -> dict:
+    source.seek(capture["offset"])
+    return parse(gzip.decompress(source.read(capture["length"])))
 
-def read_records(spark: SparkSession, lines: DataFrame) -> DataFrame:
-    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of every record, from the files that the index lines name."""
-    files = lines.select("file").distinct()
 
-    def read(batches):
-        def rows(out):
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
-            names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
-            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names)
+_READ_SCHEMA = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint"
 
-        for batch in batches:
-            for path in batch.column("file").to_pylist():
-                out = []
-                with _open(path) as source:
-                    for _, _, plain in members(source):
-                        x = parse(plain)
-                        said = x["WARC-Payload-Digest"].removeprefix("sha1:")
-                        if x["WARC-Type"] == "response" and (digest(x["payload"]) != said or len(x["payload"]) != x["payload_bytes"]):
-                            raise ValueError(f"a damaged record in {path}")
-                        page, to = x.get("X-Page-ID"), x.get("X-Refers-To-Page-ID")
-                        out.append((int(page) if page else None, x["payload_bytes"], said, x["WARC-Type"], int(to) if to else None))
-                        if len(out) == 5000:
-                            yield rows(out)
-                            out = []
-                yield rows(out)
 
-    return files.repartition(max(1, min(files.count(), 10_000)), "file").mapInArrow(read, _READ_SCHEMA)
+def read_pages(pages: DataFrame, index: CaptureIndex) -> DataFrame:
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of every record of pages (page_id, url), found through the index and read by range."""
 
+    def ask(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([url_key(x) for x in batch.column("url").to_pylist()], pa.string()), batch.column("page_id")], ["url_key", "page_id"])
 
-def write_archive(pages: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
-    """Write records and index; returns the index lines and the block directory."""
-    lines = write_records(pages, f"{folder}/warc")
-    return lines, write_index(lines, f"{folder}/index")
+    def read(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                keys, ids = (batch.column(c).slice(at, 1000).to_pylist() for c in ("url_key", "page_id"))
+                found = []
+                for key, page_id in zip(keys, ids):
+                    captures = index.captures(key, page_id)
+                    if not captures:
+                        raise ValueError(f"no capture of page {page_id}")
+                    found += captures
+                out, source, path = [], None, None
+                for x in sorted(found, key=lambda x: (x["file"], x["offset"])):
+                    if x["file"] != path:
+                        if source is not None:
+                            source.close()
+                        source, path = _open(x["file"]), x["file"]
+                    out.append(_checked(_read_record(source, x), x))
+                if source is not None:
+                    source.close()
+                kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+
+    asked = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url").mapInArrow(ask, "url_key string, page_id bigint").distinct()
+    order = [F.col("url_key").asc(), F.col("page_id").asc_nulls_last()]
+    return asked.repartitionByRange(max(1, -(-index.lines // READ_PAGES)), *order).sortWithinPartitions(*order).mapInArrow(read, _READ_SCHEMA)
+
+
+def _checked(x: dict, capture: dict) -> tuple:
+    """The row of a record, which must be the one that the index names, and whole."""
+    said = x["WARC-Payload-Digest"].removeprefix("sha1:")
+    page, to = x.get("X-Page-ID"), x.get("X-Refers-To-Page-ID")
+    page = int(page) if page else None
+    whole = x["WARC-Type"] != "response" or (digest(x["payload"]) == said and len(x["payload"]) == x["payload_bytes"])
+    if not whole or page != capture["page_id"] or x["WARC-Type"] != capture["record_type"]:
+        raise ValueError(f"a damaged record in {capture['file']} at {capture['offset']}")
+    return page, x["payload_bytes"], said, x["WARC-Type"], int(to) if to else None
+
+
+def write_archive(pages: DataFrame, folder: str) -> CaptureIndex:
+    """Write records and index."""
+    return write_index(write_records(pages, f"{folder}/warc"), f"{folder}/index")
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines, directory = write_archive(table(spark, sf_dir, "pages"), shared_dir(spark))
-    stored = directory.agg(F.sum("lines")).first()[0] or 0
-    if stored != lines.count():
-        raise RuntimeError("the index does not hold every record")
-    return read_records(spark, lines)
+    pages = table(spark, sf_dir, "pages")
+    return read_pages(pages, write_archive(pages, shared_dir(spark)))
