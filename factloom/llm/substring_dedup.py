@@ -12,18 +12,21 @@ Buckets hold about BUCKET_BYTES each, so their number grows with the corpus; the
 JVM sorts the blobs by bucket (and can spill), and a Python task holds one bucket
 at a time.
 
-Skew: a minimiser with more than HOT_SHARE of all super-k-mers (and HOT_LEAST) is
-hot; at most 1 / HOT_SHARE can be, which bounds the list that tasks get. Windows
-with a hot minimiser travel singly, to the bucket of their own words. Of equal
+Skew: a minimiser with more than HOT_LEAST super-k-mers is hot (240 kB of text), or, beyond
+8e9 super-k-mers, with more than HOT_SHARE of them, so that the list that tasks get stays
+below 1 / HOT_SHARE entries, 32 MB. Windows with a hot minimiser travel singly, to the bucket of their own words. Of equal
 ones in a run of documents a task sends only that of the smallest doc_id: the
 others are known to be repeats already, and only their ranges travel.
 
 Windows are compared by 128 bits of hashes of their words.
 
 Defined cases: null texts have no words; equal windows within one document are no
-repeats; a null doc_id comes after all others, and such rows are one document;
-doc_id identifies a document: rows that share one are repeats of it; texts shorter
-than a window stay; extra columns stay, but for those with names of output columns.
+repeats; a null doc_id comes after all others; of rows that share a doc_id, or have none,
+neither is the smaller, and each loses what repeats in it alone: ranges belong to a doc_id
+and a text (64 bits of its hash); repeated rows get equal results; texts shorter than a
+window stay; a very long text is cut into super-k-mers as one run, at about 60 bytes of
+memory a byte; an empty table gives an empty result; extra columns stay, whatever their
+names, but for those with names of output columns.
 """
 
 from __future__ import annotations
@@ -38,18 +41,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factloom.llm._shared import BROADCAST_ROWS, keep, table
+from factloom.llm._shared import keep, table
 from factloom.llm._text import SPACE, U64, hashes, mix, ngrams, raw, slices, within, words
 
 WINDOW = 13
 MINIMISER = 3
-#: A minimiser is hot above this share of all super-k-mers; so at most 500,000 are (4 MB of hashes).
-HOT_SHARE = 2e-6
+#: A minimiser is hot above this share of all super-k-mers; so at most 4,000,000 are (32 MB of hashes).
+HOT_SHARE = 2.5e-7
 HOT_LEAST = 2000
 #: Packed words of a bucket, on average.
 BUCKET_BYTES = 16 << 20
 #: Text that a task cuts into super-k-mers at a time.
 RUN_BYTES = 6 << 20
+#: Ranges of repeats that are broadcast (about 30 bytes each); beyond it texts are shuffled to them.
+BROADCAST_RANGES = 1_000_000
 _STRING_BYTES = 120
 _LAST = np.iinfo(np.int64).max
 
@@ -59,6 +64,7 @@ class _Windows:
 
     def __init__(self, part: pa.RecordBatch, text: str):
         self.doc = part.column("doc_id").cast(pa.int64()).fill_null(_LAST).to_numpy(zero_copy_only=False)
+        self.text = part.column("text_hash").to_numpy()
         self.data, rows = raw(part.column(text))
         self.start, self.end, self.first = words(self.data, rows, ~SPACE)
         self.hash = hashes(self.data, self.start, self.end)
@@ -78,24 +84,25 @@ class _Windows:
         self.last = np.concatenate((self.open[1:], [len(self.at)]))[: len(self.open)] - 1
 
 
-def _pack(doc: np.ndarray, position: np.ndarray, strings: list[bytes]) -> bytes:
+def _pack(doc: np.ndarray, text: np.ndarray, position: np.ndarray, strings: list[bytes]) -> bytes:
     size = np.fromiter(map(len, strings), dtype=np.uint32, count=len(strings))
     head = np.array([len(strings)], dtype=np.uint32)
-    return zstandard.ZstdCompressor(level=3).compress(b"".join([head.tobytes(), np.diff(doc, prepend=0).astype(np.int64).tobytes(), position.astype(np.uint32).tobytes(), size.tobytes(), *strings]))
+    return zstandard.ZstdCompressor(level=3).compress(b"".join([head.tobytes(), np.diff(doc, prepend=0).astype(np.int64).tobytes(), text.astype(np.int64).tobytes(), position.astype(np.uint32).tobytes(), size.tobytes(), *strings]))
 
 
-def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes]:
+def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]:
     x = zstandard.ZstdDecompressor().decompress(blob)
     n = int(np.frombuffer(x, dtype=np.uint32, count=1)[0])
     doc = np.cumsum(np.frombuffer(x, dtype=np.int64, count=n, offset=4))
-    position = np.frombuffer(x, dtype=np.uint32, count=n, offset=4 + 8 * n).astype(np.int64)
-    size = np.frombuffer(x, dtype=np.uint32, count=n, offset=4 + 12 * n).astype(np.int64)
-    return doc, position, size, x[4 + 16 * n :]
+    text = np.frombuffer(x, dtype=np.int64, count=n, offset=4 + 8 * n)
+    position = np.frombuffer(x, dtype=np.uint32, count=n, offset=4 + 16 * n).astype(np.int64)
+    size = np.frombuffer(x, dtype=np.uint32, count=n, offset=4 + 20 * n).astype(np.int64)
+    return doc, text, position, size, x[4 + 24 * n :]
 
 
 _COUNT_SCHEMA = "minimiser bigint, n bigint"
 _BLOB_SCHEMA = "bucket bigint, repeats boolean, blob binary"
-_RANGE_SCHEMA = "doc_id bigint, first bigint, n bigint"
+_RANGE_SCHEMA = "doc_id bigint, text_hash bigint, first bigint, n bigint"
 
 
 def _hot_minimisers(docs: DataFrame, text: str) -> tuple[np.ndarray, int]:
@@ -108,7 +115,7 @@ def _hot_minimisers(docs: DataFrame, text: str) -> tuple[np.ndarray, int]:
                 keys, n = np.unique(w.minimiser[w.open], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([None, *keys.view(np.int64).tolist()], pa.int64()), pa.array(np.concatenate(([len(w.open)], n)))], ["minimiser", "n"])
 
-    counts = docs.select("doc_id", text).mapInArrow(count, _COUNT_SCHEMA).groupBy("minimiser").agg(F.sum("n").alias("n")).where(F.col("minimiser").isNull() | (F.col("n") > HOT_LEAST))
+    counts = docs.select("doc_id", "text_hash", text).mapInArrow(count, _COUNT_SCHEMA).groupBy("minimiser").agg(F.sum("n").alias("n")).where(F.col("minimiser").isNull() | (F.col("n") > HOT_LEAST))
     counts = keep(counts)
     total = counts.where("minimiser is null").first()
     total = total["n"] if total else 0
@@ -141,7 +148,7 @@ def _map(part: pa.RecordBatch, text: str, hot: np.ndarray, buckets: int):
         begin, stop = np.concatenate((begin, at[sent])), np.concatenate((stop, at[sent] + WINDOW))
         row, bucket = np.concatenate((row, r[sent])), np.concatenate((bucket, mix(one[sent] ^ two[sent]) % U64(buckets)))
         if len(known):
-            ranges = np.stack(_ranges(w.doc[r[known]], at[known] - w.first[r[known]]), axis=1)
+            ranges = np.stack(_ranges(w.doc[r[known]], w.text[r[known]], at[known] - w.first[r[known]]), axis=1)
             to = int(mix(np.array([w.doc[0] & _LAST], dtype=U64))[0] % U64(buckets))
             out.append((to, True, zstandard.compress(ranges.astype(np.int64).tobytes())))
     order = np.argsort(bucket, kind="stable")
@@ -150,24 +157,24 @@ def _map(part: pa.RecordBatch, text: str, hot: np.ndarray, buckets: int):
     for a, b in zip(cuts, [*cuts[1:], len(order)]):
         own = order[a:b]
         own = own[np.argsort(row[own], kind="stable")]
-        out.append((int(bucket[own[0]]), False, _pack(w.doc[row[own]], begin[own] - w.first[row[own]], [data[starts[i] : ends[i]] for i in own.tolist()])))
+        out.append((int(bucket[own[0]]), False, _pack(w.doc[row[own]], w.text[row[own]], begin[own] - w.first[row[own]], [data[starts[i] : ends[i]] for i in own.tolist()])))
     return out
 
 
-def _ranges(doc: np.ndarray, position: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Neighbouring window positions of a document, in the order given, as ranges of words: doc, first, n."""
+def _ranges(doc: np.ndarray, text: np.ndarray, position: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Neighbouring window positions of a document, in the order given, as ranges of words: doc, text, first, n."""
     opens = np.ones(len(doc), dtype=bool)
-    opens[1:] = (doc[1:] != doc[:-1]) | (position[1:] != position[:-1] + 1)
+    opens[1:] = (doc[1:] != doc[:-1]) | (text[1:] != text[:-1]) | (position[1:] != position[:-1] + 1)
     at = np.flatnonzero(opens)
     last = np.concatenate((at[1:], [len(doc)]))[: len(at)] - 1
-    return doc[at], position[at], position[last] - position[at] + WINDOW
+    return doc[at], text[at], position[at], position[last] - position[at] + WINDOW
 
 
-def _reduce(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _reduce(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Ranges of the repeated windows of one bucket."""
     parts = [_unpack(b) for b in blobs]
-    doc, position, size = (np.concatenate([p[k] for p in parts]) for k in range(3))
-    data = np.frombuffer(b"".join([*(p[3] for p in parts), bytes(8)]), dtype=np.uint8)
+    doc, text, position, size = (np.concatenate([p[k] for p in parts]) for k in range(4))
+    data = np.frombuffer(b"".join([*(p[4] for p in parts), bytes(8)]), dtype=np.uint8)
     rows = np.concatenate(([0], np.cumsum(size)))
     start, end, first = words(data, rows, ~SPACE)
     h = hashes(data, start, end)
@@ -176,7 +183,7 @@ def _reduce(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     again = np.flatnonzero(pd.Series(one).duplicated(keep=False).to_numpy())
     if not len(again):
         none = np.zeros(0, dtype=np.int64)
-        return none, none, none
+        return none, none, none, none
     at, one = at[again], one[again]
     two = ngrams(h, WINDOW, 1)[at]
     row = np.searchsorted(first, at, side="right") - 1
@@ -187,11 +194,11 @@ def _reduce(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     head = np.maximum.accumulate(np.where(fresh, np.arange(len(order)), 0))
     repeat = np.zeros(len(order), dtype=bool)
     repeat[order] = own[order] > own[order[head]]
-    return _ranges(own[repeat], (position[row] + at - first[row])[repeat])
+    return _ranges(own[repeat], text[row][repeat], (position[row] + at - first[row])[repeat])
 
 
 def repeated_ranges(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, first, n): ranges of words, by number, that repeat windows of documents with smaller ids; they may overlap."""
+    """(doc_id, text_hash, first, n) for docs (doc_id, text_hash, text): ranges of words, by number, that repeat windows of documents with smaller ids; they may overlap."""
     hot, total = _hot_minimisers(docs, text)
     buckets = max(12, -(-total * _STRING_BYTES // BUCKET_BYTES))
     hot_sent = docs.sparkSession.sparkContext.broadcast(hot)
@@ -203,14 +210,14 @@ def repeated_ranges(docs: DataFrame, text: str = "text") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.bool_(), pa.binary()))], ["bucket", "repeats", "blob"])
 
     def compare(batches):
-        def result(doc, first, n):
-            return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(first, pa.int64()), pa.array(n, pa.int64())], ["doc_id", "first", "n"])
+        def result(*columns):
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["doc_id", "text_hash", "first", "n"])
 
         now, held = None, []
         for batch in batches:
             for bucket, repeats, blob in zip(batch.column("bucket").to_pylist(), batch.column("repeats").to_pylist(), batch.column("blob")):
                 if repeats:
-                    yield result(*np.frombuffer(zstandard.decompress(blob.as_py()), dtype=np.int64).reshape(-1, 3).T)
+                    yield result(*np.frombuffer(zstandard.decompress(blob.as_py()), dtype=np.int64).reshape(-1, 4).T)
                     continue
                 if bucket != now and held:
                     yield result(*_reduce(held))
@@ -220,12 +227,12 @@ def repeated_ranges(docs: DataFrame, text: str = "text") -> DataFrame:
         if held:
             yield result(*_reduce(held))
 
-    packed = docs.select("doc_id", text).mapInArrow(send, _BLOB_SCHEMA)
+    packed = docs.select("doc_id", "text_hash", text).mapInArrow(send, _BLOB_SCHEMA)
     return packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(compare, _RANGE_SCHEMA)
 
 
 def _merged(ranges: DataFrame) -> DataFrame:
-    """(doc_id, ranges): the ranges of each document, those that touch put together."""
+    """(doc_id, text_hash, ranges): the ranges of each document, those that touch put together."""
 
     def merge(batches):
         for batch in batches:
@@ -238,27 +245,28 @@ def _merged(ranges: DataFrame) -> DataFrame:
                     else:
                         merged.append(x)
                 out.append(merged)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.list_(pa.struct([("first", pa.int64()), ("n", pa.int64())])))], ["doc_id", "ranges"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(out, pa.list_(pa.struct([("first", pa.int64()), ("n", pa.int64())])))], ["doc_id", "text_hash", "ranges"])
 
-    return ranges.groupBy("doc_id").agg(F.collect_list(F.struct("first", "n")).alias("ranges")).mapInArrow(merge, "doc_id bigint, ranges array<struct<first: bigint, n: bigint>>")
+    return ranges.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("first", "n")).alias("ranges")).mapInArrow(merge, "doc_id bigint, text_hash bigint, ranges array<struct<first: bigint, n: bigint>>")
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", with_text: bool = False) -> DataFrame:
     """docs without the text, with n_words, n_removed and kept_sha256, and with_text also kept_text: the kept words joined by spaces."""
     made = {"n_words": pa.int64(), "n_removed": pa.int64(), "kept_sha256": pa.string()} | ({"kept_text": pa.string()} if with_text else {})
-    others = [c for c in docs.columns if c not in (text, *made, "__ranges")]
-    of_doc = keep(_merged(repeated_ranges(docs, text)).withColumnRenamed("doc_id", "__id").withColumnRenamed("ranges", "__ranges"))
-    n = of_doc.agg(F.sum(F.size("__ranges"))).first()[0] or 0
-    own = docs.select(*others, text).withColumn("__id", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST)))
-    joined = own.join(F.broadcast(of_doc) if n <= BROADCAST_ROWS else of_doc.hint("merge"), "__id", "left").select(*others, text, "__ranges")
+    others = [c for c in docs.columns if c not in (text, *made)]
+    # the other columns travel as one, so that their names cannot meet those used here
+    own = docs.select(F.struct(*others).alias("row"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST)).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
+    of_doc = keep(_merged(repeated_ranges(own)))
+    n = of_doc.agg(F.sum(F.size("ranges"))).first()[0] or 0
+    joined = own.join(F.broadcast(of_doc) if n <= BROADCAST_RANGES else of_doc.hint("merge"), ["doc_id", "text_hash"], "left").select("row", "text", "ranges")
 
     def cut(batches):
         for batch in batches:
-            for part in slices(batch, text):
-                data, rows = raw(part.column(text))
+            for part in slices(batch):
+                data, rows = raw(part.column("text"))
                 start, end, first = words(data, rows, ~SPACE)
                 whole, removed, digests, texts = data.tobytes(), [], [], []
-                for k, own_ranges in enumerate(part.column("__ranges").to_pylist()):
+                for k, own_ranges in enumerate(part.column("ranges").to_pylist()):
                     a, b = int(first[k]), int(first[k + 1])
                     gone = np.zeros(b - a, dtype=bool)
                     for r in own_ranges or ():
@@ -269,10 +277,10 @@ def remove_repeats(docs: DataFrame, text: str = "text", with_text: bool = False)
                     digests.append(hashlib.sha256(kept).hexdigest())
                     texts.append(kept.decode() if with_text else None)
                 values = [np.diff(first), removed, digests, texts][: len(made)]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in others), *(pa.array(v, kind) for v, kind in zip(values, made.values()))], [*others, *made])
+                yield pa.RecordBatch.from_arrays([part.column("row"), *(pa.array(v, kind) for v, kind in zip(values, made.values()))], ["row", *made])
 
-    schema = T.StructType([*(docs.schema[c] for c in others), *(T.StructField(c, T.LongType() if kind == pa.int64() else T.StringType()) for c, kind in made.items())])
-    return joined.mapInArrow(cut, schema)
+    schema = T.StructType([joined.schema["row"], *(T.StructField(c, T.LongType() if kind == pa.int64() else T.StringType()) for c, kind in made.items())])
+    return joined.mapInArrow(cut, schema).select("row.*", *made)
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
