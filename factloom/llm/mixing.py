@@ -7,13 +7,15 @@ first among the released blocks fills every slot. As each block runs in its wind
 at any slot t each source has run between w * t / W - 1 and w * t / W + 1 blocks:
 windows follow from the weights themselves, so no error adds up.
 
-The slots are worked out in frames of `frame` slots, each by itself. At the edge T of a
-frame a source has run floor(w * T / W) blocks for certain; the block behind them may
-lie on either side. The blocks that go before T are taken by earliest deadline, as long
+The slots are worked out in frames, each by itself, of twice the longest window W / w, so
+that no window meets two edges, and of `frame` slots at least; where that passes the last
+slot there is one frame. At the edge T of a frame a source has run floor(w * T / W) blocks
+for certain; the block behind them may lie on either side. The blocks that go before T are taken by earliest deadline, as long
 as all of them and all certain ones fit between their releases and T: among all sets
 that fit this one has the most blocks due up to any later slot, so both frames can be
 filled. Within a frame the schedule is a fold over its slots in SQL. Frames are rows,
-dealt out over the tasks; the work is slots times sources, with at most SOURCES sources.
+dealt out over the tasks; the work is slots times sources, with at most SOURCES sources,
+and one task's part of it grows with the inverse of the smallest weight.
 
 The number of a document within its source comes from counts by md5 prefix and row
 numbers within a prefix, so that a source with a third of all rows is ranked in many
@@ -73,24 +75,28 @@ def _run_before(edge: str) -> str:
 
 
 def schedule(shares: DataFrame, slots: DataFrame, frame: int) -> DataFrame:
-    """(slot, source, block) of the slots up to `slots` (one row, one number) for shares (source, w), by earliest deadline first."""
-    one = shares.agg(F.array_sort(F.collect_list(F.struct("source", F.col("w").cast("decimal(19,0)").alias("w")))).alias("s"), F.sum("w").cast("decimal(19,0)").alias("total"))
-    frames = one.where(F.size("s") > 0).join(slots.select(F.col(slots.columns[0]).alias("slots"))).select("s", "total", F.explode(F.expr(f"sequence(0L, slots div {frame})")).alias("f"))
-    edges = frames.repartition("f")
-    edge = lambda k: f"cast((f + {k}) * {frame} AS decimal(19,0))"
+    """(slot, source, block) of the slots up to `slots` (one row, one number) for shares (source, w), by earliest deadline first; frames are multiples of `frame`."""
+    one = shares.agg(F.array_sort(F.collect_list(F.struct("source", F.col("w").cast("decimal(19,0)").alias("w")))).alias("s"), F.sum("w").cast("decimal(19,0)").alias("total"), F.min("w").cast("decimal(19,0)").alias("least"))
+    one = one.where(F.size("s") > 0).join(slots.select(F.col(slots.columns[0]).alias("slots")))
+    one = one.withColumn("chunks", F.expr(f"least(2 * (total div least + 1), slots) div {frame} + 1")).withColumn("len", F.expr(f"chunks * {frame}L"))
+    edges = one.select("s", "total", "chunks", "len", F.explode(F.expr("sequence(0L, slots div len)")).alias("f")).repartition("f")
+    edge = lambda k: f"cast((f + {k}) * len AS decimal(19,0))"
     # the blocks of each source in this frame, with their windows as slots of the frame
-    jobs = f"""transform(s, (x, i) -> if(q2[i] > q[i], transform(sequence(q[i], q2[i] - 1), b -> struct(
-        cast(greatest(0L, cast(b AS decimal(19,0)) * total div x.w - f * {frame}) AS int) AS r,
-        cast(least({frame}L, (cast(b + 1 AS decimal(19,0)) * total + x.w - 1) div x.w - f * {frame}) AS int) AS d)), cast(array() AS array<struct<r: int, d: int>>)))"""
+    jobs = """transform(s, (x, i) -> if(q2[i] > q[i], transform(sequence(q[i], q2[i] - 1), b -> struct(
+        cast(greatest(0L, cast(b AS decimal(19,0)) * total div x.w - f * len) AS int) AS r,
+        cast(least(len, (cast(b + 1 AS decimal(19,0)) * total + x.w - 1) div x.w - f * len) AS int) AS d)), cast(array() AS array<struct<r: int, d: int>>)))"""
     due = "transform(jobs, (j, i) -> if(acc.next[i] < size(j), if(j[acc.next[i]].r <= t, struct(j[acc.next[i]].d AS d, i AS i), null), null))"
     step = "struct(transform(acc.next, (n, i) -> if(i = pick, n + 1, n)) AS next, concat(acc.picked, array(pick)) AS picked)"
-    fold = f"""aggregate(sequence(0, {frame - 1}), struct(transform(jobs, j -> 0) AS next, cast(array() AS array<int>) AS picked),
-        (acc, t) -> transform(array(array_min({due}).i), pick -> {step})[0], acc -> acc.picked)"""
+    # slots are picked in chunks, so that the list that grows slot by slot stays short
+    chunk = f"""aggregate(sequence(c * {frame}, (c + 1) * {frame} - 1), struct(run.next AS next, cast(array() AS array<int>) AS picked),
+        (acc, t) -> transform(array(array_min({due}).i), pick -> {step})[0])"""
+    fold = f"""aggregate(sequence(0, cast(chunks - 1 AS int)), struct(transform(jobs, j -> 0) AS next, cast(array() AS array<array<int>>) AS picked),
+        (run, c) -> transform(array({chunk}), x -> struct(x.next AS next, concat(run.picked, array(x.picked)) AS picked))[0], run -> flatten(run.picked))"""
     # what a fold reads is bound to variables, as Spark would else put its expression into the fold's steps
     bound = f"""transform(array({_run_before("a")}), q -> transform(array({_run_before("z")}), q2 -> transform(array({jobs}), jobs -> struct(q AS q, {fold} AS picked))))[0][0][0]"""
     bound = f"transform(array({edge(0)}), a -> transform(array({edge(1)}), z -> {bound}))[0][0]"
-    picked = edges.select("s", "f", F.expr(bound).alias("x")).select("s", "f", "x.q", F.posexplode("x.picked").alias("at", "i"))
-    slots_ = picked.select("f", F.expr(f"f * {frame} + at").alias("slot"), F.expr("s[i].source").alias("source"), F.expr("q[i]").alias("first"))
+    picked = edges.select("s", "f", "len", F.expr(bound).alias("x")).select("s", "f", "len", "x.q", F.posexplode("x.picked").alias("at", "i"))
+    slots_ = picked.select("f", F.expr("f * len + at").alias("slot"), F.expr("s[i].source").alias("source"), F.expr("q[i]").alias("first"))
     number = F.row_number().over(Window.partitionBy("f", "source").orderBy("slot")) - 1
     return slots_.withColumn("block", F.col("first") + number).select("slot", "source", "block")
 

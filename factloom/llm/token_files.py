@@ -16,8 +16,8 @@ file, and then only the frames of the documents asked for.
 A text is cut at ASCII white space, each distinct piece is encoded once in a
 Python worker with the tokenizers library, and the ids are put together in numpy.
 That is what encoding whole texts gives if the tokenizer's matches cross no white
-space, as with those of type Split on classes without it; `whole=True` encodes
-whole texts instead, for other tokenizers.
+space; splits_at_space() finds that out from the tokenizer's file and a probe, and
+whole texts are encoded for all other tokenizers.
 
 Files are written under new names in the shared folder; a task's file counts only
 through the row that the task returns, so a lost and repeated task leaves at most
@@ -28,6 +28,7 @@ table gives no file.
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import uuid
@@ -222,6 +223,38 @@ class Encoder:
         return out, row_first
 
 
+#: Texts in which words meet white space, marks, digits, capitals and letters outside ASCII in many ways.
+_PROBES = ("It's 3,14 ÉCOLE x́ y", " a  b\tc\n\nd \r\n", "é ́a ΣΑΣ ß\x0bz\x0c", "wo rd. (x) [y] {z} - -- ... !? 1 2 34 5", "the The THE then  the\n the", "\u3000 \u00a0x\u2028y")
+
+
+def splits_at_space(model: str) -> bool:
+    """Whether encoding the pieces between ASCII white space gives the ids of whole texts, for a tokenizer's file.
+
+    A step has to keep only pieces without white space (a Split that drops all but its matches, or a white space splitter);
+    steps that add or join spaces, and added tokens with white space in them or beside them, rule it out. The pattern of a
+    Split is not read: what is left has to pass the probes.
+    """
+    spec = json.loads(model)
+    steps, before = _parts(spec.get("pre_tokenizer"), "pretokenizers"), _parts(spec.get("normalizer"), "normalizers")
+    drops = any(x["type"] in ("Whitespace", "WhitespaceSplit", "BertPreTokenizer") or x["type"] == "Split" and x["behavior"] == "Removed" and x["invert"] for x in steps)
+    joins = any(x["type"] == "Metaspace" or x["type"] == "ByteLevel" and (x["add_prefix_space"] or x["use_regex"]) for x in steps)
+    alters = any(x["type"] in ("Prepend", "Precompiled") or x["type"] == "Replace" and x["pattern"] != {"Regex": r"\s+"} for x in before)
+    if not drops or joins or alters or any(t["lstrip"] or t["rstrip"] or any(c.isspace() for c in t["content"]) for t in spec.get("added_tokens", [])):
+        return False
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_str(model)
+    ids = lambda x: tokenizer.encode(x, add_special_tokens=False).ids
+    return all(ids(x) == [i for piece in x.encode().split() for i in ids(piece.decode())] for x in _PROBES)
+
+
+def _parts(spec: dict | None, inner: str) -> list[dict]:
+    """The single steps of a pre-tokenizer or normalizer."""
+    if not spec:
+        return []
+    return [y for x in spec[inner] for y in _parts(x, inner)] if spec.get("type") == "Sequence" else [spec]
+
+
 _ENCODERS: dict[tuple, Encoder] = {}
 
 
@@ -237,13 +270,15 @@ def encoder(model: str, end_id: int, whole: bool) -> Encoder:
 _SHARD_SCHEMA = "path string, first_key bigint, n_docs bigint, n_ids bigint"
 
 
-def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, order: tuple[str, ...] = ("doc_id",), text: str = "text", end_id: int = END_ID, whole: bool = False) -> list[dict]:
+def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, order: tuple[str, ...] = ("doc_id",), text: str = "text", end_id: int = END_ID, whole: bool | None = None) -> list[dict]:
     """Write docs as token files in the given order; returns the files in order, each with its number of documents and ids.
 
-    One row a file comes to the driver.
+    One row a file comes to the driver. whole: encode whole texts; by default only where the tokenizer needs it.
     """
     with open(tokenizer_path, encoding="utf-8") as f:
-        model = docs.sparkSession.sparkContext.broadcast(f.read())
+        plain = f.read()
+    whole = not splits_at_space(plain) if whole is None else whole
+    model = docs.sparkSession.sparkContext.broadcast(plain)
     ordered = docs.select("doc_id", text, *[c for c in order if c != "doc_id"]).repartitionByRange(*order).sortWithinPartitions(*order, text)
 
     def write(batches):

@@ -86,17 +86,36 @@ def test_reliabilities():
     assert good[2] > 0.85 and good[5] < 0.15 and abs(bad[2] - bad[5]) < 0.1
 
 
-def test_pfair_windows(spark):
+@pytest.mark.parametrize(
+    ("weights", "frame", "slots"),
+    [
+        ({"a": 0.5, "b": 0.3, "c": 0.15, "d": 0.05}, 1000, 40_000),
+        ({"a": 1 / 3, "b": 0.001, "c": 0.4999, "d": 1 - 1 / 3 - 0.001 - 0.4999}, 1000, 100_000),
+        ({f"s{k}": (k * 37 % 11 + 1) ** 3 for k in range(25)}, 16, 4000),
+        ({f"s{k}": w for k, w in enumerate((0.4, 0.35, 0.02, 0.001, 0.1, 0.05, 0.079))}, 20, 4000),
+    ],
+)
+def test_schedule_stays_within_one_block(spark, weights, frame, slots):
+    whole = mixing.whole_weights(weights)
+    shares = spark.createDataFrame(whole, "source string, w bigint")
+    got = mixing.schedule(shares, spark.createDataFrame([(slots,)], "slots bigint"), frame).orderBy("slot").collect()
+    assert [r["slot"] for r in got] == list(range(len(got))) and len(got) >= slots
+    whole, names = dict(whole), list(weights)
+    w = np.array([weights[s] for s in names]) / sum(weights.values())
+    seen, total = np.zeros(len(names)), sum(whole.values())
+    for t, r in enumerate(got, 1):
+        k, own = names.index(r["source"]), whole[r["source"]]
+        assert r["block"] == seen[k] and r["block"] * total // own <= r["slot"] < -(-(r["block"] + 1) * total // own)
+        seen[k] += 1
+        assert (np.abs(seen - w * t) < 1).all()
+
+
+def test_mix_up_to_its_horizon(spark):
     rows = [(i, s) for i, s in enumerate("a" * 500 + "b" * 120 + "c" * 60 + "d" * 3)]
-    weights = {"a": 0.5, "b": 0.3, "c": 0.15, "d": 0.05}
-    got = mixing.mix(spark.createDataFrame(rows, "doc_id bigint, source string"), weights=weights, block_docs=1, frame=100).orderBy("slot").collect()
-    assert all(r["release"] <= r["slot"] < r["deadline"] for r in got)
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id bigint, source string"), weights={"a": 0.5, "b": 0.3, "c": 0.15, "d": 0.05}, block_docs=1, frame=100).orderBy("slot", "source", "pos").collect()
+    assert len(got) == len(rows) and all(r["release"] <= r["slot"] < r["deadline"] for r in got)
     horizon = sum(r["in_mix"] for r in got)
-    assert horizon >= 60 and [r["slot"] for r in got[:horizon]] == list(range(horizon))
-    seen = dict.fromkeys(weights, 0)
-    for t, r in enumerate(got[:horizon], 1):
-        seen[r["source"]] += 1
-        assert all(abs(seen[s] - w * t) < 1 for s, w in weights.items())
+    assert horizon >= 60 and [r["slot"] for r in got[:horizon]] == list(range(horizon)) and not any(r["in_mix"] for r in got[horizon:])
 
 
 def test_substring_dedup(docs, corpus, monkeypatch):
@@ -168,8 +187,30 @@ def test_near_dedup(docs, corpus, monkeypatch, direct):
     assert got == exact_components(corpus)
 
 
+def words_of(n):
+    return [f"t{k}" for k in range(n)]
+
+
+TEMPLATES = {
+    "short texts with a word of their own": (words_of(7), lambda k: [*words_of(7), f"x{k}"]),
+    "texts with words of their own": (words_of(50), lambda k: [*words_of(50), *(f"x{k}y{j}" for j in range(14))]),
+    "texts of 60 words, one replaced": (words_of(60), lambda k: [f"x{k}" if j == 30 else w for j, w in enumerate(words_of(60))]),
+}
+
+
+@pytest.mark.parametrize("name", TEMPLATES)
+def test_near_dedup_of_a_template(spark, name):
+    """More documents than DIRECT that are all similar to one text, and not to one another."""
+    template, make = TEMPLATES[name]
+    texts = [(k, " ".join(make(k))) for k in range(2600)] + [(2600, " ".join(template))]
+    some = exact_components([*texts[:30], texts[-1]])
+    assert {c for _, c in some.values()} == {0}
+    got = near_dedup.near_duplicates(spark.createDataFrame(texts, "doc_id bigint, text string")).select("component_id").distinct().collect()
+    assert [r[0] for r in got] == [0]
+
+
 @pytest.mark.parametrize("part", [near_dedup.PART, 8])
-def test_near_dedup_of_a_template(spark, monkeypatch, part):
+def test_near_dedup_in_parts(spark, monkeypatch, part):
     """Small sets that share one rarest shingle, in a bucket above DIRECT, all similar to the template alone."""
     monkeypatch.setattr(near_dedup, "DIRECT", 1)
     monkeypatch.setattr(near_dedup, "PART", part)
@@ -179,6 +220,15 @@ def test_near_dedup_of_a_template(spark, monkeypatch, part):
     assert got == exact_components(texts) and {c for _, c in got.values()} == {0}
 
 
+def test_links_found(spark):
+    """Of the links between different texts of sf0.01 that brute force finds, at least 0.99 lie within one class."""
+    texts = [(r["doc_id"], r["text"] or "") for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    want = exact_components(texts)
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(spark.createDataFrame(texts, "doc_id bigint, text string")).collect()}
+    linked = [k for k, (_, c) in want.items() if c != k]
+    assert len(linked) > 50 and sum(got[k] == got[want[k][1]] for k in linked) >= 0.99 * len(linked)
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(k, k + 1) for k in range(300, 340)]
@@ -234,33 +284,108 @@ def test_classifiers(spark, train, flag):
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in got.collect())
 
 
-def test_models_hold_what_was_met_once(spark):
-    counts = spark.createDataFrame([((k << 32) | (k + 1), k % 2, 1 - k % 2) for k in range(2, 40)], "key bigint, c0 bigint, c1 bigint")
-    models = toxicity.fit_models(counts)
-    assert len(models.bigrams) == 38 and len(models.words) == 39
-
-
-def test_rows_of_fold_1_beyond_the_calibration_are_counted(spark, monkeypatch):
-    monkeypatch.setattr(toxicity, "CALIBRATION_DOCS", 5)
+def kneser_ney(texts, order):
+    """P(byte | bytes before) of both classes by the formulas, as a function; for small corpora."""
+    counts = [{}, {}]
+    for text, y in texts:
+        padded = b"\1" * (order - 1) + text
+        for k in range(len(text)):
+            g = padded[k : k + order]
+            counts[y][g] = counts[y].get(g, 0) + 1
+    levels = {order: counts}
+    for n in range(order - 1, 0, -1):
+        levels[n] = [{}, {}]
+        for y in (0, 1):
+            for g in levels[n + 1][y]:
+                levels[n][y][g[1:]] = levels[n][y].get(g[1:], 0) + 1
+    shared = {}
+    for y in (0, 1):
+        for g, c in levels[1][y].items():
+            shared[g] = shared.get(g, 0) + c
+    every = sum(shared.values())
+
+    def discount(n, y):
+        once, twice = (sum(c == k for c in levels[n][y].values()) for k in (1, 2))
+        return min(0.95, max(0.1, once / max(1, once + 2 * twice))) if once else 0.5
+
+    discounts = {(n, y): discount(n, y) for n in levels for y in (0, 1)}
+
+    def p(g, y):
+        n = len(g)
+        if n == 0:
+            return 1.0
+        below = p(g[1:], y) if n > 1 else (shared.get(g, 0) + 1) / (every + 256)
+        own = [c for x, c in levels[n][y].items() if x[:-1] == g[:-1]]
+        if not own:
+            return below
+        d = discounts[n, y]
+        return max(levels[n][y].get(g, 0) - d, 0) / sum(own) + d * len(own) / sum(own) * below
+
+    return p
+
+
+def test_kneser_ney(spark):
+    """Log-ratios of every byte, known and unknown, are those of the formulas; no count is left out."""
+    rng = random.Random(8)
+    texts = [("".join(rng.choice("abcd ") for _ in range(rng.randint(0, 25))), k % 3 == 0) for k in range(25)]
+    docs = spark.createDataFrame([(t, int(y)) for t, y in texts], "text string, __label int")
+    models = toxicity.LanguageModels(toxicity.write_models(toxicity.log_ratios(toxicity.count_sequences(docs)), shared_dir(spark)))
+    p = kneser_ney([(t.encode(), int(y)) for t, y in texts], toxicity.ORDER)
+    for t in [texts[0][0], "abca dd", "zz abcd", "é a"]:
+        own, _ = toxicity.sequences(pa.array([t]))
+        padded = b"\1" * (toxicity.ORDER - 1) + t.encode()
+        want = [np.log(p(padded[k : k + toxicity.ORDER], 1) / p(padded[k : k + toxicity.ORDER], 0)) for k in range(len(t.encode()))]
+        got = models.ratios(own)
+        # a byte that neither class has met has one shared probability, so no evidence of its own
+        assert np.allclose(got, want, atol=1e-4)
+
+
+def test_models_in_parts(spark, monkeypatch):
+    docs = spark.createDataFrame([("some text of words", 0), ("some other text", 1)], "text string, __label int")
+    ratios = toxicity.log_ratios(toxicity.count_sequences(docs))
+    whole = toxicity.LanguageModels(toxicity.write_models(ratios, shared_dir(spark)))
+    monkeypatch.setattr(toxicity, "PART_ROWS", 20)
+    monkeypatch.setattr(toxicity, "HELD_ROWS", 30)
+    parts = toxicity.LanguageModels(toxicity.write_models(ratios, shared_dir(spark)))
+    texts = pa.array(["some text", "other words of", "", None, "x" * 50])
+    assert len(whole.parts) == 1 and len(parts.parts) > 5 and np.array_equal(whole.evidence(texts), parts.evidence(texts))
+
+
+def test_evidence_grows_with_toxicity(spark):
     docs, labels = labelled(spark, "toxic")
-    docs = docs.withColumn("text", F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1, F.concat("text", F.lit(" seldom"))).otherwise(F.col("text")))
-    word = toxicity.bigrams(pa.array(["seldom"]))[0] & np.uint64(0xFFFFFFFF)
-    assert int(word[0]) in toxicity.train(docs, labels).models.words.tolist()
+    model = toxicity.train(docs, labels)
+    assert model.weights[0] > 0
+    clean, worse = model.models.evidence(pa.array(["n1 n2 n3 n4 n5 n6 n7 n8", "n1 n2 n3 awful vile n4 n5 n6"]))
+    assert worse > clean
 
 
-def test_warc(spark):
+def test_warc(spark, monkeypatch):
+    monkeypatch.setattr(warc, "BLOCK_LINES", 7)
     pages = spark.read.parquet(f"{SF}/pages.parquet")
-    lines, directory = warc.write_archive(pages.unionByName(pages.withColumn("page_id", F.col("page_id") + 1000)), shared_dir(spark))
-    index = warc.CaptureIndex.load(directory)
+    index = warc.write_archive(pages.unionByName(pages.withColumn("page_id", F.col("page_id") + 1000)), shared_dir(spark))
+    assert index.lines == 2 * pages.count() and index.first == sorted(index.first)
     for r in pages.collect():
         found = {x["page_id"]: x for x in index.find(r["url"])}
         first, second = (index.read(found[k]) for k in (r["page_id"], r["page_id"] + 1000))
         assert first["payload"].decode() == r["html"] and first["WARC-Type"] == "response"
         assert second["WARC-Type"] == "revisit" and second["payload"] == b"" and second["payload_bytes"] == len(r["html"].encode())
-        assert second["X-Refers-To-Page-ID"] == str(r["page_id"])
+        assert second["X-Refers-To-Page-ID"] == str(r["page_id"]) and second["WARC-Refers-To"] == first["WARC-Record-ID"]
+        assert [x["page_id"] for x in index.find(r["url"], r["page_id"], every=False)] == [r["page_id"]]
     assert index.find("http://nowhere.example/") == []
-    keys = [r["first_key"] for r in directory.orderBy("part", "offset").collect()]
-    assert keys == sorted(keys) and lines.count() == 2 * pages.count()
+
+
+def test_odd_urls_and_popular_ones(spark, monkeypatch):
+    """Line ends of any kind in a URL, and more captures of one URL than a block holds."""
+    monkeypatch.setattr(warc, "BLOCK_LINES", 5)
+    odd = [f"http://a.b/x{c}y" for c in "\u2028\u2029\x85\x0b\x0c\x1c\x1e\t\n\r"]
+    rows = [(k, u, "page") for k, u in enumerate(odd)] + [(100 + k, "http://a.b/popular", f"p{k}") for k in range(40)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(4)
+    index = warc.write_archive(pages, shared_dir(spark))
+    for k, u in enumerate(odd):
+        assert k in [x["page_id"] for x in index.find(u)]
+    assert [x["page_id"] for x in index.find("http://a.b/popular")] == list(range(100, 140))
+    got = {r["page_id"]: r for r in warc.read_pages(pages, index).collect()}
+    assert len(got) == len(rows) and [got[k]["record_type"] for k in (0, 1, 100)] == ["response", "revisit", "response"]
 
 
 def test_url_keys():

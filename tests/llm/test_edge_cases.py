@@ -11,7 +11,7 @@ from factloom.llm import decontaminate, mixing, near_dedup, pii, quality_classif
 from factloom.llm._shared import shared_dir
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
-CLASH = "score double, kept string, n_words string, slot string, spans string, items string, component_id string, key string, q string, k string, at string, block string, pii_spans string, __label string, start string"
+CLASH = "score double, kept string, n_words string, slot string, spans string, items string, component_id string, key string, q string, k string, at string, block string, pii_spans string, __label string, start string, __judged string, __found string, __row string, __part string, __gone string"
 PROSE = "the quick brown fox of the north is here and the people in the town were glad to see it come by the river on a cold day "
 LONG = " ".join(f"word{i % 977} of the" for i in range(60_000))
 
@@ -31,7 +31,7 @@ def docs(spark):
 @pytest.fixture(scope="module")
 def clashing(spark):
     """The same rows with more columns, named like those of the operators' results."""
-    return spark.createDataFrame([(*r, 1.0, *["x"] * 14) for r in rows()], f"{SCHEMA}, {CLASH}")
+    return spark.createDataFrame([(*r, 1.0, *["x"] * 19) for r in rows()], f"{SCHEMA}, {CLASH}")
 
 
 @pytest.fixture(scope="module")
@@ -78,6 +78,16 @@ def test_substring_dedup(spark, docs, clashing, empty):
     assert substring_dedup.remove_repeats(empty).count() == 0
 
 
+def test_substring_dedup_of_rows_that_share_an_id(spark):
+    """Each row loses what repeats in it alone, and columns may have any name."""
+    w = lambda p: " ".join(f"{p}{k}" for k in range(40))
+    rows = [(1, w("a"), "x"), (None, w("a"), "y"), (None, w("b"), "z"), (1, w("c"), "v"), (2, w("c") + " " + w("d"), "u")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, __id string").withColumns({c: F.lit(1) for c in ("__ranges", "row", "ranges", "text_hash")})
+    got = {r["__id"]: r for r in substring_dedup.remove_repeats(df).collect()}
+    assert {k: r["n_removed"] for k, r in got.items()} == {"x": 0, "y": 40, "z": 0, "v": 0, "u": 40}
+    assert got["x"]["text_hash"] == 1 and got["x"]["doc_id"] == 1 and got["z"]["doc_id"] is None
+
+
 def test_quality_rules(spark, docs, clashing, empty):
     got = {r["doc_id"]: r for r in quality_rules.apply_rules(clashing).collect()}
     assert got[2]["base_failed"] and not got[2]["kept"] and got[3]["n_words"] == 0
@@ -125,17 +135,17 @@ def test_classifiers(spark, docs, clashing, empty):
 def test_warc(spark):
     pages = [(1, "http://a.b.c/x?q=1", "same", 1), (2, None, "same", 1), (3, "http://[bad", None, 1), (4, "no host", "", 1), (None, "http://a.b.c/x?q=1", "same", 1), (5, "http://a.b.c:8080/", "é" * 100_000, 1), (1, "http://a.b.c/x?q=1", "same", 1)]
     df = spark.createDataFrame(pages, "page_id bigint, url string, html string, offset int")
-    lines, directory = warc.write_archive(df, shared_dir(spark))
+    df = df.withColumns({c: F.lit("x") for c in ("url_key", "file", "first", "sha1", "length")})
+    index = warc.write_archive(df, shared_dir(spark))
     got = {}
-    for r in warc.read_records(spark, lines).collect():
+    for r in warc.read_pages(df, index).collect():
         got.setdefault(r["page_id"], []).append(r)
     assert [r["record_type"] for r in got[1]] == ["response", "response"] and got[2][0]["refers_to"] == 1 and got[None][0]["refers_to"] == 1
     assert got[3][0]["record_type"] == "response" and got[4][0]["refers_to"] == 3 and got[3][0]["payload_bytes"] == 0 and got[5][0]["payload_bytes"] == 200_000
-    found = warc.CaptureIndex.load(directory)
-    assert sorted(str(x["page_id"]) for x in found.find("http://A.b.c/x?q=1")) == ["1", "1", "None"]
+    assert sorted(str(x["page_id"]) for x in index.find("http://A.b.c/x?q=1")) == ["1", "1", "None"]
     none = spark.createDataFrame([], df.schema)
-    lines, directory = warc.write_archive(none, shared_dir(spark))
-    assert warc.read_records(spark, lines).count() == 0 and warc.CaptureIndex.load(directory).find("http://a/") == []
+    index = warc.write_archive(none, shared_dir(spark))
+    assert warc.read_pages(none, index).count() == 0 and index.find("http://a/") == []
 
 
 def test_decontamination(spark, docs, clashing, empty):
@@ -152,15 +162,34 @@ def test_decontamination(spark, docs, clashing, empty):
     assert parts.select("doc_id", "n_hit", "items", "spans").exceptAll(whole.select("doc_id", "n_hit", "items", "spans")).count() == 0
 
 
-def test_stages(spark, docs, empty, tmp_path):
+def good(spark, table):
+    """table and a text that the rules keep."""
+    text = " ".join("the" if k % 10 == 0 else f"word{k}" for k in range(160))
+    return table.unionByName(spark.createDataFrame([(50, text, "en", "a", len(text))], SCHEMA), allowMissingColumns=True)
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stages(spark, docs, clashing, empty, tmp_path, name):
     benchmark(spark, [(1, "quick brown fox of the north is here and the")]).write.parquet(f"{tmp_path}/benchmark.parquet")
-    for name, stage in corpus_pipeline.STAGES:
-        for table in (docs, empty):
-            out = stage(spark, table, str(tmp_path))
-            if name == "tokens":
-                assert out.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
-            else:
-                assert out.dtypes == table.dtypes
-            assert out.count() <= table.count()
-    docs.where(F.col("doc_id").isNotNull()).write.parquet(f"{tmp_path}/documents.parquet")
-    assert corpus_pipeline.run(spark, str(tmp_path)).count() >= 0
+    stage = dict(corpus_pipeline.STAGES)[name]
+    counts = {"quality_rules": 1, "near_dedup": 10, "decontaminate": 11, "mix": 11, "tokens": 11}
+    for table in (good(spark, docs), good(spark, clashing), empty):
+        out = stage(spark, table, str(tmp_path))
+        if name == "tokens":
+            assert out.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
+        else:
+            assert out.dtypes == table.dtypes
+        assert out.count() == (0 if table is empty else counts[name])
+
+
+def test_run(spark, docs, tmp_path):
+    benchmark(spark, [(1, "quick brown fox of the north is here and the")]).write.parquet(f"{tmp_path}/benchmark.parquet")
+    good(spark, docs).write.parquet(f"{tmp_path}/documents.parquet")
+    assert [r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()] == [50]
+
+
+def test_classifiers_with_both_labels_of_a_document(spark, docs):
+    both = spark.createDataFrame([(i, y, y) for i in range(9) for y in (0, 1, None)], "doc_id bigint, quality int, toxic int")
+    for train in (quality_classifier.train, toxicity.train):
+        got = quality_classifier.score(docs, train(docs, both)).collect()
+        assert len(got) == 10 and all(0 <= r["score"] <= 1 for r in got)
