@@ -11,7 +11,7 @@ from factloom.functions.text import round3, trim
 EVIDENCE_MIN_CONFIDENCE = 0.4
 EVIDENCE_TOP = 3
 
-# Summary and notes as clients see them.
+# Summary and notes as clients see them; the parts of summary() and "Supported by ..." in cite() are such values too.
 NO_CLAIMS = "No verifiable claims were found in the text."
 CONTRADICTED = "Your notes contradict this — do not state it as fact."
 UNSUPPORTED = "No supporting notes found — do not state this as fact."

@@ -436,7 +436,7 @@ def flagship_verify(spark, d):
 
 @query()
 def flagship_cite(spark, d):
-    """What could be cited for the benchmark's items, by the stub judge of the tests."""
+    """What could be cited for the benchmark's items, judged by words."""
     asked = table(spark, d, "benchmark").select(F.col("item_id").alias("answer_id"), "text")
-    results = engine.verify(asked, EMBEDDER.embed(chunks(spark, d)), EMBEDDER, judge.StubJudge())
+    results = engine.verify(asked, EMBEDDER.embed(chunks(spark, d)), EMBEDDER, judge.LexicalJudge())
     return verdict.cite(results).select("answer_id", "cited", F.size("citations").cast("long").alias("n_citations"), "note")

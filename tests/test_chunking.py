@@ -3,8 +3,8 @@ from pyspark.sql import functions as F
 from factloom.operators.chunking import chunk_notes, link_table, split_oversize
 
 NOTE = (
-    "---\ntitle: Auth\n---\n# Auth\n\nSome intro paragraph.\n\n## Decisions\n\nWe chose Postgres for the primary store. ^k93a\n\n"
-    "See [[Projects/Infra|infra notes]] for details.\n\n## Timeline\n\n```\n# not a heading inside code\nprint(\"hi\")\n```\n\n- item one\n- item two\n"
+    "---\ndate: 2031-04-02\n---\n# Harbour\n\nThree berths, one crane.\n\n## Berths\n\nBerth two is closed for repair. ^b2\n\n"
+    "Ask [[People/Ines|the harbour master]] first.\n\n## Crane\n\n```\n# turn off\nlift(3)\n```\n\n* hook\n* chain\n"
 )
 
 
@@ -13,15 +13,17 @@ def chunks(spark, **notes):
     return made.orderBy("path", "ordinal").collect()
 
 
-def test_fixture(spark):
-    got = [(r["ordinal"], r["char_start"], r["char_end"], r["token_est"], r["heading_path"], r["block_id"], r["anchor"], [tuple(w) for w in r["wikilinks"]]) for r in chunks(spark, a=NOTE)]
-    assert got == [
-        (0, 28, 49, 6, "Auth", None, "#Auth", []),
-        (1, 65, 111, 12, "Auth > Decisions", "k93a", "#^k93a", []),
-        (2, 113, 160, 12, "Auth > Decisions", None, "#Decisions", [("Projects/Infra", None, "infra notes")]),
-        (3, 175, 222, 12, "Auth > Timeline", None, "#Timeline", []),
-        (4, 224, 245, 6, "Auth > Timeline", None, "#Timeline", []),
+def test_note(spark):
+    want = [
+        ("Three berths, one crane.", "Harbour", None, "#Harbour", []),
+        ("Berth two is closed for repair. ^b2", "Harbour > Berths", "b2", "#^b2", []),
+        ("Ask [[People/Ines|the harbour master]] first.", "Harbour > Berths", None, "#Berths", [("People/Ines", None, "the harbour master")]),
+        ("```\n# turn off\nlift(3)\n```", "Harbour > Crane", None, "#Crane", []),
+        ("* hook\n* chain", "Harbour > Crane", None, "#Crane", []),
     ]
+    got = chunks(spark, a=NOTE)
+    assert [(r["text"].rstrip("\n"), r["heading_path"], r["block_id"], r["anchor"], [tuple(w) for w in r["wikilinks"]]) for r in got] == want
+    assert [(r["ordinal"], r["char_start"], r["token_est"]) for r in got] == [(k, NOTE.index(w[0]), -(-len(r["text"]) // 4)) for k, (w, r) in enumerate(zip(want, got))]
 
 
 def test_offsets_are_the_text(spark):
@@ -41,14 +43,14 @@ def test_oversize(spark):
 
 
 def test_frontmatter(spark):
-    got = chunks(spark, a="---\naliases: [authentication]\ntags: [x]\n---\n# A\n\nx\n", b="---\ntitle: x\n---\ny\n", c="---\n---\ny\n")
+    got = chunks(spark, a="---\naliases: [moorings]\ntags: [x]\n---\n# A\n\nx\n", b="---\ntitle: x\n---\ny\n", c="---\n---\ny\n")
     assert [(r["path"], r["anchor"]) for r in got] == [("a", "#L0"), ("a", "#A"), ("b", "#L0"), ("c", "#L0")]
-    assert "authentication" in got[0]["text"] and got[0]["char_start"] == 0
+    assert "moorings" in got[0]["text"] and got[0]["char_start"] == 0
 
 
 def test_table(spark):
-    got = chunks(spark, a="# T\n\n| Plan | Price |\n| --- | --- |\n| Pro | $20 |\n^gone\n")
-    assert [(r["text"], r["anchor"]) for r in got] == [("| Plan | Price |", "#T"), ("| Pro | $20 |", "#T")]
+    got = chunks(spark, a="# T\n\n| Berth | Depth |\n| --- | --- |\n| Two | 9 m |\n^gone\n")
+    assert [(r["text"], r["anchor"]) for r in got] == [("| Berth | Depth |", "#T"), ("| Two | 9 m |", "#T")]
 
 
 def test_headings(spark):

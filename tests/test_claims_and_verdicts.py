@@ -10,15 +10,27 @@ from factloom.operators.embedding import FixedEmbedder
 from factloom.operators.index import with_ids
 
 
+class WordJudge:
+    """A deterministic judge: a shared name supports, a delay speaks against an opening."""
+
+    id = "words"
+
+    def judge(self, pairs):
+        claim, passage = F.lower("claim"), F.lower("passage")
+        against = claim.contains("opened") & passage.contains("delayed")
+        known = claim.contains("meridian") & passage.contains("meridian")
+        return pairs.withColumns({"label": F.when(against, "contradicted").when(known, "supported").otherwise("neutral"), "confidence": F.when(against, 0.95).when(known, 0.9).otherwise(0.8)})
+
+
 @pytest.mark.parametrize(
     ("text", "want"),
     [
-        ("We chose Postgres. The cache is Redis. Why though? ", ["We chose Postgres.", "The cache is Redis."]),
-        ("Postgres", ["Postgres"]),
-        ("We use Redis for caching and Stripe for payments.", ["We use Redis for caching", "We use Stripe for payments."]),
-        ("The auth rewrite is in Q3 and the billing rewrite is in Q4.", ["The auth rewrite is in Q3", "the billing rewrite is in Q4."]),
+        ("We built ferries. The dock is steel. Who knows? ", ["We built ferries.", "The dock is steel."]),
+        ("Ferries", ["Ferries"]),
+        ("We use cranes for loading and pilots for docking.", ["We use cranes for loading", "We use pilots for docking."]),
+        ("The north pier is in May and the south pier is in June.", ["The north pier is in May", "the south pier is in June."]),
         ("Tabs and spaces.", ["Tabs and spaces."]),
-        ("Why though?", ["Why though?"]),
+        ("Who knows?", ["Who knows?"]),
         ("  ", []),
         (None, []),
     ],
@@ -29,7 +41,7 @@ def test_decompose(spark, text, want):
     assert len(claims.VERBS) == 101
 
 
-def outcome(spark, text, passages, judge_=judge.StubJudge(), given=False):
+def outcome(spark, text, passages, judge_=WordJudge(), given=False):
     notes = [(f"n{k}.md", f"# N\n\n{p}\n") for k, p in enumerate(passages)]
     chunks = FixedEmbedder().embed(with_ids(chunk_notes(spark.createDataFrame(notes, "path string, content string"))))
     sources = spark.createDataFrame([(1, "s.md", "#S", p) for p in passages], "answer_id bigint, path string, anchor string, text string") if given else None
@@ -38,14 +50,14 @@ def outcome(spark, text, passages, judge_=judge.StubJudge(), given=False):
 
 def test_supported(spark):
     for given in (False, True):
-        r = outcome(spark, "We chose Postgres for storage.", ["We use Postgres as the primary store. ^d4e1"], given=given)
+        r = outcome(spark, "We run Meridian ferries daily.", ["Meridian ferries cross every day. ^m7p2"], given=given)
         assert r["verdict"] == "grounded" and r["grounded"] and r["score"] == 0.9
-        assert r["per_claim"][0]["evidence"][0]["anchor"] == ("#S" if given else "#^d4e1")
+        assert r["per_claim"][0]["evidence"][0]["anchor"] == ("#S" if given else "#^m7p2")
 
 
 def test_contradicted(spark):
-    r = outcome(spark, "The auth rewrite shipped in March.", ["The auth rewrite slipped to Q3; no code shipped in March. ^k93a"])
-    assert r["verdict"] == "refused" and r["per_claim"][0]["verdict"] == "contradicted" and r["refused_claims"] == ["The auth rewrite shipped in March."]
+    r = outcome(spark, "The south pier opened in June.", ["The south pier is delayed to autumn and closed until then. ^q5r8"])
+    assert r["verdict"] == "refused" and r["per_claim"][0]["verdict"] == "contradicted" and r["refused_claims"] == ["The south pier opened in June."]
     assert verdict.cite(outcome_frame(spark, r)).first()["note"] == verdict.CONTRADICTED
 
 
@@ -54,11 +66,11 @@ def outcome_frame(spark, row):
 
 
 def test_guard(spark):
-    r = outcome(spark, "We run Postgres on Kubernetes.", ["We use Postgres as the primary store."])
+    r = outcome(spark, "We run Meridian ferries at Halvorsen.", ["Meridian ferries cross every day."])
     assert r["verdict"] == "refused" and r["per_claim"][0]["verdict"] == "neutral"
 
 
-@pytest.mark.parametrize(("claim", "passage", "holds"), [("We like PostgreSQL", "postgres it is", True), ("It is 99.99% up", "99.9% up", False), ("It costs 100", "it costs 1000", True), ("We use Heroku", "Fly.io only", False), ("We use Fly.io", "nothing", True)])
+@pytest.mark.parametrize(("claim", "passage", "holds"), [("We like MeridianLine", "meridian it is", True), ("It is 87.25% full", "87.2% full", False), ("It seats 40", "it seats 400", True), ("We use Tromso", "Bergen only", False), ("We use Ox.no", "nothing", True)])
 def test_salient_terms(spark, claim, passage, holds):
     assert spark.range(1).select(verdict.holds_terms(verdict.salient_terms(F.lit(claim)), F.lit(passage))).first()[0] == holds
 
@@ -120,23 +132,23 @@ def fine(claim, passages):
 
 
 def test_remote_judge(spark):
-    passage = ["We use Postgres as the primary store."]
-    assert outcome(spark, "We use Postgres.", passage, judge.RemoteJudge("r", fine))["verdict"] == "grounded"
-    assert outcome(spark, "We use Postgres.", passage, judge.RemoteJudge("r", broken))["per_claim"][0]["verdict"] == "neutral"
-    assert outcome(spark, "We use Postgres.", passage, judge.RemoteJudge("r", slow, timeout_ms=50))["per_claim"][0]["verdict"] == "neutral"
+    passage = ["Meridian ferries cross every day."]
+    assert outcome(spark, "We run Meridian ferries.", passage, judge.RemoteJudge("r", fine))["verdict"] == "grounded"
+    assert outcome(spark, "We run Meridian ferries.", passage, judge.RemoteJudge("r", broken))["per_claim"][0]["verdict"] == "neutral"
+    assert outcome(spark, "We run Meridian ferries.", passage, judge.RemoteJudge("r", slow, timeout_ms=50))["per_claim"][0]["verdict"] == "neutral"
     assert isinstance(judge.choose_judge("auto"), judge.LexicalJudge) and isinstance(judge.choose_judge("auto", "key", fine), judge.RemoteJudge) and isinstance(judge.choose_judge("local", "key", fine), judge.LexicalJudge)
 
 
 def load_model():
-    return lambda premise, hypothesis: [3.0, 1.0, 0.0] if "Postgres" in premise else [0.0, 2.0, 0.0]
+    return lambda premise, hypothesis: [3.0, 1.0, 0.0] if "Meridian" in premise else [0.0, 2.0, 0.0]
 
 
 def test_model_judge(spark):
-    r = outcome(spark, "We use Postgres.", ["We use Postgres as the primary store."], judge.ModelJudge("m", load_model))
+    r = outcome(spark, "We run Meridian ferries.", ["Meridian ferries cross every day."], judge.ModelJudge("m", load_model))
     assert r["verdict"] == "grounded" and 0.8 < r["score"] < 0.9
 
 
 def test_lexical_judge(spark):
-    rows = [("The cache is Redis", "The cache layer is Redis today"), ("The cache is Redis", "The cache is not Redis"), ("The plan costs 20", "The plan costs 30"), ("Dogs bark loudly", "Postgres is a store")]
+    rows = [("The hull is steel", "The outer hull is steel today"), ("The hull is steel", "The hull is not steel"), ("The crew counts 12", "The crew counts 15"), ("Gulls cry loudly", "Ferries need a dock")]
     got = judge.LexicalJudge().judge(spark.createDataFrame(rows, "claim string, passage string")).select("label").collect()
     assert [r[0] for r in got] == ["supported", "contradicted", "contradicted", "neutral"]

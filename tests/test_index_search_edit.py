@@ -40,30 +40,30 @@ def test_knn(spark):
 
 def test_engine(spark, tmp_path):
     vault = tmp_path / "vault"
-    write(vault, Projects__Auth_md="# Auth\n\n## Decisions\n\nWe chose Postgres for the primary store. ^k93a\n", **{"Daily/2026-01-01.md": "# Journal\n\nThe weather was sunny today.\n"})
+    write(vault, Port__Berths_md="# Berths\n\n## Plans\n\nThe team plans Rotterdam for the next release. ^p4n1\n", **{"Daily/2026-01-01.md": "# Diary\n\nGulls at the pier this morning.\n"})
     engine = Engine(spark, str(vault), str(tmp_path / "home"))
     assert engine.ping()["message"] == "pong"
     assert engine.index_all() == {"notes": 2, "chunks": 2, "skipped": 0, "errored": 0, "pruned": 0}
-    top = engine.search("postgres database decision", 3).orderBy("rank").first()
-    assert (top["path"], top["anchor"], top["citation"]) == ("Projects/Auth.md", "#^k93a", "Projects/Auth.md#^k93a") and top["quote"].endswith("^k93a")
+    top = engine.search("release plan of the team", 3).orderBy("rank").first()
+    assert (top["path"], top["anchor"], top["citation"]) == ("Port/Berths.md", "#^p4n1", "Port/Berths.md#^p4n1") and top["quote"].endswith("^p4n1")
     assert engine.index_all() == {"notes": 0, "chunks": 0, "skipped": 2, "errored": 0, "pruned": 0}
-    write(vault, Binary_md=bytes([0, 1, 2, 0]), Temp_md="# T\n\nSome store.\n")
+    write(vault, Binary_md=bytes([0, 1, 2, 0]), Temp_md="# T\n\nSome data.\n")
     assert engine.index_all()["notes"] == 1 and engine.index.vector_count() == 3
     os.remove(vault / "Temp.md")
     assert engine.index_all()["pruned"] == 1
-    engine.index.remove("Projects/Auth.md")
+    engine.index.remove("Port/Berths.md")
     assert engine.index.chunks().select("path").distinct().count() == 1
     with pytest.raises(ValueError):
         engine.search("x", 51)
 
-    first = engine.safe_edit("Projects/Auth.md", "chose Postgres", "chose MySQL")
-    done = engine.safe_edit("Projects/Auth.md", "chose Postgres", "chose MySQL", first.token)
-    assert done.reindexed_chunks == 1 and "MySQL" in (vault / "Projects/Auth.md").read_text()
-    back = engine.restore("Projects/Auth.md", done.snapshot)
-    assert "Postgres" in (vault / "Projects/Auth.md").read_text() and "MySQL" in open(back.pre_restore_snapshot).read()
-    assert engine.verify("We chose Postgres for the primary store.").first()["verdict"] == "grounded"
-    cited = engine.cite("We chose Postgres for the primary store.").first()
-    assert cited["cited"] and cited["note"] == "Supported by 1 note passage(s)." and cited["statement"].startswith("We chose")
+    first = engine.safe_edit("Port/Berths.md", "plans Rotterdam", "plans Antwerp")
+    done = engine.safe_edit("Port/Berths.md", "plans Rotterdam", "plans Antwerp", first.token)
+    assert done.reindexed_chunks == 1 and "Antwerp" in (vault / "Port/Berths.md").read_text()
+    back = engine.restore("Port/Berths.md", done.snapshot)
+    assert "Rotterdam" in (vault / "Port/Berths.md").read_text() and "Antwerp" in open(back.pre_restore_snapshot).read()
+    assert engine.verify("The team plans Rotterdam for the next release.").first()["verdict"] == "grounded"
+    cited = engine.cite("The team plans Rotterdam for the next release.").first()
+    assert cited["cited"] and cited["note"] == "Supported by 1 note passage(s)." and cited["statement"].startswith("The team")
 
 
 def test_model_change_rebuilds(spark, tmp_path):
@@ -83,26 +83,26 @@ def test_embedders(spark):
     df = spark.createDataFrame([("a",), ("b",)], "text string").coalesce(1)
     got = ModelEmbedder("m", 2, remote_loader(post, "m"), batch=2).embed(df).collect()
     assert [r["embedding"][0] for r in got] == [1.0, 1.0]
-    assert sorted(len(r["embedding"]) for r in KeywordEmbedder().embed(df).collect()) == [8, 8]
+    assert sorted(len(r["embedding"]) for r in KeywordEmbedder().embed(df).collect()) == [12, 12]
     with pytest.raises(RuntimeError, match="500"):
         remote_loader(lambda r: (500, "x" * 999), "m")()(["a"])
     with pytest.raises(ValueError):
         choose_embedder("remote")
-    assert choose_embedder("local").dim == 8
+    assert choose_embedder("local").dim == 12
 
 
 def test_editor(tmp_path):
     root = tmp_path / "v"
-    write(root, a_md="# A\n\nWe use MySQL.\n", b_md="x x")
+    write(root, a_md="# A\n\nThe pier is wood.\n", b_md="x x")
     editor = revisions.NoteEditor(str(root), str(tmp_path / "s"))
-    seen = editor.edit("a.md", "We use MySQL.", "We use Postgres.")
-    assert "-We use MySQL." in seen.diff and "+We use Postgres." in seen.diff and len(seen.token) == 16 and "MySQL" in (root / "a.md").read_text()
-    assert seen.diff.startswith("@@ -3,1 +3,1 @@\n # A\n \n-We")
-    for args, message in ((("a.md", "We use MySQL.", "y", "0" * 16), "token"), (("../e.md", "x", "y"), "outside the vault"), (("a.txt", "x", "y"), "Markdown"), (("a.md", "absent", "y"), "not found"), (("b.md", "x", "y"), "2 times"), (("a.md", "MySQL", "MySQL"), "nothing")):
+    seen = editor.edit("a.md", "The pier is wood.", "The pier is stone.")
+    assert "-The pier is wood." in seen.diff and "+The pier is stone." in seen.diff and len(seen.token) == 16 and "wood" in (root / "a.md").read_text()
+    assert seen.diff.startswith("@@ -3,1 +3,1 @@\n # A\n \n-The")
+    for args, message in ((("a.md", "The pier is wood.", "y", "0" * 16), "token"), (("../e.md", "x", "y"), "outside the vault"), (("a.txt", "x", "y"), "Markdown"), (("a.md", "absent", "y"), "not found"), (("b.md", "x", "y"), "2 times"), (("a.md", "wood", "wood"), "nothing")):
         with pytest.raises(revisions.EditError, match=message):
             editor.edit(*args)
-    done = editor.edit("a.md", "We use MySQL.", "We use Postgres.", seen.token)
-    assert "MySQL" in open(done.snapshot).read() and "Postgres" in (root / "a.md").read_text()
+    done = editor.edit("a.md", "The pier is wood.", "The pier is stone.", seen.token)
+    assert "wood" in open(done.snapshot).read() and "stone" in (root / "a.md").read_text()
     with pytest.raises(revisions.EditError):
         editor.restore("a.md", str(root / "b.md"))
     for _ in range(25):
