@@ -1,17 +1,22 @@
 """Notes to chunks, the units of citation.
 
-All steps are column expressions and windows over (path, line number): one exchange
-by path serves the offsets, fences, headings, blocks and ordinals of a note. Offsets
+A note is worked on within its row: one Arrow pass finds its lines and blocks, in time
+linear in its length, and column expressions do the rest, so nothing is shuffled. Offsets
 are code points, so substring(content, char_start + 1, char_end - char_start) is the
 text of every chunk.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from factloom.functions.text import is_blank, last_index, let, trim, trim_end
+from factloom.functions.text import SPACE, is_blank, last_index, let, trim, trim_end
 
 MAX_CHARS = 1000
 
@@ -31,39 +36,80 @@ def frontmatter(content: Column) -> Column:
     return F.regexp_extract(content, FRONTMATTER, 0)
 
 
-def lines(notes: DataFrame) -> DataFrame:
-    """(path, i, line, at): the lines behind the frontmatter, with the place in the note where each begins."""
-    body = notes.withColumn("__base", F.length(frontmatter(F.col("content"))))
-    split = body.select("path", "__base", F.posexplode(F.split(F.expr("substr(content, __base + 1)"), "\n")).alias("i", "line"))
-    before = Window.partitionBy("path").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    return split.withColumn("at", (F.col("__base") + F.coalesce(F.sum(F.length("line") + 1).over(before), F.lit(0))).cast("int")).drop("__base")
-
-
-def structure(rows: DataFrame) -> DataFrame:
-    """lines() with fences, headings, blocks and the heading path in force at each line."""
-    by_note = Window.partitionBy("path").orderBy("i")
-    so_far = by_note.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    marker = F.col("line").rlike(FENCE)
-    rows = rows.withColumn("marker", marker).withColumn("fences", F.sum(F.col("marker").cast("int")).over(so_far).cast("int"))
-    inside = ~F.col("marker") & (F.col("fences") % 2 == 1)
-    level = F.length(F.regexp_extract("line", HEADING, 1))
-    rows = rows.withColumns({"in_fence": inside, "level": F.when(F.col("marker") | inside, F.lit(0)).otherwise(level)})
-    rows = rows.withColumn("outside", (F.col("level") > 0) | (is_blank(F.col("line")) & ~F.col("in_fence") & ~F.col("marker")))
-    closes = F.col("outside") | (F.col("marker") & (F.col("fences") % 2 == 0))
-    opens = (F.col("marker") & (F.col("fences") % 2 == 1)) | F.coalesce(F.lag(closes).over(by_note), F.lit(True))
-    rows = rows.withColumn("block", F.sum(opens.cast("int")).over(so_far).cast("int"))
-    title = F.regexp_extract("line", HEADING, 2)
-    latest = {f"h{k}": F.last(F.when(F.col("level") == k, F.struct(F.col("i"), title.alias("t"))), ignorenulls=True).over(so_far) for k in range(1, 7)}
-    rows = rows.withColumns(latest)
-    # a heading is in force if no later one has a smaller level
-    active = [F.when(F.col(f"h{k}.i") > F.greatest(F.lit(-1), *[F.coalesce(F.col(f"h{j}.i"), F.lit(-1)) for j in range(1, k)]) if k > 1 else F.col("h1").isNotNull(), F.col(f"h{k}.t")) for k in range(1, 7)]
-    return rows.withColumn("headings", F.array_compact(F.array(*active))).drop(*latest)
-
-
-def blocks(rows: DataFrame) -> DataFrame:
-    """(path, block, headings, lines): the non-blank blocks of structure(), lines as (i, at, line)."""
-    kept = rows.where(~F.col("outside")).groupBy("path", "block").agg(F.array_sort(F.collect_list(F.struct("i", "at", "line"))).alias("lines"), F.min_by("headings", "i").alias("headings"))
-    return kept.where(F.exists("lines", lambda x: ~is_blank(x["line"])))
+# the same patterns for the Arrow pass; "." stops at the line ends that it stops at in the JVM
+_FENCE = re.compile(FENCE, re.ASCII)
+_HEADING = re.compile(HEADING.replace(".*", r"[^\n\r\u0085\u2028\u2029]*").replace(r"\z", r"\Z"), re.ASCII)
+_FULL = re.compile("[^" + re.sub(r"\\x\{([0-9A-F]{4})\}", r"\\u\1", SPACE) + "]", re.ASCII)
+_LINE = ("i", "at", "line", "marker", "in_fence", "level", "outside", "block", "headings")
+_LINE_TYPES = (pa.int32(), pa.int32(), pa.string(), pa.bool_(), pa.bool_(), pa.int32(), pa.bool_(), pa.int32(), pa.list_(pa.string()))
+_STRUCTURE = "i int, at int, line string, marker boolean, in_fence boolean, level int, outside boolean, block int, headings array<string>"
+_BLOCKS = "array<struct<block: int, headings: array<string>, lines: array<struct<i: int, at: int, line: string>>>>"
+_BLOCKS_ARROW = pa.list_(pa.struct([("block", pa.int32()), ("headings", pa.list_(pa.string())), ("lines", pa.list_(pa.struct([("i", pa.int32()), ("at", pa.int32()), ("line", pa.string())])))]))
+
+
+def _lines(body: str, at: int) -> Iterator[tuple]:
+    """The lines of a note's body, which begins at `at`, as _LINE: fences, headings, blocks and the headings in force."""
+    fenced, closed, block, active = False, True, 0, {}
+    for i, line in enumerate(body.split("\n")):
+        marker = _FENCE.match(line) is not None
+        fenced ^= marker
+        inside = fenced and not marker
+        heading = None if marker or inside else _HEADING.match(line)
+        level = len(heading[1]) if heading else 0
+        outside = level > 0 or not (marker or inside or _FULL.search(line))
+        block += (marker and fenced) or closed
+        closed = outside or (marker and not fenced)
+        if level:  # ends all headings of its level and below
+            active = {k: t for k, t in active.items() if k < level} | {level: heading[2]}
+        yield i, at, line, marker, inside, level, outside, block, list(active.values())
+        at += len(line) + 1
+
+
+def _bodies(notes: DataFrame) -> DataFrame:
+    """(path, front, body): the frontmatter and what is behind it."""
+    front = notes.select("path", frontmatter(F.col("content")).alias("front"), "content")
+    return front.select("path", "front", F.expr("substr(content, length(front) + 1)").alias("body"))
+
+
+def structure(notes: DataFrame) -> DataFrame:
+    """A row a line behind the frontmatter: its number, its place in the note, and _lines()."""
+
+    def run(batches):
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("path", "front", "body")]
+            rows = [(path, *x) for path, front, body in zip(*columns) if body is not None for x in _lines(body, len(front))]
+            kinds = (batch.column("path").type, *_LINE_TYPES)
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["path", *_LINE])
+
+    return _bodies(notes).mapInArrow(run, T.StructType([notes.schema["path"], *T._parse_datatype_string(_STRUCTURE).fields]))
+
+
+def note_blocks(notes: DataFrame) -> DataFrame:
+    """(path, front, blocks): of each note its blocks that are not blank, in order, with their lines and the headings in force."""
+
+    def of_note(front, body):
+        out: list[dict] = []
+        for i, at, line, _, _, _, outside, block, headings in _lines(body, len(front)):
+            if outside:
+                continue
+            if not out or out[-1]["block"] != block:
+                out.append({"block": block, "headings": headings, "lines": []})
+            out[-1]["lines"].append({"i": i, "at": at, "line": line})
+        return [x for x in out if any(_FULL.search(y["line"]) for y in x["lines"])]
+
+    def run(batches):
+        for batch in batches:
+            fronts, bodies = (batch.column(c).to_pylist() for c in ("front", "body"))
+            found = [of_note(f, b) if b is not None else [] for f, b in zip(fronts, bodies)]
+            yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("front"), pa.array(found, _BLOCKS_ARROW)], ["path", "front", "blocks"])
+
+    schema = T.StructType([notes.schema["path"], T.StructField("front", T.StringType()), T.StructField("blocks", T._parse_datatype_string(_BLOCKS))])
+    return _bodies(notes).mapInArrow(run, schema)
+
+
+def blocks(notes: DataFrame) -> DataFrame:
+    """(path, block, headings, lines): a row a block."""
+    return note_blocks(notes).select("path", F.explode("blocks").alias("b")).select("path", "b.*")
 
 
 def is_table(block_lines: Column) -> Column:
@@ -125,11 +171,12 @@ def token_estimate(text: Column) -> Column:
 
 def chunk_notes(notes: DataFrame) -> DataFrame:
     """Chunks of notes (path, content): path, ordinal, heading_path, block_id, anchor, char_start, char_end, text, token_est, wikilinks."""
-    front = frontmatter(F.col("content"))
-    head = notes.where(front.rlike(FRONTMATTER_KEYS)).select("path", F.lit(0).alias("char_start"), front.alias("text"), F.array().cast("array<string>").alias("headings"))
-    body = blocks(structure(lines(notes))).select("path", "headings", F.explode(block_pieces(F.col("lines"))).alias("p")).select("path", F.col("p.at").alias("char_start"), "p.text", "headings")
-    ordinal = F.row_number().over(Window.partitionBy("path").orderBy("char_start")) - 1
-    chunks = head.unionByName(body).withColumn("ordinal", ordinal).withColumn("block_id", block_id(F.col("text")))
+    none = F.array().cast("array<struct<at: int, text: string, headings: array<string>>>")
+    front = F.struct(F.lit(0).alias("at"), F.col("front").alias("text"), F.array().cast("array<string>").alias("headings"))
+    head = F.when(F.col("front").rlike(FRONTMATTER_KEYS), F.array(front)).otherwise(none)
+    body = F.transform("blocks", lambda b: F.transform(block_pieces(b["lines"]), lambda p: F.struct(p["at"].alias("at"), p["text"].alias("text"), b["headings"].alias("headings"))))
+    pieces = note_blocks(notes).select("path", F.posexplode(F.concat(head, F.flatten(body))).alias("ordinal", "p"))
+    chunks = pieces.select("path", "ordinal", F.col("p.at").alias("char_start"), "p.text", "p.headings").withColumn("block_id", block_id(F.col("text")))
     anchor = F.coalesce(F.concat(F.lit("#^"), "block_id"), F.concat(F.lit("#"), F.try_element_at("headings", F.lit(-1))), F.concat(F.lit("#L"), F.col("ordinal").cast("string")))
     return chunks.select(
         "path", "ordinal", F.when(F.size("headings") > 0, F.array_join("headings", " > ")).alias("heading_path"), "block_id", anchor.alias("anchor"),

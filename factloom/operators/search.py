@@ -10,8 +10,8 @@ from pyspark.sql import types as T
 
 from factloom.functions.text import round3
 
-#: Queries compared with the base at a time; each block of queries is one pass over the base.
-QUERY_BLOCK = 20_000
+#: Rows of the base that one task holds.
+BASE_ROWS = 100_000
 #: Distances held at once by a task.
 _CELLS = 4_000_000
 
@@ -33,65 +33,70 @@ def nearest(base: DataFrame, query: list[float], k: int, id_column: str = "chunk
     return base.select(F.col(id_column), distance(F.col("embedding"), q).alias("distance")).orderBy("distance", id_column).limit(k)
 
 
-def _block(base: DataFrame, ids: np.ndarray, vectors: np.ndarray, k: int, id_column: str) -> DataFrame:
-    sent = base.sparkSession.sparkContext.broadcast((ids, vectors))
-
-    def run(batches):
-        ids, q = sent.value
-        for batch in batches:
-            own = batch.column(id_column).to_numpy()
-            flat = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            if not len(own) or not len(ids):
-                continue
-            x = flat.reshape(len(own), -1)
-            # of equal vectors only the k smallest ids can be among the nearest
-            _, alike = np.unique(x, axis=0, return_inverse=True)
-            order = np.lexsort((own, alike.ravel()))
-            group = alike.ravel()[order]
-            few = np.sort(order[np.arange(len(order)) - np.searchsorted(group, group) < k])
-            own, x = own[few], x[few]
-            step = max(1, _CELLS // len(own))
-            for at in range(0, len(ids), step):
-                part = q[at : at + step]
-                square = (part * part).sum(1)[:, None] - 2 * part @ x.T + (x * x).sum(1)[None, :]
-                m = min(len(own), k)
-                bound = np.partition(square, m - 1, axis=1)[:, m - 1]
-                # all rows up to a hair beyond the k-th, so that rounding cannot lose a tie; of those the k best by exact distance and id
-                row, col = np.nonzero(square <= bound[:, None] + 1e-7)
-                exact = np.zeros(len(row))
-                for c in range(x.shape[1]):
-                    exact += (x[col, c] - part[row, c]) ** 2
-                exact = np.floor(np.sqrt(exact) * 1e9 + 0.5) / 1e9
-                order = np.lexsort((own[col], exact, row))
-                row, col, exact = row[order], col[order], exact[order]
-                rank = np.arange(len(row)) - np.searchsorted(row, np.arange(len(part)))[row]
-                best = rank < k
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at + row[best]]), pa.array(own[col[best]]), pa.array(exact[best])], ["query_id", id_column, "distance"])
-
-    return base.select(id_column, "embedding").mapInArrow(run, T.StructType([T.StructField("query_id", T.LongType()), T.StructField(id_column, T.LongType()), T.StructField("distance", T.DoubleType())]))
+def _best(own: np.ndarray, x: np.ndarray, ids: np.ndarray, q: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(query, id, distance) of the k nearest rows x (ids own) to each row of q."""
+    out, step = [], max(1, _CELLS // len(own))
+    for at in range(0, len(ids), step):
+        part = q[at : at + step]
+        square = (part * part).sum(1)[:, None] - 2 * part @ x.T + (x * x).sum(1)[None, :]
+        bound = np.partition(square, min(len(own), k) - 1, axis=1)[:, min(len(own), k) - 1]
+        # all rows up to a hair beyond the k-th, so that rounding cannot lose a tie; of those the k best by exact distance and id
+        row, col = np.nonzero(square <= bound[:, None] + 1e-7)
+        exact = np.zeros(len(row))
+        for c in range(x.shape[1]):
+            exact += (x[col, c] - part[row, c]) ** 2
+        exact = np.floor(np.sqrt(exact) * 1e9 + 0.5) / 1e9
+        order = np.lexsort((own[col], exact, row))
+        row, col, exact = row[order], col[order], exact[order]
+        best = np.arange(len(row)) - np.searchsorted(row, np.arange(len(part)))[row] < k
+        out.append((ids[at + row[best]], own[col[best]], exact[best]))
+    return out
+
+
+def _few(own: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of equal vectors only the k smallest ids can be among the nearest."""
+    _, alike = np.unique(x, axis=0, return_inverse=True)
+    order = np.lexsort((own, alike.ravel()))
+    group = alike.ravel()[order]
+    few = np.sort(order[np.arange(len(order)) - np.searchsorted(group, group) < k])
+    return own[few], x[few]
 
 
 def search(base: DataFrame, queries: DataFrame, k: int, id_column: str = "chunk_id") -> DataFrame:
     """(query_id, id, distance, rank) of the k nearest base rows to each query (query_id, embedding).
 
-    Queries are sent to the tasks in blocks of QUERY_BLOCK; a task keeps k rows a query
-    and batch, so what is shuffled does not grow with the number of pairs.
+    The base is dealt out in parts of about BASE_ROWS; each query travels to every part once. A task holds its
+    part and streams the queries by, and keeps k rows a query, so neither side comes to the driver and what is
+    shuffled does not grow with the number of pairs. base is counted first, so it should be a kept table.
     """
-    found = None
-
-    def add(block):
-        nonlocal found
-        part = _block(base, np.array([r[0] for r in block], dtype=np.int64), np.array([r[1] for r in block], dtype=np.float64), k, id_column)
-        found = part if found is None else found.unionByName(part)
-
-    block = []
-    for r in queries.select("query_id", "embedding").toLocalIterator():
-        block.append(r)
-        if len(block) == QUERY_BLOCK:
-            add(block)
-            block = []
-    if block or found is None:
-        add(block)
+    parts = max(1, -(-base.count() // BASE_ROWS))
+    rows = base.select(F.pmod(F.xxhash64(id_column), F.lit(parts)).cast("int").alias("part"), F.lit(False).alias("asks"), F.col(id_column).cast("bigint").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(True).alias("asks"), F.col("query_id").cast("bigint").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+
+    def run(batches):
+        part, held, x, own = None, [], None, None
+        for batch in batches:
+            at = batch.column("part").to_numpy()
+            asks = batch.column("asks").to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero((at[1:] != at[:-1]) | (asks[1:] != asks[:-1])) + 1).tolist(), len(at)]
+            for a, b in zip(cuts, cuts[1:]):
+                if a == b:
+                    continue
+                if at[a] != part:
+                    part, held, x = at[a], [], None
+                ids = batch.column("id").slice(a, b - a).to_numpy()
+                v = batch.column("v").slice(a, b - a).flatten().to_numpy(zero_copy_only=False).reshape(b - a, -1)
+                if not asks[a]:
+                    held.append((ids, v))
+                    continue
+                if x is None and held:
+                    own, x = _few(np.concatenate([i for i, _ in held]), np.concatenate([w for _, w in held]), k)
+                    held = []
+                for found in _best(own, x, ids, v, k) if x is not None else ():
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], ["query_id", id_column, "distance"])
+
+    dealt = rows.unionByName(asked).where("v IS NOT NULL").repartition(parts, "part").sortWithinPartitions("part", "asks")
+    found = dealt.mapInArrow(run, T.StructType([T.StructField("query_id", T.LongType()), T.StructField(id_column, T.LongType()), T.StructField("distance", T.DoubleType())]))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", id_column))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 

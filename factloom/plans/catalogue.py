@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factloom import engine
+from factloom.functions.tables import kept
 from factloom.functions.text import round3
 from factloom.operators import chunking, claims, embedding, evaluation, index, judge, revisions, search, verdict
 from factloom.plans import oracle
@@ -70,12 +71,12 @@ def i8_pass_stats(spark, d):
 
 
 def _lines(spark, d):
-    return chunking.structure(chunking.lines(notes(spark, d)))
+    return chunking.structure(notes(spark, d))
 
 
 @query(oracle.CHUNKER + "SELECT path, i, pos AS char_start, length(line) AS n_chars FROM lines")
 def c3_line_offsets(spark, d):
-    return chunking.lines(notes(spark, d)).select("path", "i", F.col("at").alias("char_start"), F.length("line").alias("n_chars"))
+    return _lines(spark, d).select("path", "i", F.col("at").alias("char_start"), F.length("line").alias("n_chars"))
 
 
 @query(oracle.CHUNKER + "SELECT path, i, marker, in_fence FROM g")
@@ -95,7 +96,7 @@ def c6_breadcrumb(spark, d):
 
 @query(oracle.CHUNKER + "SELECT path, len(ls) AS n_lines, ps[1] AS char_start, array_to_string(ls, chr(10)) AS text FROM blocks")
 def c7_blocks(spark, d):
-    found = chunking.blocks(_lines(spark, d))
+    found = chunking.blocks(notes(spark, d))
     return found.select("path", F.size("lines").cast("long").alias("n_lines"), F.expr("lines[0].at").alias("char_start"), F.array_join(F.transform("lines", lambda x: x["line"]), "\n").alias("text"))
 
 
@@ -106,7 +107,7 @@ def c1_frontmatter(spark, d):
 
 @query(oracle.CHUNKER + "SELECT path, char_start, text FROM pieces_all WHERE kind = 'row'")
 def c10_table_rows(spark, d):
-    found = chunking.blocks(_lines(spark, d)).where(chunking.is_table(F.col("lines")))
+    found = chunking.blocks(notes(spark, d)).where(chunking.is_table(F.col("lines")))
     return found.select("path", F.explode(chunking.block_pieces(F.col("lines"))).alias("p")).select("path", F.col("p.at").alias("char_start"), "p.text")
 
 
@@ -201,7 +202,7 @@ def q4_hydrate(spark, d):
 
 @query(oracle.SEARCH + "SELECT query_id, rank, path || anchor AS citation, path, anchor, floor(score * 1000 + 0.5) / 1000 AS score, replace(text, chr(13), '') AS quote FROM found")
 def q6_search_projection(spark, d):
-    base = EMBEDDER.embed(chunks(spark, d))
+    base = kept(EMBEDDER.embed(chunks(spark, d)))
     asked = EMBEDDER.embed(table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"))
     return search.citations(search.hydrate(search.search(base, asked, 3), base))
 
@@ -430,7 +431,7 @@ def w6_retention(spark, d):
 def flagship_verify(spark, d):
     """Claims of the assistant's turns, searched in the corpus, judged by words, and brought to a verdict a turn."""
     turns = table(spark, d, "conversations").where("role = 'assistant'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("answer_id"), "text")
-    results = engine.verify(turns, EMBEDDER.embed(chunks(spark, d)), EMBEDDER, judge.LexicalJudge())
+    results = engine.verify(turns, kept(EMBEDDER.embed(chunks(spark, d))), EMBEDDER, judge.LexicalJudge())
     return results.select("answer_id", "verdict", "score", "summary", F.col("n_claims").cast("long").alias("n_claims"))
 
 
@@ -438,5 +439,5 @@ def flagship_verify(spark, d):
 def flagship_cite(spark, d):
     """What could be cited for the benchmark's items, judged by words."""
     asked = table(spark, d, "benchmark").select(F.col("item_id").alias("answer_id"), "text")
-    results = engine.verify(asked, EMBEDDER.embed(chunks(spark, d)), EMBEDDER, judge.LexicalJudge())
+    results = engine.verify(asked, kept(EMBEDDER.embed(chunks(spark, d))), EMBEDDER, judge.LexicalJudge())
     return verdict.cite(results).select("answer_id", "cited", F.size("citations").cast("long").alias("n_citations"), "note")
