@@ -11,11 +11,12 @@ from factloom.config import EngineConfig
 from factloom.operators import claims as C
 from factloom.operators import search as S
 from factloom.operators import verdict as V
-from factloom.operators.embedding import Embedder, KeywordEmbedder
+from factloom.functions.tables import kept
+from factloom.operators.embedding import Embedder, choose_embedder
 from factloom.operators.index import ChunkIndex
-from factloom.operators.judge import Judge, LexicalJudge
+from factloom.operators.judge import Judge, choose_judge
 from factloom.operators.revisions import NoteEditor
-from factloom.sources.vault import read_listed, text_notes
+from factloom.sources.vault import read_listed, text_notes, unreadable
 
 VERSION = "0.1.0"
 # Bounds of the inputs.
@@ -45,11 +46,17 @@ def verify(answers: DataFrame, chunks: DataFrame, embedder: Embedder, judge: Jud
 
 
 class Engine:
-    """One vault folder with its index."""
+    """One vault folder with its index.
 
-    def __init__(self, spark: SparkSession, vault: str, index_dir: str | None = None, embedder: Embedder | None = None, judge: Judge | None = None, config: EngineConfig = EngineConfig()):
+    The embedder and the judge are those given, or those that the settings choose: remote ones need an API key
+    (by default that of FACTLOOM_API_KEY) and a transport, post for embeddings and ask for judgements.
+    """
+
+    def __init__(self, spark: SparkSession, vault: str, index_dir: str | None = None, embedder: Embedder | None = None, judge: Judge | None = None, config: EngineConfig = EngineConfig(), api_key: str | None = None, post=None, ask=None):
         self.spark, self.vault, self.config = spark, vault, config
-        self.embedder, self.judge = embedder or KeywordEmbedder(), judge or LexicalJudge()
+        api_key = api_key or os.environ.get("FACTLOOM_API_KEY")
+        self.embedder = embedder or choose_embedder(config.embedding, api_key, post)
+        self.judge = judge or choose_judge(config.verifier, api_key, ask, config.verify_timeout_ms)
         home = index_dir or os.path.join(vault, ".factloom")
         self.index = ChunkIndex(spark, os.path.join(home, "index"))
         self.editor = NoteEditor(vault, os.path.join(home, "snapshots"), lambda path: self._reindexed(path))
@@ -58,11 +65,23 @@ class Engine:
         return {"message": "pong", "server": "factloom", "version": VERSION}
 
     def index_all(self, force: bool = False) -> dict[str, int]:
-        """Bring the index up to date; binary notes are left out."""
-        return self.index.update(text_notes(read_listed(self.spark, self.vault)), self.embedder, force or self.config.reindex)
+        """Bring the index up to date; binary notes are left out, and notes that cannot be read stay as they were."""
+        raw = kept(read_listed(self.spark, self.vault))
+        return self.index.update(text_notes(raw), self.embedder, force or self.config.reindex, unreadable(raw))
+
+    def _chunks(self) -> DataFrame:
+        """The chunks of the index, after a first pass if there has been none."""
+        if self.index.chunks() is None:
+            self.index_all()
+        return self.index.chunks()
 
     def _reindexed(self, path: str) -> int:
-        self.index_all()
+        """Bring one note up to date; returns its number of chunks."""
+        if self.index.manifest() is None:
+            self.index_all()
+        else:
+            note = text_notes(read_listed(self.spark, self.vault, [path]))
+            self.index.merge(note, self.spark.createDataFrame([], "path string"), self.embedder)
         return self.index.chunks().where(F.col("path") == path).count()
 
     def _answers(self, text: str | DataFrame) -> DataFrame:
@@ -81,11 +100,16 @@ class Engine:
             if not 1 <= len(query) <= LIMITS["query"]:
                 raise ValueError("a query has 1 to 1000 characters")
             query = self.spark.createDataFrame([(0, query)], "query_id bigint, text string")
-        chunks = self.index.chunks()
+        chunks = self._chunks()
         return S.citations(S.hydrate(S.search(chunks, self.embedder.embed(query), limit), chunks))
 
     def verify(self, text: str | DataFrame, sources: DataFrame | None = None) -> DataFrame:
-        return verify(self._answers(text), self.index.chunks(), self.embedder, self.judge, self.config, sources)
+        """Results for a text, or for answers (answer_id, text); sources (answer_id, path, anchor, text) take the place of the index."""
+        if sources is not None:
+            many = sources.groupBy("answer_id").agg(F.count("*").alias("n"), F.max(F.length("text")).alias("longest"))
+            if not many.where((F.col("n") > LIMITS["sources"]) | (F.col("longest") > LIMITS["source_text"])).isEmpty():
+                raise ValueError("an answer has at most 50 sources of at most 50000 characters")
+        return verify(self._answers(text), self._chunks(), self.embedder, self.judge, self.config, sources)
 
     def cite(self, text: str | DataFrame) -> DataFrame:
         answers = self._answers(text)

@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factloom.functions.tables import kept
 from factloom.operators.chunking import chunk_notes
 from factloom.operators.embedding import Embedder
 
@@ -80,17 +81,25 @@ class ChunkIndex:
         chunks = self.chunks()
         return 0 if chunks is None else chunks.where("embedding is not null").count()
 
-    def update(self, notes: DataFrame, embedder: Embedder, force: bool = False) -> dict[str, int]:
-        """One pass over all notes (path, mtime_ms, content); returns counts of notes, chunks, skipped, errored and pruned."""
-        hashed = notes.withColumn("content_hash", content_hash(F.col("content")))
-        return self._write(hashed, self._changes(hashed, embedder, force), embedder)
+    def update(self, notes: DataFrame, embedder: Embedder, force: bool = False, unreadable: DataFrame | None = None) -> dict[str, int]:
+        """One pass over all notes (path, mtime_ms, content); returns counts of notes, chunks, skipped, errored and pruned.
+
+        Notes that could not be read (unreadable: path) are counted as errored and stay as they were.
+        """
+        hashed = kept(notes.withColumn("content_hash", content_hash(F.col("content"))))
+        changes, errored = self._changes(hashed, embedder, force), 0
+        if unreadable is not None:
+            errored = unreadable.count()
+            marked = changes.join(unreadable.select("path").distinct().withColumn("__failed", F.lit(1)), "path", "left")
+            changes = marked.withColumn("op", F.when(F.col("__failed").isNotNull() & (F.col("op") == "prune"), "kept").otherwise(F.col("op"))).drop("__failed")
+        return self._write(hashed, changes, embedder) | {"errored": errored}
 
     def merge(self, notes: DataFrame, gone: DataFrame, embedder: Embedder) -> dict[str, int]:
         """The same for some notes only: those of `gone` (path) are removed, all others stay."""
-        hashed = notes.withColumn("content_hash", content_hash(F.col("content")))
+        hashed = kept(notes.withColumn("content_hash", content_hash(F.col("content"))))
         changes = self._changes(hashed, embedder, False)
-        kept = F.col("__gone").isNull() & (F.col("op") == "prune")
-        changes = changes.join(gone.select("path").distinct().withColumn("__gone", F.lit(1)), "path", "left").withColumn("op", F.when(kept, "kept").otherwise(F.col("op"))).drop("__gone")
+        stays = F.col("__gone").isNull() & (F.col("op") == "prune")
+        changes = changes.join(gone.select("path").distinct().withColumn("__gone", F.lit(1)), "path", "left").withColumn("op", F.when(stays, "kept").otherwise(F.col("op"))).drop("__gone")
         return self._write(hashed, changes, embedder)
 
     def _changes(self, hashed: DataFrame, embedder: Embedder, force: bool) -> DataFrame:

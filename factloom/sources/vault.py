@@ -34,19 +34,33 @@ def read_notes(spark: SparkSession, root: str) -> DataFrame:
     return raw.select(relative.alias("path"), F.unix_millis("modificationTime").alias("mtime_ms"), "length", "content").where(~F.col("path").rlike(rf"(\A|/)(\.[^/]*|{hidden})/"))
 
 
-def read_listed(spark: SparkSession, root: str) -> DataFrame:
-    """The same columns for exactly the files of walk(); the texts are read by the tasks, so root must be a folder that they share."""
-    paths = spark.createDataFrame([(p,) for p in walk(root)], "path string")
+def read_listed(spark: SparkSession, root: str, paths: list[str] | None = None) -> DataFrame:
+    """The same columns for exactly the files of walk(), or for some of them; the texts are read by the tasks, so root must be a folder that they share.
+
+    A file that cannot be read has a null content, and the others are read nevertheless.
+    """
+    listed = spark.createDataFrame([(p,) for p in (walk(root) if paths is None else paths)], "path string")
+
+    def one(name):
+        try:
+            file = Path(root, name)
+            return int(file.stat().st_mtime * 1000), file.read_bytes()
+        except OSError:
+            return 0, None
 
     def read(batches):
         for pdf in batches:
-            files = [Path(root, p) for p in pdf["path"]]
-            pdf["mtime_ms"] = [int(f.stat().st_mtime * 1000) for f in files]
-            pdf["content"] = [f.read_bytes() for f in files]
-            pdf["length"] = [len(c) for c in pdf["content"]]
+            found = [one(p) for p in pdf["path"]]
+            pdf["mtime_ms"], pdf["content"] = [m for m, _ in found], [c for _, c in found]
+            pdf["length"] = [0 if c is None else len(c) for _, c in found]
             yield pdf[["path", "mtime_ms", "length", "content"]]
 
-    return paths.mapInPandas(read, "path string, mtime_ms bigint, length bigint, content binary")
+    return listed.mapInPandas(read, "path string, mtime_ms bigint, length bigint, content binary")
+
+
+def unreadable(raw: DataFrame) -> DataFrame:
+    """(path) of the files that could not be read."""
+    return raw.where("content IS NULL").select("path")
 
 
 def is_binary(content: Column) -> Column:
@@ -60,5 +74,5 @@ def decode(content: Column) -> Column:
 
 
 def text_notes(raw: DataFrame) -> DataFrame:
-    """(path, mtime_ms, content) with the text of the notes that are not binary."""
+    """(path, mtime_ms, content) with the text of the notes that could be read and are not binary."""
     return raw.where(~is_binary(F.col("content"))).select("path", "mtime_ms", decode(F.col("content")).alias("content"))

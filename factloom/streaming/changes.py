@@ -31,8 +31,14 @@ def latest(log: DataFrame) -> DataFrame:
     return log.withColumn("__rank", rank).where("__rank = 1").drop("__rank")
 
 
-def follow(log: DataFrame, apply: Callable[[DataFrame, DataFrame], None], checkpoint: str, once: bool = False):
-    """Start a query over a streamed log: apply(upserts, deletes) gets the latest state of the paths in each batch."""
+def follow(log: DataFrame, apply: Callable[[DataFrame, DataFrame], None], checkpoint: str, once: bool = False, settle: str | None = None):
+    """Start a query over a streamed log: apply(upserts, deletes) gets the latest state of the paths in each batch.
+
+    With settle, a watermark such as '300 milliseconds', events are debounced in the stream: a run of events of a path is
+    passed on as its last one, once events that much later have been seen, so that a file still being written is left alone.
+    """
+    if settle is not None:
+        log = debounce(relevant(log), watermark=settle)
 
     def batch(df: DataFrame, _: int) -> None:
         now = latest(relevant(df)).persist()

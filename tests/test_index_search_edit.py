@@ -66,6 +66,38 @@ def test_engine(spark, tmp_path):
     assert cited["cited"] and cited["note"] == "Supported by 1 note passage(s)." and cited["statement"].startswith("The team")
 
 
+def test_first_search_waits_for_an_index_and_edits_touch_one_note(spark, tmp_path):
+    vault = tmp_path / "vault"
+    write(vault, a_md="# A\n\nThe team meets on Monday.\n", b_md="# B\n\nGulls again.\n")
+    engine = Engine(spark, str(vault), str(tmp_path / "home"))
+    assert engine.search("team", 1).count() == 1
+    write(vault, b_md="# B\n\nchanged outside\n")
+    token = engine.safe_edit("a.md", "Monday", "Friday").token
+    assert engine.safe_edit("a.md", "Monday", "Friday", token).reindexed_chunks == 1
+    assert {r["path"]: r["text"] for r in engine.index.chunks().collect()} == {"a.md": "The team meets on Friday.", "b.md": "Gulls again."}
+    many = spark.createDataFrame([(0, "s", "#S", "x")] * 51, "answer_id bigint, path string, anchor string, text string")
+    with pytest.raises(ValueError):
+        engine.verify("The team meets.", many)
+
+
+def test_one_unreadable_note(spark, tmp_path):
+    write(tmp_path, a_md="# A\n\none\n", b_md="# B\n\ntwo\n")
+    engine = Engine(spark, str(tmp_path), str(tmp_path / "home"))
+    engine.index_all()
+    os.remove(tmp_path / "b.md")
+    os.symlink(tmp_path / "nowhere", tmp_path / "b.md")
+    write(tmp_path, a_md="# A\n\nthree\n")
+    assert engine.index_all() == {"notes": 1, "chunks": 1, "skipped": 0, "errored": 1, "pruned": 0}
+    assert {r["text"] for r in engine.index.chunks().collect()} == {"three", "two"}
+
+
+def test_settings_choose_models(spark, tmp_path):
+    got = Engine(spark, str(tmp_path), config=EngineConfig(embedding="remote", verify_timeout_ms=7), api_key="key", post=post, ask=lambda claim, passages: "{}")
+    assert got.embedder.id == "remote" and got.judge.timeout_ms == 7
+    with pytest.raises(ValueError):
+        Engine(spark, str(tmp_path), config=EngineConfig(embedding="remote"))
+
+
 def test_model_change_rebuilds(spark, tmp_path):
     notes = spark.createDataFrame([("a.md", 1, "# A\n\ntext\n")], "path string, mtime_ms bigint, content string")
     index = ChunkIndex(spark, str(tmp_path))
