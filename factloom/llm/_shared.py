@@ -13,9 +13,11 @@ BROADCAST_ROWS = 2_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder name in the folder of spark.checkpoint.dir, or, where that is unset, in a temporary one (tests)."""
+    """A new folder name in the folder of spark.checkpoint.dir, or, where that is unset and all tasks run on this machine, in a temporary one (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("factloom.shared.dir", None)
     if not base:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="factloom-")
         spark.conf.set("factloom.shared.dir", base)
     if "://" not in base:

@@ -13,7 +13,8 @@ shuffle. Nothing about the documents leaves their task.
 Defined cases: null texts and texts without words have no hits; items without
 words or with a null id are no phrases; an item of fewer words than the window
 is one phrase; equal rows get equal results; an empty benchmark hits nothing;
-other columns stay, but for those with the names of output columns.
+other columns stay, but for those with the names of output columns; a very long text is a
+shard of its own, at about 60 bytes of memory a byte.
 """
 
 from __future__ import annotations
@@ -28,12 +29,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from factloom.llm._shared import table
-from factloom.llm._text import hashes, lower, raw, slices, words
+from factloom.llm._text import hashes, lower, raw, slices, within, words
 from factloom.llm.fm_index import FMIndex
 
 WINDOW = 10
-#: Benchmark text searched for, and broadcast, at a time.
-BLOCK_BYTES = 32 << 20
+#: Benchmark text searched for, and broadcast, at a time: about 45 times as many bytes on the driver while a block is made, a third of that in a task.
+BLOCK_BYTES = 8 << 20
 
 #: Bytes of words in lower-cased text: digits, a to z, and all that is not ASCII.
 INSIDE = np.zeros(256, dtype=bool)
@@ -56,26 +57,25 @@ class Phrases:
         start, end, first = words(lower(data), rows, INSIDE)
         h = hashes(data, start, end)
         self.vocabulary, code = np.unique(h, return_inverse=True)
-        code = code + 1
-        seen: dict[bytes, int] = {}
-        phrases, owners = [], []
-        for item, (a, b) in enumerate(zip(first[:-1], first[1:])):
-            size = min(window, b - a)
-            for p in range(a, b - size + 1 if size else a):
-                phrase = code[p : p + size]
-                k = seen.setdefault(phrase.tobytes(), len(phrases))
-                if k == len(phrases):
-                    phrases.append(phrase)
-                owners.append((k, item))
+        code = (code + 1).astype(np.int32)
+        count = np.diff(first)
+        # whole windows, and items of fewer words, filled up with zeros
+        at = within(first, window)
+        item = np.searchsorted(first, at, side="right") - 1
+        few = np.flatnonzero((count > 0) & (count < window))
+        short = np.zeros((len(few), window), dtype=np.int32)
+        inside = np.arange(window)[None, :] < count[few][:, None]
+        short[inside] = code[(first[few][:, None] + np.arange(window)[None, :])[inside]]
+        rows_ = np.concatenate([code[at[:, None] + np.arange(window)[None, :]] if len(at) else short[:0], short])
+        item = np.concatenate([item, few]).astype(np.int64)
         self.ids = ids
-        self.lengths = np.array([len(p) for p in phrases], dtype=np.int64)
-        self.codes = np.zeros((len(phrases), window), dtype=np.int64)
-        for k, p in enumerate(phrases):
-            self.codes[k, : len(p)] = p
-        pairs = np.unique(np.array(owners, dtype=np.int64).reshape(-1, 2), axis=0)
-        self.owner = pairs[:, 1]
-        self.owner_first = np.searchsorted(pairs[:, 0], np.arange(len(phrases) + 1))
-        self.shortest = int(self.lengths.min()) if len(phrases) else 0
+        _, one, k = np.unique(rows_.view([("", np.int32)] * window).ravel(), return_index=True, return_inverse=True)
+        self.codes = rows_[one].astype(np.int64)
+        self.lengths = (self.codes > 0).sum(axis=1)
+        pairs = np.unique(k.ravel() * max(1, len(ids)) + item)
+        self.owner = pairs % max(1, len(ids))
+        self.owner_first = np.searchsorted(pairs // max(1, len(ids)), np.arange(len(one) + 1))
+        self.shortest = int(self.lengths.min()) if len(one) else 0
 
     def find(self, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Occurrences in a shard: word positions, phrases and their lengths. h: word hashes; first: each row's first word."""

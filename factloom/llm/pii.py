@@ -240,9 +240,9 @@ def choose(found: list[dict], model: SpanModel) -> list[dict]:
 
 def find_personal_data(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs without the text, and with pii_spans: array of (kind, start, end, base, probability)."""
-    others = [c for c in docs.columns if c not in (text, "pii_spans", "__found")]
-    fields = [docs.schema[c] for c in others]
-    docs = docs.select(*others, text)
+    # the other columns travel as one, so that their names cannot meet those used here
+    docs = docs.select(F.struct(*[c for c in docs.columns if c not in (text, "pii_spans")]).alias("row"), text)
+    others, fields = ["row"], [docs.schema["row"]]
 
     def find(batches):
         for batch in batches:
@@ -262,7 +262,7 @@ def find_personal_data(docs: DataFrame, text: str = "text") -> DataFrame:
             rows = [choose(x, model) if x else [] for x in batch.column("__found").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), pa.array(rows, _SPAN_ARROW)], [*others, "pii_spans"])
 
-    return found.mapInArrow(pick, T.StructType([*fields, T.StructField("pii_spans", _SPAN)]))
+    return found.mapInArrow(pick, T.StructType([*fields, T.StructField("pii_spans", _SPAN)])).select("row.*", "pii_spans")
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

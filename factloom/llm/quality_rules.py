@@ -5,8 +5,10 @@ of them with bounds, and `apply_rules()` puts both into one projection: no user
 function, no shuffle, and every ratio is worked out from the whole text.
 
 Defined cases: a null text has no words; texts with fewer than 50 words fail the
-base rule; ratios over no words count as 0; other columns of the input stay as
-they are unless they have the name of an output column, which is replaced.
+base rule; ratios over no words count as 0; repeated rows are judged alike; an empty
+table gives an empty result; a very long text is judged whole, at about 200 bytes of
+memory a word; other columns of the input stay as they are unless they have the name of
+an output column, which is replaced.
 """
 
 from __future__ import annotations
@@ -145,9 +147,11 @@ def judge(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
 
 def apply_rules(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """df with the counts, `base_failed`, `failed_rules` (names) and `kept`."""
-    m = "__judged"
     out = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "failed_rules", "kept")
-    return df.withColumn(m, judge(F.col(text), rules)).withColumns({k: F.col(m)[k] for k in out}).drop(m)
+    # the other columns travel as one, so that their names cannot meet the one used here
+    others = [c for c in df.columns if c not in out]
+    judged = df.select(F.struct(*others).alias("row"), judge(F.col(text), rules).alias("judged"))
+    return judged.select(*[F.col("row")[c].alias(c) for c in others], *[F.col("judged")[k].alias(k) for k in out])
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
