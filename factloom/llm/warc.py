@@ -171,7 +171,8 @@ _LAST = 2**63  # a null page_id sorts behind all others
 def write_index(lines: DataFrame, folder: str) -> CaptureIndex:
     """Sort the lines over all tasks and write them as compressed blocks, with a directory beside each file."""
     order = [F.col("url_key").asc(), F.col("page_id").asc_nulls_last()]
-    ordered = lines.repartitionByRange(*order).sortWithinPartitions(*order, "file", "offset")
+    parts = min(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-lines.count() // BLOCK_LINES))
+    ordered = lines.repartitionByRange(max(1, parts), *order).sortWithinPartitions(*order, "file", "offset")
 
     def write(batches):
         from pyspark import TaskContext
