@@ -284,71 +284,52 @@ def test_classifiers(spark, train, flag):
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in got.collect())
 
 
-def kneser_ney(texts, order):
-    """P(byte | bytes before) of both classes by the formulas, as a function; for small corpora."""
-    counts = [{}, {}]
+def kneser_ney(texts):
+    """The log-ratio of each word, of no word too, by the formulas, as a function; for small corpora."""
+    follows = [{}, {}, {}]
     for text, y in texts:
-        padded = b"\1" * (order - 1) + text
-        for k in range(len(text)):
-            g = padded[k : k + order]
-            counts[y][g] = counts[y].get(g, 0) + 1
-    levels = {order: counts}
-    for n in range(order - 1, 0, -1):
-        levels[n] = [{}, {}]
-        for y in (0, 1):
-            for g in levels[n + 1][y]:
-                levels[n][y][g[1:]] = levels[n][y].get(g[1:], 0) + 1
-    shared = {}
-    for y in (0, 1):
-        for g, c in levels[1][y].items():
-            shared[g] = shared.get(g, 0) + c
-    every = sum(shared.values())
-
-    def discount(n, y):
-        once, twice = (sum(c == k for c in levels[n][y].values()) for k in (1, 2))
-        return min(0.95, max(0.1, once / max(1, once + 2 * twice))) if once else 0.5
-
-    discounts = {(n, y): discount(n, y) for n in levels for y in (0, 1)}
-
-    def p(g, y):
-        n = len(g)
-        if n == 0:
-            return 1.0
-        below = p(g[1:], y) if n > 1 else (shared.get(g, 0) + 1) / (every + 256)
-        own = [c for x, c in levels[n][y].items() if x[:-1] == g[:-1]]
-        if not own:
-            return below
-        d = discounts[n, y]
-        return max(levels[n][y].get(g, 0) - d, 0) / sum(own) + d * len(own) / sum(own) * below
-
-    return p
+        words = re.findall(r"\w+|[^\w\s]+", text.lower())
+        for before, word in zip([None, *words], words):
+            for table_ in (follows[y], follows[2]):
+                table_.setdefault(word, set()).add(before)
+    n = [{w: len(x) for w, x in table_.items()} for table_ in follows]
+    every = [sum(x.values()) for x in n]
+
+    def discount(y):
+        once, twice = (sum(c == k for c in n[y].values()) for k in (1, 2))
+        return min(0.95, max(0.5, once / max(1, once + 2 * twice)))
+
+    def p(word, y):
+        freed = discount(y) * len(n[y]) / every[y]
+        return max(n[y].get(word, 0) - discount(y), 0) / every[y] + freed * (n[2].get(word, 0) + 1) / (every[2] + len(n[2]) + 1)
+
+    return lambda word: np.log(p(word, 1) / p(word, 0)) - np.log(p(None, 1) / p(None, 0))
 
 
 def test_kneser_ney(spark):
-    """Log-ratios of every byte, known and unknown, are those of the formulas; no count is left out."""
+    """Log-ratios of every word, known and unknown, and the evidence are those of the formulas; no count is left out."""
     rng = random.Random(8)
-    texts = [("".join(rng.choice("abcd ") for _ in range(rng.randint(0, 25))), k % 3 == 0) for k in range(25)]
-    docs = spark.createDataFrame([(t, int(y)) for t, y in texts], "text string, __label int")
-    models = toxicity.LanguageModels(toxicity.write_models(toxicity.log_ratios(toxicity.count_sequences(docs)), shared_dir(spark)))
-    p = kneser_ney([(t.encode(), int(y)) for t, y in texts], toxicity.ORDER)
-    for t in [texts[0][0], "abca dd", "zz abcd", "é a"]:
-        own, _ = toxicity.sequences(pa.array([t]))
-        padded = b"\1" * (toxicity.ORDER - 1) + t.encode()
-        want = [np.log(p(padded[k : k + toxicity.ORDER], 1) / p(padded[k : k + toxicity.ORDER], 0)) for k in range(len(t.encode()))]
-        got = models.ratios(own)
-        # a byte that neither class has met has one shared probability, so no evidence of its own
-        assert np.allclose(got, want, atol=1e-4)
+    names = ["a", "bee", "Bee", "sea,", "dee", "\u00e9t\u00e9", "far!", "gee"]
+    texts = [(" ".join(rng.choices(names, range(1, 9) if k % 3 else range(8, 0, -1), k=rng.randint(0, 9))), int(k % 3 == 0)) for k in range(40)]
+    docs = spark.createDataFrame(texts, "text string, __label int").repartition(3)
+    models = toxicity.LanguageModels(toxicity.write_models(toxicity.log_ratios(toxicity.count_words(docs)), shared_dir(spark)))
+    want = kneser_ney(texts)
+    for t in [*(t for t, _ in texts), "unheard words, a bee", "gee", "", " \n"]:
+        own = [want(w) for w in re.findall(r"\w+|[^\w\s]+", t.lower())]
+        assert np.allclose(models.ratios(toxicity.units(pa.array([t]))[0]), own, atol=1e-5)
+        assert np.allclose(models.evidence(pa.array([t])), sum(sorted(own)[-toxicity.PASSAGE :]) / toxicity.PASSAGE, atol=1e-5)
+    assert want("unheard") == 0
 
 
 def test_models_in_parts(spark, monkeypatch):
-    docs = spark.createDataFrame([("some text of words", 0), ("some other text", 1)], "text string, __label int")
-    ratios = toxicity.log_ratios(toxicity.count_sequences(docs))
+    docs = spark.createDataFrame([("some text of many words for all to read", 0), ("some other text by one who reads", 1)], "text string, __label int")
+    ratios = toxicity.log_ratios(toxicity.count_words(docs))
     whole = toxicity.LanguageModels(toxicity.write_models(ratios, shared_dir(spark)))
-    monkeypatch.setattr(toxicity, "PART_ROWS", 20)
-    monkeypatch.setattr(toxicity, "HELD_ROWS", 30)
+    monkeypatch.setattr(toxicity, "PART_ROWS", 2)
+    monkeypatch.setattr(toxicity, "HELD_ROWS", 3)
     parts = toxicity.LanguageModels(toxicity.write_models(ratios, shared_dir(spark)))
     texts = pa.array(["some text", "other words of", "", None, "x" * 50])
-    assert len(whole.parts) == 1 and len(parts.parts) > 5 and np.array_equal(whole.evidence(texts), parts.evidence(texts))
+    assert len(whole.parts) == 1 and len(parts.parts) > 3 and np.array_equal(whole.evidence(texts), parts.evidence(texts))
 
 
 def test_evidence_grows_with_toxicity(spark):
