@@ -1,7 +1,7 @@
 """Personal data by weak supervision.
 
 One pass over the texts finds candidates: the base patterns of four kinds, and
-looser forms of more kinds. Five labelers (format, gazetteer, context words,
+looser forms of more kinds, credentials among them. Five labelers (format, gazetteer, context words,
 boundaries, digit patterns) vote -1, 0 or 1 on each. The votes are counted over
 all candidates of the corpus; expectation-maximisation estimates, from these
 counts, how often each labeler votes which way on true and on false candidates,
@@ -35,7 +35,7 @@ from factloom.llm._shared import keep, table
 from factloom.llm._text import slices
 
 BASE_KINDS = ("email", "ip", "card", "phone")
-KINDS = (*BASE_KINDS, "email_text", "phone_local", "national_id", "iban", "card_digits")
+KINDS = (*BASE_KINDS, "email_text", "phone_local", "national_id", "iban", "card_digits", "secret")
 LABELERS = ("format", "gazetteer", "context", "boundary", "digits")
 #: A loose candidate is added from this probability on.
 ACCEPT = 0.5
@@ -52,9 +52,12 @@ CUES = {
     "tel": ("tel", "phone", "call", "fax", "mobile", "cell", "anruf", "contact", "telefon", "móvil", "portable"),
     "id": ("ssn", "social", "security", "insurance", "id"),
     "bank": ("iban", "account", "konto", "compte", "cuenta", "bank"),
+    "secret": ("password", "passwd", "pwd", "passwort", "secret", "token", "key", "auth", "credential", "bearer"),
 }
+SECRET_PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xoxb-", "xoxp-", "sk-", "AIza")
+PLACEHOLDERS = ("example", "changeme", "your", "placeholder", "xxxx", "dummy", "sample")
 CONTRA_CUES = frozenset("version v release isbn issn order figure fig table page chapter section build model no nr ref".split())
-_GROUP = {"email": "mail", "email_text": "mail", "ip": "net", "card": "card", "phone": "tel", "phone_local": "tel", "national_id": "id", "iban": "bank", "card_digits": "card"}
+_GROUP = {"email": "mail", "email_text": "mail", "ip": "net", "card": "card", "phone": "tel", "phone_local": "tel", "national_id": "id", "iban": "bank", "card_digits": "card", "secret": "secret"}
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -68,9 +71,15 @@ _LOOSE = {
     # a number that the base pattern has run together with digits in front or behind
     "card_digits": re.compile(r"(?<![0-9])[0-9]{13,19}(?![0-9])"),
     "iban": re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
+    # keys with a known beginning, and what is assigned to a name of a secret; of the latter the value alone is the span
+    "secret": re.compile(
+        r"(?<![A-Za-z0-9])(?:A[KS]IA[0-9A-Z]{16}(?![A-Za-z0-9])|(?:gh[opsru]_|xox[bp]-|sk-|AIza)(?=[A-Za-z_-]*[0-9])[A-Za-z0-9_-]{16,})"
+        r"|(?:(?i:passwor[dt]|passwd|pwd|secret|token|(?:api|access|auth)[_-]?key)[\"']? ?[:=] ?|(?i:bearer) )[\"']?(?=[A-Za-z+/_.~-]*[0-9])([A-Za-z0-9+/_.~-]{12,})",
+        re.ASCII,
+    ),
 }
 #: Texts without a match hold no candidate of any kind.
-_MAY_HOLD = r"[0-9@]|[\[(](?:at|AT|dot|DOT)[\])]| dot "
+_MAY_HOLD = r"[0-9@]|[\[(](?:at|AT|dot|DOT)[\])]| dot |A[KS]IA"
 
 
 def _digits(x: str) -> str:
@@ -118,6 +127,8 @@ def _format(kind: str, value: str, valid: bool) -> int:
         return 1 if int(number) % 97 == 1 else -1
     if kind == "card_digits":
         return 1 if luhn(value) else -1
+    if kind == "secret":
+        return 1 if len(set(value)) >= 8 and any(c.isalpha() for c in value) else -1
     if kind == "national_id":
         return 1 if value[4:6] != "00" and value[7:] != "0000" else -1
     if kind == "phone_local":
@@ -141,6 +152,8 @@ def _gazetteer(kind: str, value: str) -> int:
         return 1 if d[:3] not in ("800", "900", "911") else 0
     if kind == "national_id":
         return 1 if d[:3] not in ("000", "666") and d[0] != "9" else -1
+    if kind == "secret":
+        return 1 if value.startswith(SECRET_PREFIXES) else -1 if any(p in value.lower() for p in PLACEHOLDERS) else 0
     return 1 if IBAN_LENGTHS.get(value[:2]) == len(value.replace(" ", "")) else -1
 
 
@@ -166,7 +179,7 @@ def _digit_pattern(value: str) -> int:
 def candidates(text: str) -> list[tuple[int, int, int, bool, str, int]]:
     """(kind, start, end, base, votes, shape) of all candidates of a text; shape is the length in steps of 8, up to 3."""
     found = [(k, a, b, ok, ok) for k, a, b, ok in base_matches(text) if ok or b - a >= 7]
-    found += [(k, m.start(), m.end(), False, True) for k, p in _LOOSE.items() for m in p.finditer(text)]
+    found += [(k, *m.span(m.lastindex or 0), False, True) for k, p in _LOOSE.items() for m in p.finditer(text)]
     out = []
     for kind, a, b, base, valid in found:
         value, before, after = text[a:b], text[max(0, a - 48) : a], text[b : b + 1]
@@ -270,4 +283,4 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = F.col("pii_spans")
     written = lambda x: F.array_join(F.transform(x, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     count = lambda kind: F.size(F.filter(spans, lambda s: s["base"] & (s["kind"] == kind))).cast("long")
-    return found.select("doc_id", *[count(k).alias(f"n_{k}") for k in BASE_KINDS], F.sha2(written(F.filter(spans, lambda s: s["base"])), 256).alias("base_sha256"), written(spans).alias("spans"))
+    return found.select("doc_id", *[count(k).alias(f"n_{k}") for k in BASE_KINDS], F.sha2(written(F.filter(spans, lambda s: s["base"])), 256).alias("base_sha256"), written(spans).alias("spans"), F.size(spans).cast("long").alias("n_spans"))
