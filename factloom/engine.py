@@ -25,7 +25,7 @@ LIMITS = {"query": 1000, "results": 50, "claim": 8000, "sources": 50, "source_te
 
 def verify(answers: DataFrame, chunks: DataFrame, embedder: Embedder, judge: Judge, config: EngineConfig = EngineConfig(), sources: DataFrame | None = None) -> DataFrame:
     """Results for answers (answer_id, text) against chunks with embeddings, or, where an answer has rows in sources
-    (answer_id, path, anchor, text), against those alone."""
+    (answer_id, path, anchor, text, and perhaps ordinal, else their order is that of path, anchor and text), against those alone."""
     found = C.decompose(answers)
     own = sources.select("answer_id").distinct() if sources is not None else None
     searched = found if own is None else found.join(own, "answer_id", "left_anti")
@@ -33,14 +33,15 @@ def verify(answers: DataFrame, chunks: DataFrame, embedder: Embedder, judge: Jud
     distinct = searched.select("claim").distinct().select(F.xxhash64("claim").alias("query_id"), "claim")
     hits = S.search(chunks, embedder.embed(distinct, "claim"), config.knn)
     near = S.hydrate(hits, chunks.select("chunk_id", "path", "anchor", "block_id", "heading_path", "text"))
-    columns = ["answer_id", "claim_id", "claim", "chunk_id", "distance", "score", "path", "anchor", "block_id", "heading_path", "text"]
+    columns = ["answer_id", "claim_id", "claim", "chunk_id", "distance", "score", "path", "anchor", "block_id", "heading_path", "text", "rank"]
     scored = searched.withColumn("query_id", F.xxhash64("claim")).join(near, "query_id").select(*columns)
     if sources is not None:
-        given = sources.withColumn("__i", F.row_number().over(V.Window.partitionBy("answer_id").orderBy("path", "anchor", "text")))
-        extra = found.join(given.select("answer_id", "path", "anchor", "text", (-F.col("__i")).cast("bigint").alias("chunk_id")), "answer_id")
+        order = ["ordinal"] if "ordinal" in sources.columns else []
+        given = sources.withColumn("rank", F.row_number().over(V.Window.partitionBy("answer_id").orderBy(*order, "path", "anchor", "text")))
+        extra = found.join(given.select("answer_id", "path", "anchor", "text", "rank", (-F.col("rank")).cast("bigint").alias("chunk_id")), "answer_id")
         none = F.lit(None).cast("string")
-        scored = scored.unionByName(extra.select("answer_id", "claim_id", "claim", F.col("chunk_id"), F.lit(0.0).alias("distance"), F.lit(1.0).alias("score"), "path", "anchor", none.alias("block_id"), none.alias("heading_path"), "text"))
-    passages = V.gate(scored, config.evidence_min_score).withColumn("passage", V.clean(F.col("text")))
+        scored = scored.unionByName(extra.select("answer_id", "claim_id", "claim", F.col("chunk_id"), F.lit(0.0).alias("distance"), F.lit(1.0).alias("score"), "path", "anchor", none.alias("block_id"), none.alias("heading_path"), "text", "rank"))
+    passages = V.gate(scored, config.evidence_min_score, "rank").withColumn("passage", V.clean(F.col("text")))
     judged = judge.judge(passages)
     return V.answers(answers, V.per_claim(found, judged, config), config)
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factloom.config import EngineConfig
+
 # Fixed values of the gates.
 GATES = {"refusal_precision": 0.75, "grounding_precision": 1.0, "false_refusal_rate": 0.15, "refusal_recall": 0.90}
 
@@ -15,6 +17,13 @@ def ratio(hit: Column, of: Column) -> Column:
     return F.coalesce(F.sum(F.when(of & hit, 1).otherwise(0)) / F.nullif(n, F.lit(0)), F.lit(1.0))
 
 
+def predicted(judged: DataFrame, keys: list[str], decisive: float = EngineConfig().decisive) -> DataFrame:
+    """(keys, predicted) of judged passages (keys, passage_index, label, confidence): the first label that is not neutral and confident enough, else neutral."""
+    strong = (F.col("label") != "neutral") & (F.col("confidence") >= decisive)
+    first = F.min_by("label", F.when(strong, F.col("passage_index")))
+    return judged.groupBy(*keys).agg(F.when(F.max(strong), first).otherwise("neutral").alias("predicted"))
+
+
 def verifier_metrics(rows: DataFrame) -> DataFrame:
     """One row of metrics of (gold, predicted) labels: balanced accuracy and precisions."""
     gold, said = F.col("gold"), F.col("predicted")
@@ -63,6 +72,11 @@ def percentile(values: DataFrame, column: str, p: float) -> DataFrame:
     return band.orderBy("value").offset(at - below).limit(1)
 
 
+def gate_columns(metrics: DataFrame, gates: dict[str, float] = GATES) -> DataFrame:
+    """The rule of passes() over rows of metrics: one boolean column for each gate that has its metric."""
+    return metrics.select(*[(F.col(k) <= v if k == "false_refusal_rate" else F.col(k) >= v).alias(k) for k, v in gates.items() if k in metrics.columns])
+
+
 def passes(metrics: dict[str, float], gates: dict[str, float] = GATES) -> dict[str, bool]:
     """Whether each gate among the metrics holds; the false refusal rate is an upper bound."""
     return {k: metrics[k] <= v if k == "false_refusal_rate" else metrics[k] >= v for k, v in gates.items() if k in metrics}

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions.tables import kept
-from factloom.operators.chunking import chunk_notes
+from factloom.operators.chunking import chunk_notes, link_table
 from factloom.operators.embedding import Embedder
 
 SCHEMA_VERSION = 1
@@ -77,6 +77,23 @@ class ChunkIndex:
     def chunks(self) -> DataFrame | None:
         return self._table("chunks")
 
+    def note_id(self, path: str) -> int | None:
+        """The id of a note, or none for an unknown path."""
+        row = None if self.notes() is None else self.notes().where(F.col("path") == path).select("note_id").first()
+        return row and row["note_id"]
+
+    def note_chunks(self, path: str) -> DataFrame | None:
+        """(chunk_id) of a note's chunks."""
+        return None if self.chunks() is None else self.chunks().where(F.col("path") == path).select("chunk_id")
+
+    def chunk(self, chunk_id: int) -> DataFrame | None:
+        """The chunk of that id: one row, or none."""
+        return None if self.chunks() is None else self.chunks().where(F.col("chunk_id") == chunk_id)
+
+    def links(self) -> DataFrame | None:
+        """(path, ordinal, target_note, target_anchor, alias) of all links."""
+        return None if self.chunks() is None else link_table(self.chunks())
+
     def vector_count(self) -> int:
         chunks = self.chunks()
         return 0 if chunks is None else chunks.where("embedding is not null").count()

@@ -17,9 +17,9 @@ CONTRADICTED = "Your notes contradict this — do not state it as fact."
 UNSUPPORTED = "No supporting notes found — do not state this as fact."
 
 
-def gate(scored: DataFrame, least: float) -> DataFrame:
+def gate(scored: DataFrame, least: float, ties: str = "chunk_id") -> DataFrame:
     """Passages relevant enough, numbered from 0 within their claim; (answer_id, claim_id, chunk_id, distance, score, ...)."""
-    order = Window.partitionBy("answer_id", "claim_id").orderBy("distance", "chunk_id")
+    order = Window.partitionBy("answer_id", "claim_id").orderBy("distance", ties)
     return scored.where(F.col("score") >= least).withColumn("passage_index", F.row_number().over(order) - 1)
 
 

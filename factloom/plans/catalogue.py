@@ -11,22 +11,10 @@ from factloom.functions.text import round3
 from factloom.operators import chunking, claims, embedding, evaluation, index, judge, revisions, search, verdict
 from factloom.plans import oracle
 from factloom.plans.corpus import EMBEDDER, chunks, notes, table
+from factloom.plans.registry import ORACLE_SQL, QUERIES, query  # noqa: F401  the catalogue is asked for both tables
 from factloom.sources.vault import decode, is_binary
 from factloom.streaming import changes
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return register
-
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents")
@@ -309,7 +297,7 @@ def v12_salient_terms(spark, d):
     return _turns(spark, d).select("conv_id", "turn", F.array_join(verdict.salient_terms(F.col("text")), "|").alias("terms"))
 
 
-@query(oracle.TERMS + "SELECT conv_id, turn, len(list_filter(terms, lambda t: NOT (contains(low, lower(t)) OR (length(t) >= 5 AND len(list_filter(ws, lambda w: contains(lower(t), w))) > 0)))) = 0 AS holds FROM following")
+@query(oracle.TERMS + f"SELECT conv_id, turn, {oracle.HOLDS} AS holds FROM following")
 def v13_guard(spark, d):
     after = F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))
     both = _turns(spark, d).withColumn("passage", after).where("passage IS NOT NULL")
@@ -342,7 +330,7 @@ def v19_round(spark, d):
     return table(spark, d, "events").select("event_id", round3(F.col("value")).alias("value"))
 
 
-@query(oracle.JUDGED + "SELECT answer_id, n_citations > 0 AND verdict <> 'refused' AS cited, n_citations, CASE WHEN n_citations > 0 AND verdict <> 'refused' THEN 'Supported by ' || n_citations || ' note passage(s).' WHEN against > 0 THEN 'Your notes contradict this — do not state it as fact.' ELSE 'No supporting notes found — do not state this as fact.' END AS note FROM answers LEFT JOIN cited USING (answer_id)")
+@query(oracle.JUDGED + oracle.CITED)
 def v20_cite(spark, d):
     return verdict.cite(_answers(spark, d)).select("answer_id", "cited", F.size("citations").cast("long").alias("n_citations"), "note")
 
@@ -427,7 +415,10 @@ def w6_retention(spark, d):
 # ---- all together
 
 
-@query()
+_ASKED = "SELECT conv_id * 1000 + turn AS answer_id, text FROM conversations WHERE role = 'assistant'"
+
+
+@query(oracle.verified(_ASKED) + "SELECT answer_id, verdict, score, summary, n_claims FROM answers")
 def flagship_verify(spark, d):
     """Claims of the assistant's turns, searched in the corpus, judged by words, and brought to a verdict a turn."""
     turns = table(spark, d, "conversations").where("role = 'assistant'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("answer_id"), "text")
@@ -435,9 +426,21 @@ def flagship_verify(spark, d):
     return results.select("answer_id", "verdict", "score", "summary", F.col("n_claims").cast("long").alias("n_claims"))
 
 
-@query()
+@query(oracle.verified("SELECT item_id AS answer_id, text FROM benchmark") + oracle.CITED)
 def flagship_cite(spark, d):
     """What could be cited for the benchmark's items, judged by words."""
     asked = table(spark, d, "benchmark").select(F.col("item_id").alias("answer_id"), "text")
     results = engine.verify(asked, kept(EMBEDDER.embed(chunks(spark, d))), EMBEDDER, judge.LexicalJudge())
     return verdict.cite(results).select("answer_id", "cited", F.size("citations").cast("long").alias("n_citations"), "note")
+
+
+@query(oracle.verified(_ASKED, "SELECT b.conv_id * 1000 + b.turn AS answer_id, 'c' || a.conv_id AS path, '#t' || a.turn AS anchor, a.text, -a.turn AS ordinal FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn BETWEEN b.turn - 20 AND b.turn WHERE b.role = 'assistant' AND b.conv_id % 2 = 0") + "SELECT a.answer_id, verdict, score, n_claims, n_citations FROM answers a LEFT JOIN cited USING (answer_id)")
+def s6_sources(spark, d):
+    """The same, where every second conversation's turns are judged by that turn and the 20 before it, the last one first."""
+    said = table(spark, d, "conversations")
+    turns = said.where("role = 'assistant'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("answer_id"), "conv_id", "turn", "text")
+    given = turns.where("conv_id % 2 = 0").select("answer_id", "conv_id", F.explode(F.sequence(F.greatest(F.lit(0), F.col("turn") - 20), F.col("turn"))).alias("turn")).join(said.select("conv_id", "turn", "text"), ["conv_id", "turn"])
+    sources = given.select("answer_id", F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("path"), F.concat(F.lit("#t"), F.col("turn").cast("string")).alias("anchor"), "text", (-F.col("turn")).alias("ordinal"))
+    results = engine.verify(turns.select("answer_id", "text"), kept(EMBEDDER.embed(chunks(spark, d))), EMBEDDER, judge.LexicalJudge(), sources=sources)
+    cited = verdict.cite(results).select("answer_id", F.size("citations").cast("long").alias("n_citations"))
+    return results.select("answer_id", "verdict", "score", F.col("n_claims").cast("long").alias("n_claims")).join(cited, "answer_id")

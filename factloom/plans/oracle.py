@@ -1,6 +1,7 @@
 """SQL (DuckDB) that restates the operators, for comparison; shared parts end where a query's own SELECT begins."""
 
 from factloom.operators.claims import VERBS
+from factloom.operators.judge import NEGATIONS, STOP
 from factloom.plans.corpus import CONTENT, EMBEDDER, PATH
 
 CORPUS = f"doc_id, {PATH} AS path, {CONTENT} AS content"
@@ -83,10 +84,13 @@ hits AS (SELECT query_id, chunk_id, distance, rank FROM (SELECT *, row_number()
     FROM (SELECT q.vec_id AS query_id, b.vec_id AS chunk_id, {_distance("q.e", "b.e", 64)} AS distance FROM v q, v b WHERE q.vec_id % 100 = 0)) WHERE rank <= 6)
 """
 
-SEARCH = CHUNKER + f"""
+_BASE = f"""
 , counted AS (SELECT *, CAST(regexp_extract(path, '/d([0-9]+)\\.md$', 1) AS BIGINT) * 100000 + ordinal AS chunk_id, {_embedded('text')} AS c FROM chunks),
-base AS MATERIALIZED (SELECT *, {_UNIT} AS e FROM counted),
-asked AS MATERIALIZED (SELECT item_id, {_UNIT} AS e FROM (SELECT item_id, {_embedded('text')} AS c FROM benchmark)),
+base AS MATERIALIZED (SELECT *, {_UNIT} AS e FROM counted)
+"""
+
+SEARCH = CHUNKER + _BASE + f"""
+, asked AS MATERIALIZED (SELECT item_id, {_UNIT} AS e FROM (SELECT item_id, {_embedded('text')} AS c FROM benchmark)),
 found AS (SELECT *, greatest(0.0, least(1.0, 1 - distance * distance / 2)) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id) AS rank
     FROM (SELECT item_id AS query_id, chunk_id, path, anchor, text, {_distance("asked.e", "base.e", 8)} AS distance FROM asked, base)) WHERE rank <= 3)
 """
@@ -95,43 +99,95 @@ VERB_LIST = "[" + ", ".join(f"'{v}'" for v in VERBS) + "]"
 _HAS_VERB = f"len(list_filter(regexp_extract_all({{0}}, '[A-Za-z''-]+'), lambda w: list_contains({VERB_LIST}, lower(w)))) > 0"
 _TRIM = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
 
-CLAIMS = rf"""
-WITH marked AS (SELECT conv_id, turn, {_TRIM.format("text")} AS t, regexp_replace(regexp_replace(text, '([.!?]["'')\]]*)\s+', '\1' || chr(1), 'g'), '\n+', chr(1), 'g') AS marks FROM conversations),
-listed AS (SELECT conv_id, turn, t, list_filter(list_transform(string_split(marks, chr(1)), lambda s: {_TRIM.format("s")}), lambda s: s <> '') AS ss FROM marked),
-sentences AS (SELECT conv_id, turn, i - 1 AS i, ss[i] AS s FROM (SELECT conv_id, turn, ss, unnest(range(1, len(ss) + 1)) AS i FROM listed)),
+
+def _claims(keys: str, texts: str) -> str:
+    return rf"""
+marked AS (SELECT {keys}, {_TRIM.format("text")} AS t, regexp_replace(regexp_replace(text, '([.!?]["'')\]]*)\s+', '\1' || chr(1), 'g'), '\n+', chr(1), 'g') AS marks FROM {texts}),
+listed AS (SELECT {keys}, t, list_filter(list_transform(string_split(marks, chr(1)), lambda s: {_TRIM.format("s")}), lambda s: s <> '') AS ss FROM marked),
+sentences AS (SELECT {keys}, i - 1 AS i, ss[i] AS s FROM (SELECT {keys}, ss, unnest(range(1, len(ss) + 1)) AS i FROM listed)),
 parted AS (SELECT *, list_filter(list_transform(regexp_split_to_array(s, '(?i)\s*,?\s+and\s+'), lambda p: {_TRIM.format("p")}), lambda p: p <> '') AS parts FROM sentences),
 worded AS (SELECT *, list_filter(regexp_split_to_array(coalesce(parts[1], ''), '\s+'), lambda w: w <> '') AS ws FROM parted),
 prefixed AS (SELECT *, list_filter(range(1, len(ws) + 1), lambda k: list_contains({VERB_LIST}, lower(regexp_replace(ws[k], '[^A-Za-z]', '', 'g'))))[1] AS at_verb FROM worded),
 filled AS (SELECT *, list_transform(range(1, len(parts) + 1), lambda k: CASE WHEN k = 1 OR ({_HAS_VERB.format("parts[k]")}) OR at_verb IS NULL THEN parts[k] ELSE array_to_string(ws[1:at_verb], ' ') || ' ' || parts[k] END) AS filled_parts FROM prefixed),
 split_sentences AS (SELECT *, CASE WHEN len(parts) >= 2 AND len(list_filter(filled_parts, lambda x: NOT ({_HAS_VERB.format("x")}))) = 0 THEN filled_parts ELSE [s] END AS conjuncts FROM filled),
-all_parts AS (SELECT conv_id, turn, list_filter(list_transform(flatten(list(conjuncts ORDER BY i)), lambda x: {_TRIM.format("x")}), lambda x: length(x) >= 3 AND NOT ends_with(x, '?') AND len(regexp_split_to_array(x, '\s+')) >= 2) AS cs FROM split_sentences GROUP BY conv_id, turn),
-whole AS (SELECT conv_id, turn, t, CASE WHEN t = '' THEN CAST([] AS VARCHAR[]) WHEN len(coalesce(cs, CAST([] AS VARCHAR[]))) > 0 THEN cs ELSE [t] END AS cs FROM listed LEFT JOIN all_parts USING (conv_id, turn)),
-claims AS (SELECT conv_id, turn, k - 1 AS claim_id, cs[k] AS claim FROM (SELECT conv_id, turn, cs, unnest(range(1, len(cs) + 1)) AS k FROM whole))
+all_parts AS (SELECT {keys}, list_filter(list_transform(flatten(list(conjuncts ORDER BY i)), lambda x: {_TRIM.format("x")}), lambda x: length(x) >= 3 AND NOT ends_with(x, '?') AND len(regexp_split_to_array(x, '\s+')) >= 2) AS cs FROM split_sentences GROUP BY {keys}),
+whole AS (SELECT {keys}, t, CASE WHEN t = '' THEN CAST([] AS VARCHAR[]) WHEN len(coalesce(cs, CAST([] AS VARCHAR[]))) > 0 THEN cs ELSE [t] END AS cs FROM listed LEFT JOIN all_parts USING ({keys})),
+claims AS (SELECT {keys}, k - 1 AS claim_id, cs[k] AS claim FROM (SELECT {keys}, cs, unnest(range(1, len(cs) + 1)) AS k FROM whole))
 """
 
-TERMS = r"""
-WITH tokens AS (SELECT conv_id, turn, text, list_transform(regexp_extract_all(text, '[A-Za-z0-9][A-Za-z0-9.$:%+/-]*'), lambda t: regexp_replace(t, '[.$:%+/-]+$', '')) AS ts FROM conversations),
-terms AS (SELECT conv_id, turn, text, list_transform(list_filter(range(1, len(ts) + 1), lambda k: ts[k] <> '' AND (regexp_matches(ts[k], '[0-9]') OR regexp_matches(ts[k], '[A-Z][a-z]*[A-Z]') OR regexp_matches(ts[k], '^[A-Z]{2,}$') OR (k > 1 AND regexp_matches(ts[k], '^[A-Z][a-z]{2,}$')))), lambda k: ts[k]) AS terms FROM tokens),
-following AS (SELECT *, regexp_extract_all(low, '[a-z0-9]{4,}') AS ws FROM (SELECT *, lower(lead(text) OVER (PARTITION BY conv_id ORDER BY turn)) AS low FROM terms) WHERE low IS NOT NULL)
+
+CLAIMS = "WITH" + _claims("conv_id, turn", "conversations")
+
+_TOKENS = "list_transform(regexp_extract_all({0}, '[A-Za-z0-9][A-Za-z0-9.$:%+/-]*'), lambda t: regexp_replace(t, '[.$:%+/-]+$', '')) AS ts"
+_SALIENT = "list_transform(list_filter(range(1, len(ts) + 1), lambda k: ts[k] <> '' AND (regexp_matches(ts[k], '[0-9]') OR regexp_matches(ts[k], '[A-Z][a-z]*[A-Z]') OR regexp_matches(ts[k], '^[A-Z]{2,}$') OR (k > 1 AND regexp_matches(ts[k], '^[A-Z][a-z]{2,}$')))), lambda k: ts[k]) AS terms"
+#: Over terms, the words ws and the lower-cased text low of a passage.
+HOLDS = "len(list_filter(terms, lambda t: NOT (contains(low, lower(t)) OR (length(t) >= 5 AND len(list_filter(ws, lambda w: contains(lower(t), w))) > 0)))) = 0"
+
+TERMS = f"""
+WITH tokens AS (SELECT conv_id, turn, text, {_TOKENS.format("text")} FROM conversations),
+terms AS (SELECT conv_id, turn, text, {_SALIENT} FROM tokens),
+following AS (SELECT *, regexp_extract_all(low, '[a-z0-9]{{4,}}') AS ws FROM (SELECT *, lower(lead(text) OVER (PARTITION BY conv_id ORDER BY turn)) AS low FROM terms) WHERE low IS NOT NULL)
 """
 
-JUDGED = HITS + """
-, scored AS (SELECT query_id % 700 AS answer_id, query_id AS claim_id, chunk_id, distance, greatest(0.0, least(1.0, 1 - distance * distance / 2)) AS score FROM hits),
-gated AS (SELECT *, row_number() OVER (PARTITION BY answer_id, claim_id ORDER BY distance, chunk_id) - 1 AS passage_index FROM scored WHERE score >= 0.35),
-judged AS (SELECT *, ['supported', 'neutral', 'contradicted', 'supported'][(chunk_id * 7 + claim_id // 100) % 4 + 1] AS label, ((chunk_id * 37 + claim_id) % 101) / 100 AS confidence FROM gated),
-first_strong AS (SELECT answer_id, claim_id, arg_min(label, passage_index) AS label, arg_min(confidence, passage_index) AS confidence FROM judged WHERE label <> 'neutral' AND confidence >= 0.5 GROUP BY answer_id, claim_id),
-per_claim AS (SELECT vec_id % 700 AS answer_id, vec_id AS claim_id, 'claim ' || vec_id AS claim, coalesce(first_strong.label, 'neutral') AS verdict, CASE WHEN first_strong.label = 'supported' THEN confidence ELSE 0.0 END AS score
-    FROM embeddings LEFT JOIN first_strong ON answer_id = vec_id % 700 AND claim_id = vec_id WHERE vec_id % 100 = 0),
+
+def _answers(without: str) -> str:
+    """Evidence, answers and numbers of citations, of judged, per_claim and the answers without claims."""
+    return f"""
 evidence AS (SELECT answer_id, claim_id, chunk_id, confidence, verdict, rank FROM (SELECT judged.answer_id, judged.claim_id, chunk_id, confidence, verdict, row_number() OVER (PARTITION BY judged.answer_id, judged.claim_id ORDER BY confidence DESC, passage_index) AS rank
     FROM judged JOIN per_claim ON judged.answer_id = per_claim.answer_id AND judged.claim_id = per_claim.claim_id AND label = verdict WHERE verdict <> 'neutral' AND confidence >= 0.4) WHERE rank <= 3),
 totals AS (SELECT answer_id, count(*) AS n, list_sum(list(score ORDER BY claim_id)) / count(*) AS mean, count(*) FILTER (verdict = 'supported') AS s, count(*) FILTER (verdict = 'contradicted') AS c, count(*) FILTER (verdict = 'neutral') AS u,
     bool_and(verdict = 'supported' AND score >= 0.8) AS solid, string_agg(CASE WHEN verdict = 'contradicted' OR score < 0.5 THEN claim END, ';' ORDER BY claim_id) AS refused FROM per_claim GROUP BY answer_id),
 answers AS (SELECT answer_id, n AS n_claims, floor(mean * 1000 + 0.5) / 1000 AS score, c AS against, CASE WHEN solid AND c = 0 THEN 'grounded' WHEN c > 0 OR mean < 0.5 THEN 'refused' ELSE 'flagged' END AS verdict, coalesce(refused, '') AS refused,
         s || '/' || n || ' claim(s) supported by your notes' || CASE WHEN c > 0 THEN '; ' || c || ' contradicted' ELSE '' END || CASE WHEN u > 0 THEN '; ' || u || ' unsupported' ELSE '' END || '.' AS summary FROM totals
-    UNION ALL SELECT vec_id + 100000, 0, 0.0, 0, 'refused', '', 'No verifiable claims were found in the text.' FROM embeddings WHERE vec_id < 3),
+    UNION ALL SELECT answer_id, 0, 0.0, 0, 'refused', '', 'No verifiable claims were found in the text.' FROM ({without})),
 cited AS (SELECT a.answer_id, count(e.chunk_id) AS n_citations FROM answers a LEFT JOIN evidence e ON a.answer_id = e.answer_id AND e.verdict = 'supported' GROUP BY a.answer_id)
 """
 
+
+JUDGED = HITS + """
+, scored AS (SELECT query_id % 700 AS answer_id, query_id AS claim_id, chunk_id, distance, greatest(0.0, least(1.0, 1 - distance * distance / 2)) AS score FROM hits),
+gated AS (SELECT *, row_number() OVER (PARTITION BY answer_id, claim_id ORDER BY distance, chunk_id) - 1 AS passage_index FROM scored WHERE score >= 0.35),
+judged AS (SELECT *, ['supported', 'neutral', 'contradicted', 'supported'][(chunk_id * 7 + claim_id // 100) % 4 + 1] AS label, ((chunk_id * 37 + claim_id) % 101) / 100 AS confidence FROM gated),
+first_strong AS (SELECT answer_id, claim_id, arg_min(label, passage_index) AS label, arg_min(confidence, passage_index) AS confidence FROM judged WHERE label <> 'neutral' AND confidence >= 0.5 GROUP BY answer_id, claim_id),
+per_claim AS (SELECT vec_id % 700 AS answer_id, vec_id AS claim_id, 'claim ' || vec_id AS claim, coalesce(first_strong.label, 'neutral') AS verdict, CASE WHEN first_strong.label = 'supported' THEN confidence ELSE 0.0 END AS score
+    FROM embeddings LEFT JOIN first_strong ON answer_id = vec_id % 700 AND claim_id = vec_id WHERE vec_id % 100 = 0),
+""" + _answers("SELECT vec_id + 100000 AS answer_id FROM embeddings WHERE vec_id < 3")
+
+CITED = "SELECT answer_id, n_citations > 0 AND verdict <> 'refused' AS cited, n_citations, CASE WHEN n_citations > 0 AND verdict <> 'refused' THEN 'Supported by ' || n_citations || ' note passage(s).' WHEN against > 0 THEN 'Your notes contradict this — do not state it as fact.' ELSE 'No supporting notes found — do not state this as fact.' END AS note FROM answers LEFT JOIN cited USING (answer_id)"
+
+#: A passage as a judge sees it.
+CLEAN = r"regexp_replace(regexp_replace(replace({0}, chr(13), ''), '\s*\^[A-Za-z0-9-]+\s*$', ''), '^\s+|\s+$', '', 'g')"
+
+
+def _sql_list(words: list[str]) -> str:
+    return "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + "]"
+
+
+_WORDS = "list_distinct(regexp_extract_all(lower({0}), '[a-z0-9à-ÿ'']+'))"
+_NUMBERS = "list_filter({0}, lambda x: regexp_full_match(x, '[0-9]+'))"
+
+
+def verified(answers: str, sources: str = "SELECT NULL AS answer_id, NULL AS path, NULL AS anchor, NULL AS text, NULL AS ordinal WHERE false") -> str:
+    """answers and cited for answers (answer_id, text), by search, or by sources (answer_id, path, anchor, text, ordinal) where an answer has some."""
+    return CHUNKER + _BASE + f"""
+, texts AS MATERIALIZED ({answers}), sources AS MATERIALIZED ({sources}), {_claims("answer_id", "texts")},
+claimed AS MATERIALIZED (SELECT answer_id, claim_id, claim FROM claims),
+asked AS MATERIALIZED (SELECT claim, {_UNIT} AS e FROM (SELECT claim, {_embedded("claim")} AS c FROM (SELECT DISTINCT claim FROM claimed WHERE answer_id NOT IN (SELECT answer_id FROM sources)))),
+near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY claim ORDER BY distance, chunk_id) AS rank FROM (SELECT claim, chunk_id, text, {_distance("asked.e", "base.e", 8)} AS distance FROM asked, base)) WHERE rank <= 6),
+scored AS (SELECT answer_id, claim_id, claim, chunk_id, text, distance, rank, greatest(0.0, least(1.0, 1 - distance * distance / 2)) AS score FROM claimed JOIN near USING (claim) WHERE answer_id NOT IN (SELECT answer_id FROM sources)
+    UNION ALL SELECT answer_id, claim_id, claim, -i, text, 0, i, 1.0 FROM claimed JOIN (SELECT answer_id, text, row_number() OVER (PARTITION BY answer_id ORDER BY ordinal, path, anchor, text) AS i FROM sources) USING (answer_id)),
+gated AS MATERIALIZED (SELECT *, {CLEAN.format("text")} AS passage, row_number() OVER (PARTITION BY answer_id, claim_id ORDER BY distance, rank) - 1 AS passage_index FROM scored WHERE score >= 0.35),
+compared AS (SELECT *, len(list_intersect(content, p)) / greatest(len(content), 1) AS o, list_has_any(c, {_sql_list(NEGATIONS)}) <> list_has_any(p, {_sql_list(NEGATIONS)}) AS one_negated, {_NUMBERS.format("c")} AS cn, {_NUMBERS.format("p")} AS pn
+    FROM (SELECT *, list_filter(c, lambda x: NOT list_contains({_sql_list(STOP)}, x)) AS content FROM (SELECT *, {_WORDS.format("claim")} AS c, {_WORDS.format("passage")} AS p FROM gated))),
+against AS (SELECT *, o >= 0.5 AND (one_negated OR (len(cn) > 0 AND len(pn) > 0 AND NOT list_has_any(cn, pn))) AS no FROM compared),
+judged AS MATERIALIZED (SELECT *, CASE WHEN no THEN 'contradicted' WHEN o >= 0.6 THEN 'supported' ELSE 'neutral' END AS label, CASE WHEN no THEN 0.5 + o / 2 WHEN o >= 0.6 THEN o ELSE 1 - o END AS confidence FROM against),
+decisive AS (SELECT * FROM judged WHERE label <> 'neutral' AND confidence >= 0.5 QUALIFY row_number() OVER (PARTITION BY answer_id, claim_id ORDER BY passage_index) = 1),
+guarded AS (SELECT answer_id, claim_id, CASE WHEN label = 'supported' AND NOT ({HOLDS}) THEN 'neutral' ELSE label END AS label, confidence
+    FROM (SELECT *, lower(passage) AS low, regexp_extract_all(lower(passage), '[a-z0-9]{{4,}}') AS ws, {_SALIENT} FROM (SELECT *, {_TOKENS.format("claim")} FROM decisive))),
+per_claim AS MATERIALIZED (SELECT answer_id, claim_id, claim, coalesce(label, 'neutral') AS verdict, CASE WHEN label = 'supported' THEN confidence ELSE 0.0 END AS score FROM claimed LEFT JOIN guarded USING (answer_id, claim_id)),
+""" + _answers("SELECT DISTINCT answer_id FROM texts WHERE answer_id NOT IN (SELECT answer_id FROM claimed)")
+
+
 LABELLED = """
 WITH gold AS (SELECT doc_id, CASE WHEN toxic = 1 THEN 'contradicted' WHEN quality = 1 THEN 'supported' ELSE 'neutral' END AS gold FROM labels),
 labelled AS (SELECT doc_id, gold, CASE WHEN doc_id % 10 = 0 THEN 'neutral' WHEN doc_id % 17 = 0 THEN 'contradicted' ELSE gold END AS said FROM gold),
