@@ -9,7 +9,7 @@ from factloom import engine
 from factloom.functions.tables import kept
 from factloom.functions.text import round3
 from factloom.operators import chunking, claims, embedding, evaluation, index, judge, revisions, search, verdict
-from factloom.plans import oracle
+from factloom.plans import judging, oracle, storage  # noqa: F401  two of them register queries of their own
 from factloom.plans.corpus import EMBEDDER, chunks, notes, table
 from factloom.plans.registry import ORACLE_SQL, QUERIES, query  # noqa: F401  the catalogue is asked for both tables
 from factloom.sources.vault import decode, is_binary
@@ -377,6 +377,16 @@ def m7_by_mode(spark, d):
     return evaluation.by_mode(_expected(spark, d))
 
 
+@query(oracle.LABELLED + "SELECT p1 >= 0.75 AS refusal_precision, p2 >= 1 AS grounding_precision FROM metrics")
+def m8_gates(spark, d):
+    return evaluation.gate_columns(evaluation.verifier_metrics(_labelled(spark, d)))
+
+
+@query(oracle.LABELLED + "SELECT gp >= 1 AS grounding_precision, 1 - gr <= 0.15 AS false_refusal_rate, rr >= 0.9 AS refusal_recall FROM e2e")
+def m8_e2e_gates(spark, d):
+    return evaluation.gate_columns(evaluation.e2e_metrics(_expected(spark, d)))
+
+
 # ---- changes, edits and revisions
 
 

@@ -26,8 +26,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def notes_of(docs: DataFrame) -> DataFrame:
+    return docs.selectExpr("doc_id", f"{PATH} AS path", f"{CONTENT} AS content")
+
+
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").selectExpr("doc_id", f"{PATH} AS path", f"{CONTENT} AS content")
+    return notes_of(table(spark, sf_dir, "documents"))
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:

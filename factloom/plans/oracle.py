@@ -64,6 +64,11 @@ links AS (SELECT path, ordinal, trim(regexp_extract(m, '\[\[([^\]|#]+)(#[^\]|]+)
 """
 
 
+def chunker(docs: str) -> str:
+    """CHUNKER over notes made from other rows of the columns of documents."""
+    return CHUNKER.replace("FROM documents)", f"FROM ({docs}))", 1)
+
+
 def _embedded(text: str) -> str:
     """The keyword embedding of an expression, as a list of doubles."""
     counts = ", ".join(f"CAST((length(lower({text})) - length(replace(lower({text}), '{k}', ''))) / {len(k)} AS DOUBLE)" for k in EMBEDDER.keywords)
@@ -89,6 +94,8 @@ _BASE = f"""
 base AS MATERIALIZED (SELECT *, {_UNIT} AS e FROM counted)
 """
 
+VECTORS = CHUNKER + _BASE
+
 SEARCH = CHUNKER + _BASE + f"""
 , asked AS MATERIALIZED (SELECT item_id, {_UNIT} AS e FROM (SELECT item_id, {_embedded('text')} AS c FROM benchmark)),
 found AS (SELECT *, greatest(0.0, least(1.0, 1 - distance * distance / 2)) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id) AS rank
