@@ -7,11 +7,13 @@ all candidates of the corpus; expectation-maximisation estimates, from these
 counts, how often each labeler votes which way on true and on false candidates,
 and so how likely each vote pattern is a true one. A logistic span classifier is
 then trained on those soft labels and decides which loose candidates are added.
-Base spans always stay.
+It sees the votes and, hashed, the span's characters, its length, the words and
+signs around it. Base spans always stay.
 
-What reaches the driver is one count for each pattern of kind, votes and shape:
-at most kinds * 3^5 * shapes rows, whatever the corpus. The candidates, without
-texts, are kept in the shared folder between the two passes.
+What reaches the driver is one count for each pattern of kind and votes, at most
+kinds * 3^5 rows, and for the classifier about SAMPLE distinct candidates (as
+their hash has it) with their numbers. The candidates, without texts, are kept in
+the shared folder between the two passes.
 
 Defined cases: a null text is an empty one; equal rows get equal results; a
 corpus without candidates trains nothing and adds nothing; other columns stay,
@@ -22,7 +24,7 @@ end exclusive.
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +41,8 @@ KINDS = (*BASE_KINDS, "email_text", "phone_local", "national_id", "iban", "card_
 LABELERS = ("format", "gazetteer", "context", "boundary", "digits")
 #: A loose candidate is added from this probability on.
 ACCEPT = 0.5
+#: Distinct candidates that the classifier is trained on, about, and places of its hashed features.
+SAMPLE, PLACES = 20_000, 1 << 14
 
 # Gazetteers of the labelers.
 TOP_DOMAINS = frozenset("com org net edu gov mil int info biz io co de fr es it nl be ch at uk us ca au eu pt br mx ar jp kr cn ru pl se no dk fi ie nz".split())
@@ -176,34 +180,40 @@ def _digit_pattern(value: str) -> int:
     return -1 if len(set(d)) <= 2 or d in "01234567890123456789" or d in "98765432109876543210" else 1
 
 
-def candidates(text: str) -> list[tuple[int, int, int, bool, str, int]]:
-    """(kind, start, end, base, votes, shape) of all candidates of a text; shape is the length in steps of 8, up to 3."""
+def _outline(value: str) -> str:
+    """The kinds of characters of a span, each run as one."""
+    return re.sub(r"([9aA])\1+", r"\1", re.sub("[a-z]", "a", re.sub("[A-Z]", "A", re.sub("[0-9]", "9", value))))[:24]
+
+
+def _features(kind: int, votes: str, value: str, before: str, after: str) -> list[int]:
+    """Places of the weights of a candidate: its kind, its votes, and hashes of what it and its surroundings look like."""
+    words, following = re.findall(r"[^\W\d_]+", before.lower())[-2:], re.search(r"[^\W\d_]+", after.lower())
+    seen = [_outline(value), str(min(15, len(value) // 3)), "".join(words[-1:]), "".join(words[:-1]), following.group() if following else "", _outline(before[-1:]), _outline(after[:1])]
+    own = len(KINDS) + 3 * len(LABELERS)
+    return [kind, *(len(KINDS) + 3 * j + "-0+".index(v) for j, v in enumerate(votes)), *(own + zlib.crc32(f"{kind}:{j}:{x}".encode()) % PLACES for j, x in enumerate(seen))]
+
+
+def candidates(text: str) -> list[tuple[int, int, int, bool, str, list[int]]]:
+    """(kind, start, end, base, votes, features) of all candidates of a text."""
     found = [(k, a, b, ok, ok) for k, a, b, ok in base_matches(text) if ok or b - a >= 7]
     found += [(k, *m.span(m.lastindex or 0), False, True) for k, p in _LOOSE.items() for m in p.finditer(text)]
     out = []
     for kind, a, b, base, valid in found:
-        value, before, after = text[a:b], text[max(0, a - 48) : a], text[b : b + 1]
-        votes = (_format(kind, value, valid), _gazetteer(kind, value), _context(kind, before), _boundary(before, after), _digit_pattern(value))
-        out.append((KINDS.index(kind), a, b, base, "".join("-0+"[v + 1] for v in votes), min(3, (b - a) // 8)))
+        value, before, after = text[a:b], text[max(0, a - 48) : a], text[b : b + 48]
+        votes = "".join("-0+"[v + 1] for v in (_format(kind, value, valid), _gazetteer(kind, value), _context(kind, before), _boundary(before, after), _digit_pattern(value)))
+        k = KINDS.index(kind)
+        out.append((k, a, b, base, votes, _features(k, votes, value, before, after)))
     return sorted(out)
 
 
-@dataclass(frozen=True)
-class SpanModel:
-    """Reliabilities by EM, and the trained classifier's probability of each (kind, votes, shape)."""
-
-    reliability: dict[str, tuple[float, ...]]
-    probability: dict[tuple[int, str, int], float]
-
-
-def fit(counts: list[tuple[int, str, int, int]], rounds: int = 50) -> SpanModel:
-    """EM over counted (kind, votes, shape, n) patterns, then a logistic model on its soft labels."""
+def estimate(counts: list[tuple[int, str, int]], rounds: int = 50) -> tuple[dict[str, tuple[float, ...]], dict[tuple[int, str], float]]:
+    """EM over counted (kind, votes, n) patterns: how the labelers vote on false and on true candidates, and how likely each pattern is a true one."""
     if not counts:
-        return SpanModel({}, {})
+        return {}, {}
     counts = sorted(counts)
     kind = np.array([c[0] for c in counts])
     vote = np.array([["-0+".index(v) for v in c[1]] for c in counts])
-    n = np.array([c[3] for c in counts], dtype=float)
+    n = np.array([c[2] for c in counts], dtype=float)
     one_hot = np.eye(3)[vote]  # pattern, labeler, vote
     p = 1 / (1 + np.exp(-1.5 * (vote - 1).sum(axis=1)))
     prior = np.full(len(KINDS), 0.5)
@@ -220,27 +230,41 @@ def fit(counts: list[tuple[int, str, int, int]], rounds: int = 50) -> SpanModel:
         yes = np.log(prior[kind]) + np.einsum("ijk,jk->i", one_hot, logs[0])
         no = np.log1p(-prior[kind]) + np.einsum("ijk,jk->i", one_hot, logs[1])
         p = 1 / (1 + np.exp(np.clip(no - yes, -30, 30)))
-    shape = np.eye(4)[[c[2] for c in counts]]
-    x = np.concatenate([one_hot[:, :, [0, 2]].reshape(len(counts), -1), np.eye(len(KINDS))[kind], shape], axis=1)
-    w, weight = np.zeros(x.shape[1]), n / n.sum() * min(n.sum(), 1e4)
-    for _ in range(25):  # Newton steps; the ridge keeps the system regular
-        q = 1 / (1 + np.exp(-x @ w))
-        grad = x.T @ (weight * (q - p)) + w
-        w -= np.linalg.solve((x.T * (weight * q * (1 - q))) @ x + np.eye(len(w)), grad)
-    q = 1 / (1 + np.exp(-x @ w))
     reliability = {name: tuple(chance[c, j, v] for c in (0, 1) for v in range(3)) for j, name in enumerate(LABELERS)}
-    return SpanModel(reliability, {(c[0], c[1], c[2]): float(v) for c, v in zip(counts, q)})
+    return reliability, {(c[0], c[1]): float(x) for c, x in zip(counts, p)}
+
+
+def train(sample: list[tuple[list[int], float, int]], rounds: int = 400) -> np.ndarray:
+    """Weights of the logistic span classifier from (features, soft label, n), by accelerated descent with a bound of the curvature a place; ridge 1."""
+    w = np.zeros(len(KINDS) + 3 * len(LABELERS) + PLACES)
+    if not sample:
+        return w
+    sample = sorted(sample)  # the sums of floats must not depend on the order of tasks
+    at = np.array([x[0] for x in sample])
+    target, n = np.array([x[1] for x in sample]), np.array([x[2] for x in sample], dtype=float)
+    weight = n / n.sum() * min(n.sum(), 1e4)
+    flat, each = at.ravel(), at.shape[1]
+    bound = 1 + np.bincount(flat, np.repeat(weight, each), len(w)) * each / 4
+    ahead, t = w, 1.0
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-ahead[at].sum(axis=1)))
+        new = ahead - (np.bincount(flat, np.repeat(weight * (p - target), each), len(w)) + ahead) / bound
+        t, last = (1 + (1 + 4 * t * t) ** 0.5) / 2, t
+        ahead, w = new + (last - 1) / t * (new - w), new
+    return w
 
 
-_CANDIDATE = T.ArrayType(T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("base", T.BooleanType()), T.StructField("votes", T.StringType()), T.StructField("shape", T.IntegerType())]))
-_CANDIDATE_ARROW = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_()), ("votes", pa.string()), ("shape", pa.int32())]))
+_CANDIDATE = T.ArrayType(T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("base", T.BooleanType()), T.StructField("votes", T.StringType()), T.StructField("features", T.ArrayType(T.IntegerType()))]))
+_CANDIDATE_ARROW = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_()), ("votes", pa.string()), ("features", pa.list_(pa.int32()))]))
 _SPAN = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("base", T.BooleanType()), T.StructField("probability", T.DoubleType())]))
 _SPAN_ARROW = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_()), ("probability", pa.float64())]))
 
 
-def choose(found: list[dict], model: SpanModel) -> list[dict]:
+def choose(found: list[dict], weights: np.ndarray) -> list[dict]:
     """The base spans, and the loose ones that the classifier accepts and that overlap neither those nor a likelier one."""
-    probability = lambda x: model.probability.get((x["kind"], x["votes"], x["shape"]), 0.0)
+    for x, score in zip(found, weights[np.array([x["features"] for x in found])].sum(axis=1)):
+        x["probability"] = float(1 / (1 + np.exp(-score)))
+    probability = lambda x: x["probability"]
     out = [x for x in found if x["base"]]
     taken = [(x["start"], x["end"]) for x in out]
     for x in sorted((x for x in found if x["kind"] >= len(BASE_KINDS)), key=lambda x: (-probability(x), x["start"], x["kind"])):
@@ -263,16 +287,21 @@ def find_personal_data(docs: DataFrame, text: str = "text") -> DataFrame:
                 column = part.column(text)
                 may = pc.fill_null(pc.match_substring_regex(column, _MAY_HOLD), False).to_pylist()
                 found = [candidates(column[k].as_py()) if ok else [] for k, ok in enumerate(may)]
-                rows = [[dict(zip(("kind", "start", "end", "base", "votes", "shape"), x)) for x in row] for row in found]
+                rows = [[dict(zip(("kind", "start", "end", "base", "votes", "features"), x)) for x in row] for row in found]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in others), pa.array(rows, _CANDIDATE_ARROW)], [*others, "__found"])
 
     found = keep(docs.mapInArrow(find, T.StructType([*fields, T.StructField("__found", _CANDIDATE)])))
-    patterns = found.select(F.explode("__found").alias("x")).groupBy("x.kind", "x.votes", "x.shape").count().collect()
-    model = fit([tuple(r) for r in patterns])
+    # equal candidates travel once a task, and the features hold kind and votes
+    patterns = keep(found.select(F.explode("__found").alias("x")).groupBy("x.kind", "x.votes", "x.features").count())
+    counts = patterns.groupBy("kind", "votes").agg(F.sum("count"), F.count("*")).collect()
+    _, likely = estimate([(r[0], r[1], r[2]) for r in counts])
+    share = min(1.0, SAMPLE / max(1, sum(r[3] for r in counts)))
+    chosen = patterns.where(F.pmod(F.xxhash64("features"), F.lit(1_000_000)) < int(1_000_000 * share)).collect()
+    weights = train([(list(r["features"]), likely[r["kind"], r["votes"]], r["count"]) for r in chosen])
 
     def pick(batches):
         for batch in batches:
-            rows = [choose(x, model) if x else [] for x in batch.column("__found").to_pylist()]
+            rows = [choose(x, weights) if x else [] for x in batch.column("__found").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), pa.array(rows, _SPAN_ARROW)], [*others, "pii_spans"])
 
     return found.mapInArrow(pick, T.StructType([*fields, T.StructField("pii_spans", _SPAN)])).select("row.*", "pii_spans")

@@ -82,12 +82,30 @@ def test_reliabilities():
     for _ in range(5000):
         true = rng.random() < 0.5
         votes = "".join(("+" if true == (rng.random() < p) else "-") for p in (0.95, 0.9, 0.9, 0.5, 0.9))
-        counts[4, votes, 1] = counts.get((4, votes, 1), 0) + 1
-    model = pii.fit([(*k, n) for k, n in counts.items()])
-    good, bad = model.reliability["format"], model.reliability["boundary"]
+        counts[4, votes] = counts.get((4, votes), 0) + 1
+    reliability, _ = pii.estimate([(*k, n) for k, n in counts.items()])
+    good, bad = reliability["format"], reliability["boundary"]
     assert good[2] > 0.85 and good[5] < 0.15 and abs(bad[2] - bad[5]) < 0.1
 
 
+def test_span_classifier():
+    """The weights are those of the ridge's optimum, and a word beside a span tells what the votes do not."""
+    rng = random.Random(3)
+    sample = []
+    for _ in range(400):
+        true = rng.random() < 0.5
+        before = "my number is " if true else "part number of "
+        sample.append((pii._features(6, "+00+0", f"{rng.randint(100, 999)}-12-{rng.randint(1000, 9999)}", before, " then"), 0.9 if true else 0.1, rng.randint(1, 3)))
+    w = pii.train(sample)
+    n = np.array([x[2] for x in sample], dtype=float)
+    p = 1 / (1 + np.exp(-np.array([w[x[0]].sum() for x in sample])))
+    slope = w.copy()
+    for x, error in zip(sample, n / n.sum() * min(n.sum(), 1e4) * (p - [x[1] for x in sample])):
+        slope[x[0]] += error
+    assert np.abs(slope).max() < 1e-2
+    assert all((q > 0.5) == (x[1] > 0.5) for q, x in zip(p, sample))
+
+
 @pytest.mark.parametrize(
     ("weights", "frame", "slots"),
     [
