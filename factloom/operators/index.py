@@ -9,6 +9,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from factloom.functions.tables import kept
 from factloom.operators.chunking import chunk_notes, link_table
@@ -45,13 +46,18 @@ def with_ids(chunks: DataFrame) -> DataFrame:
 
 
 class ChunkIndex:
-    """A folder with snapshots (notes, chunks) and a manifest that names the current one.
+    """A folder with snapshots (notes, chunks) in buckets of paths, and a manifest that names the snapshot of each bucket.
 
-    A pass writes a whole new snapshot and then replaces the manifest, so readers see the old or the new
-    one. Chunks of unchanged notes are copied, only changed notes are chunked and embedded. A change of
-    the embedder or its width ignores the old snapshot. The folder must be local or mounted.
+    A pass writes the buckets in which something changed into a new snapshot and then replaces the manifest, so
+    readers see the old or the new state, and a small change rewrites little. Only changed notes are chunked and
+    embedded. A change of the embedder or its width ignores what was there. The number of buckets follows the number
+    of notes at the first pass, and once there are many more of them all are dealt anew. The folder must be local or
+    mounted.
     """
 
+    #: Notes of a bucket, about, and buckets at least.
+    BUCKET_NOTES, LEAST_BUCKETS = 50_000, 8
+
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
         os.makedirs(folder, exist_ok=True)
@@ -63,13 +69,19 @@ class ChunkIndex:
     def manifest(self) -> dict | None:
         try:
             with open(self._manifest_path, encoding="utf-8") as f:
-                return json.load(f)
+                found = json.load(f)
         except FileNotFoundError:
             return None
+        return found if "buckets" in found else None  # one without is not of this layout
 
-    def _table(self, name: str) -> DataFrame | None:
+    def _table(self, name: str, only: set[str] | None = None) -> DataFrame | None:
+        """The rows of a table, or those of some buckets."""
         m = self.manifest()
-        return self.spark.read.parquet(os.path.join(self.folder, m["snapshot"], name)) if m else None
+        if m is None:
+            return None
+        paths = [os.path.join(self.folder, snapshot, name, f"bucket={k}") for k, snapshot in m[name].items() if only is None or k in only]
+        reader = self.spark.read.schema(StructType.fromJson(m["schemas"][name]))
+        return reader.parquet(*paths) if paths else self.spark.createDataFrame([], StructType.fromJson(m["schemas"][name]))
 
     def notes(self) -> DataFrame | None:
         return self._table("notes")
@@ -104,43 +116,68 @@ class ChunkIndex:
         Notes that could not be read (unreadable: path) are counted as errored and stay as they were.
         """
         hashed = kept(notes.withColumn("content_hash", content_hash(F.col("content"))))
-        changes, errored = self._changes(hashed, embedder, force), 0
+        usable, errored = self._usable(embedder, force), 0
+        changes = self._changes(hashed, self.notes() if usable else None)
         if unreadable is not None:
             errored = unreadable.count()
             marked = changes.join(unreadable.select("path").distinct().withColumn("__failed", F.lit(1)), "path", "left")
             changes = marked.withColumn("op", F.when(F.col("__failed").isNotNull() & (F.col("op") == "prune"), "kept").otherwise(F.col("op"))).drop("__failed")
-        return self._write(hashed, changes, embedder) | {"errored": errored}
+        return self._write(hashed, changes, embedder, usable) | {"errored": errored}
 
     def merge(self, notes: DataFrame, gone: DataFrame, embedder: Embedder) -> dict[str, int]:
-        """The same for some notes only: those of `gone` (path) are removed, all others stay."""
+        """The same for some notes only: those of `gone` (path) are removed, all others stay; their buckets alone are read."""
         hashed = kept(notes.withColumn("content_hash", content_hash(F.col("content"))))
-        changes = self._changes(hashed, embedder, False)
+        usable = self._usable(embedder, False)
+        indexed = None
+        if usable:
+            paths = hashed.select("path").unionByName(gone.select("path")).select(self._bucket(self.manifest()["buckets"]))
+            indexed = self._table("notes", {str(r["bucket"]) for r in paths.distinct().collect()})
+        changes = self._changes(hashed, indexed)
         stays = F.col("__gone").isNull() & (F.col("op") == "prune")
         changes = changes.join(gone.select("path").distinct().withColumn("__gone", F.lit(1)), "path", "left").withColumn("op", F.when(stays, "kept").otherwise(F.col("op"))).drop("__gone")
-        return self._write(hashed, changes, embedder)
+        return self._write(hashed, changes, embedder, usable)
 
-    def _changes(self, hashed: DataFrame, embedder: Embedder, force: bool) -> DataFrame:
+    def _usable(self, embedder: Embedder, force: bool) -> bool:
         m = self.manifest()
-        usable = m is not None and not force and (m["model"], m["dim"]) == (embedder.id, embedder.dim)
-        return classify(hashed, self.notes() if usable else self.spark.createDataFrame([], "path string, content_hash string"))
+        return m is not None and not force and (m["model"], m["dim"]) == (embedder.id, embedder.dim)
+
+    def _changes(self, hashed: DataFrame, indexed: DataFrame | None) -> DataFrame:
+        return classify(hashed, self.spark.createDataFrame([], "path string, content_hash string") if indexed is None else indexed)
+
+    @staticmethod
+    def _bucket(buckets: int) -> Column:
+        return F.pmod(F.xxhash64("path"), F.lit(buckets)).cast("int").alias("bucket")
 
-    def _write(self, hashed: DataFrame, changes: DataFrame, embedder: Embedder) -> dict[str, int]:
+    def _write(self, hashed: DataFrame, changes: DataFrame, embedder: Embedder, usable: bool) -> dict[str, int]:
         snapshot = f"v-{uuid.uuid4().hex}"
-        place = lambda name: os.path.join(self.folder, snapshot, name)
-        changes.write.parquet(place("changes"))
-        changes = self.spark.read.parquet(place("changes"))
-        stats = pass_stats(changes).first().asDict()
+        changes = kept(changes)
+        stats, m = pass_stats(changes).first().asDict(), self.manifest()
+        before = m["n_notes"] if usable else 0
+        n_notes = before - stats["pruned"] + changes.where("op = 'insert'").count()
+        wanted = max(self.LEAST_BUCKETS, -(-n_notes // self.BUCKET_NOTES))
+        buckets = m["buckets"] if usable and wanted <= 4 * m["buckets"] else wanted
+        anew = not usable or buckets != m["buckets"]
         changed = changes.where("op in ('insert', 'update')").select("path")
-        stays = changes.where("op in ('unchanged', 'kept')").select("path")
-        fresh = embedder.embed(with_ids(chunk_notes(hashed.join(changed, "path", "left_semi").select("path", "content"))))
-        fresh.write.parquet(place("chunks"))
-        stats["chunks"] = self.spark.read.parquet(place("chunks")).count()
-        rows = hashed.join(changed, "path", "left_semi").select(F.xxhash64("path").alias("note_id"), "path", "mtime_ms", "content_hash", F.lit(int(time.time() * 1000)).alias("indexed_at"))
-        rows.write.parquet(place("notes"))
-        if self.manifest():
-            self.chunks().join(stays, "path", "left_semi").write.mode("append").parquet(place("chunks"))
-            self.notes().join(stays, "path", "left_semi").write.mode("append").parquet(place("notes"))
-        self._swap({"schema_version": SCHEMA_VERSION, "model": embedder.id, "dim": embedder.dim, "snapshot": snapshot})
+        touched = {str(r["bucket"]) for r in changes.where("op in ('insert', 'update', 'prune')").select(self._bucket(buckets)).distinct().collect()}
+        fresh = {
+            "chunks": embedder.embed(with_ids(chunk_notes(hashed.join(changed, "path", "left_semi").select("path", "content")))),
+            "notes": hashed.join(changed, "path", "left_semi").select(F.xxhash64("path").alias("note_id"), "path", "mtime_ms", "content_hash", F.lit(int(time.time() * 1000)).alias("indexed_at")),
+        }
+        out = {"schema_version": SCHEMA_VERSION, "model": embedder.id, "dim": embedder.dim, "buckets": buckets, "n_notes": n_notes, "schemas": {}}
+        replaced = changes.where("op in ('insert', 'update', 'prune')").select("path")
+        for name, rows in fresh.items():
+            place = os.path.join(self.folder, snapshot, name)
+            save = lambda df, place=place: df.withColumn("bucket", self._bucket(buckets)).repartition("bucket").write.mode("append").partitionBy("bucket").parquet(place)
+            save(rows)
+            if name == "chunks":
+                stats["chunks"] = self.spark.read.schema(rows.schema).parquet(place).count()
+            if usable and (anew or touched):
+                save(self._table(name, None if anew else touched).join(replaced, "path", "left_anti"))
+            # a bucket that was written anew and has no folder is empty
+            stay = {} if anew else {k: v for k, v in m[name].items() if k not in touched}
+            out[name] = stay | {f.removeprefix("bucket="): snapshot for f in sorted(os.listdir(place)) if f.startswith("bucket=")}
+            out["schemas"][name] = m["schemas"][name] if usable else rows.schema.jsonValue()
+        self._swap(out)
         return {"notes": stats["notes"], "chunks": stats["chunks"], "skipped": stats["skipped"], "errored": 0, "pruned": stats["pruned"]}
 
     def _swap(self, manifest: dict) -> None:
@@ -151,9 +188,16 @@ class ChunkIndex:
 
     def remove(self, path: str) -> None:
         """Drop one note; nothing happens if it is unknown."""
-        if self.notes() is None or self.notes().where(F.col("path") == path).isEmpty():
+        m = self.manifest()
+        if m is None:
+            return
+        one = self.spark.createDataFrame([(path,)], "path string")
+        k = str(one.select(self._bucket(m["buckets"])).first()["bucket"])
+        if self._table("notes", {k}).where(F.col("path") == path).isEmpty():
             return
-        snapshot, m = f"v-{uuid.uuid4().hex}", self.manifest()
+        snapshot = f"v-{uuid.uuid4().hex}"
         for name in ("notes", "chunks"):
-            self._table(name).where(F.col("path") != path).write.parquet(os.path.join(self.folder, snapshot, name))
-        self._swap(m | {"snapshot": snapshot})
+            place = os.path.join(self.folder, snapshot, name, f"bucket={k}")
+            self._table(name, {k}).where(F.col("path") != path).write.parquet(place)
+            m[name] = m[name] | {k: snapshot}
+        self._swap(m | {"n_notes": m["n_notes"] - 1})

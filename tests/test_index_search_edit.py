@@ -187,3 +187,38 @@ def test_stream_equals_batch(spark, tmp_path):
 def test_decoding(spark):
     raw = spark.createDataFrame([("a", 0, bytearray(b"ok \xff x")), ("b", 0, bytearray(b"a\x00b"))], "path string, mtime_ms bigint, content binary")
     assert [(r["path"], r["content"]) for r in text_notes(raw).collect()] == [("a", "ok � x")]
+
+
+def test_small_changes_rewrite_their_buckets_only(spark, tmp_path):
+    index = ChunkIndex(spark, str(tmp_path))
+    rows = [(f"n{k}.md", 0, f"# Note {k}\n\nThe pier number {k}.") for k in range(60)]
+    notes = lambda some: spark.createDataFrame(some, "path string, mtime_ms bigint, content string")
+    paths = lambda some: spark.createDataFrame([(x,) for x in some], "path string")
+    index.update(notes(rows), KeywordEmbedder())
+    first = index.manifest()
+    assert first["buckets"] == ChunkIndex.LEAST_BUCKETS and first["n_notes"] == 60
+    stats = index.merge(notes([("n3.md", 1, "# Note 3\n\nThe pier is gone.")]), paths(["n5.md", "none.md"]), KeywordEmbedder())
+    second = index.manifest()
+    assert stats["notes"] == 1 and stats["pruned"] == 1 and second["n_notes"] == 59 == index.notes().count()
+    assert 1 <= sum(first["chunks"][k] != second["chunks"].get(k) for k in first["chunks"]) <= 2
+    assert {r["text"] for r in index.chunks().where("path = 'n3.md'").collect()} == {"The pier is gone."}
+    assert index.chunks().where("path = 'n5.md'").isEmpty() and index.vector_count() == 59
+
+
+def test_buckets_are_dealt_anew_as_notes_become_many(spark, tmp_path):
+    class Small(ChunkIndex):
+        BUCKET_NOTES, LEAST_BUCKETS = 2, 1
+
+    index = Small(spark, str(tmp_path))
+    rows = [(f"n{k}.md", 0, f"The pier number {k}.") for k in range(30)]
+    notes = lambda some: spark.createDataFrame(some, "path string, mtime_ms bigint, content string")
+    index.update(notes(rows[:2]), KeywordEmbedder())
+    assert index.manifest()["buckets"] == 1
+    index.merge(notes(rows[2:]), notes([]).select("path"), KeywordEmbedder())
+    assert index.manifest()["buckets"] == 15
+    assert sorted((r["path"], r["text"]) for r in index.chunks().collect()) == sorted((p, c) for p, _, c in rows)
+    assert index.update(notes(rows[:1]), KeywordEmbedder())["pruned"] == 29 and index.notes().count() == 1 == index.chunks().count()
+    index.remove("n0.md")
+    assert index.notes().count() == 0 == index.vector_count() and index.manifest()["n_notes"] == 0
+    index.merge(notes(rows[4:6]), notes([]).select("path"), KeywordEmbedder())
+    assert index.notes().count() == 2 == index.vector_count()
