@@ -12,6 +12,8 @@ from factloom.functions.text import round3
 
 #: Rows of the base that one task holds.
 BASE_ROWS = 100_000
+#: Rows that are worth a task of their own.
+LEAST_ROWS = 5_000
 #: Distances held at once by a task.
 _CELLS = 4_000_000
 
@@ -65,11 +67,13 @@ def _few(own: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray
 def search(base: DataFrame, queries: DataFrame, k: int, id_column: str = "chunk_id") -> DataFrame:
     """(query_id, id, distance, rank) of the k nearest base rows to each query (query_id, embedding).
 
-    The base is dealt out in parts of about BASE_ROWS; each query travels to every part once. A task holds its
+    The base is dealt out in parts of at most about BASE_ROWS; each query travels to every part once. A task holds its
     part and streams the queries by, and keeps k rows a query, so neither side comes to the driver and what is
     shuffled does not grow with the number of pairs. base is counted first, so it should be a kept table.
     """
-    parts = max(1, -(-base.count() // BASE_ROWS))
+    n = base.count()
+    # a small base is dealt to all cores
+    parts = max(1, -(-n // BASE_ROWS), min(base.sparkSession.sparkContext.defaultParallelism, -(-n // LEAST_ROWS)))
     rows = base.select(F.pmod(F.xxhash64(id_column), F.lit(parts)).cast("int").alias("part"), F.lit(False).alias("asks"), F.col(id_column).cast("bigint").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
     asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(True).alias("asks"), F.col("query_id").cast("bigint").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
 
