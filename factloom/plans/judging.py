@@ -100,8 +100,8 @@ def v7_model_judge(spark, d):
 _REMOTE = _PAIRS + f"SELECT answer_id, claim_id, passage_index, CASE WHEN {{0}} THEN 'neutral' ELSE {_LENGTHS} END AS label, CASE WHEN {{0}} THEN 0.0 ELSE least(1.0, (length(passage) % 13) / 10) END AS confidence FROM pairs"
 
 
-def _asked(spark: SparkSession, d: str, ask, timeout_ms: int = 30_000) -> DataFrame:
-    return judge.RemoteJudge("lengths", ask, timeout_ms).judge(_pairs(spark, d)).select("answer_id", "claim_id", "passage_index", "label", "confidence")
+def _asked(pairs: DataFrame, ask, timeout_ms: int = 30_000) -> DataFrame:
+    return judge.RemoteJudge("lengths", ask, timeout_ms).judge(pairs).select("answer_id", "claim_id", "passage_index", "label", "confidence")
 
 
 def _reply(claim: str, passages: list[str]) -> str:
@@ -118,20 +118,20 @@ def v8_remote_judge(spark, d):
             raise ConnectionError("no answer")
         return _reply(claim, passages)
 
-    return _asked(spark, d, ask)
+    return _asked(_pairs(spark, d), ask)
 
 
 @query(_REMOTE.format("answer_id % 29 = 0 AND claim_id = 0"))
 def v10_timeout(spark, d):
-    """A service that answers too late for the first turn of some conversations."""
-    late = frozenset(r["text"] for r in table(spark, d, "conversations").where("conv_id % 29 = 0 AND turn = 0").collect())
+    """A service that answers too late for the first turn of some conversations, whatever its text; the first character of a claim says whether it does."""
 
     def ask(claim: str, passages: list[str]) -> str:
-        if claim in late:
+        if claim[0] == "1":
             time.sleep(1.5)
-        return _reply(claim, passages)
+        return _reply(claim[1:], passages)
 
-    return _asked(spark, d, ask, 1000)
+    late = F.when((F.col("answer_id") % 29 == 0) & (F.col("claim_id") == 0), "1").otherwise("0")
+    return _asked(_pairs(spark, d).withColumn("claim", F.concat(late, "claim")), ask, 1000)
 
 
 # ---- measures

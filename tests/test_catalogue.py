@@ -52,6 +52,16 @@ def test_flagship(spark):
     assert catalogue.QUERIES["flagship_cite"](spark, SF).count() == 40
 
 
+def test_timeouts_go_by_conversation_not_by_text(spark, tmp_path):
+    said = [(c, t, "user", f"{'a shared first turn' if t == 0 else f'turn {t} of {c}'}") for c in range(3014, 3020) for t in range(4)]
+    spark.createDataFrame(said, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    for name in ("v8_remote_judge", "v10_timeout"):
+        got, want = catalogue.QUERIES[name](spark, str(tmp_path)).toPandas(), con.sql(catalogue.ORACLE_SQL[name]).df()
+        assert len(got) and rows(got, sorted(got.columns)) == rows(want, sorted(got.columns))
+
+
 def test_entry_points():
     assert set(entry.oracle_sql()) <= set(entry.queries()) and set(catalogue.QUERIES) <= set(entry.queries())
 
