@@ -16,6 +16,8 @@ BASE_ROWS = 100_000
 LEAST_ROWS = 5_000
 #: Distances held at once by a task.
 _CELLS = 4_000_000
+#: Rows of the base, and queries, that are near one another and are looked at together.
+_LEAF, _ASKED = 64, 8
 
 
 def distance(a: Column, b: Column) -> Column:
@@ -35,24 +37,72 @@ def nearest(base: DataFrame, query: list[float], k: int, id_column: str = "chunk
     return base.select(F.col(id_column), distance(F.col("embedding"), q).alias("distance")).orderBy("distance", id_column).limit(k)
 
 
-def _best(own: np.ndarray, x: np.ndarray, ids: np.ndarray, q: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(query, id, distance) of the k nearest rows x (ids own) to each row of q."""
-    out, step = [], max(1, _CELLS // len(own))
-    for at in range(0, len(ids), step):
-        part = q[at : at + step]
-        square = (part * part).sum(1)[:, None] - 2 * part @ x.T + (x * x).sum(1)[None, :]
-        bound = np.partition(square, min(len(own), k) - 1, axis=1)[:, min(len(own), k) - 1]
+def _leaves(x: np.ndarray, size: int) -> list[np.ndarray]:
+    """Groups of at most `size` rows that are near one another: cut at the median of the widest dimension, again and again."""
+    out, todo = [], [np.arange(len(x))]
+    while todo:
+        own = todo.pop()
+        if len(own) <= size:
+            out.append(own)
+            continue
+        v = x[own]
+        order = np.argpartition(v[:, (v.max(0) - v.min(0)).argmax()], len(own) // 2)
+        todo += [own[order[: len(own) // 2]], own[order[len(own) // 2 :]]]
+    return out
+
+
+class _Part:
+    """Rows x (ids own) in leaves, with the box of each leaf."""
+
+    def __init__(self, own: np.ndarray, x: np.ndarray):
+        leaves = _leaves(x, _LEAF)
+        order = np.concatenate(leaves)
+        self.own, self.x, self.square = own[order], x[order], (x[order] ** 2).sum(1)
+        self.size = np.array([len(o) for o in leaves])
+        self.first = np.cumsum(self.size) - self.size
+        self.low, self.high = np.minimum.reduceat(self.x, self.first), np.maximum.reduceat(self.x, self.first)
+
+    def rows(self, leaves: np.ndarray) -> np.ndarray:
+        size = self.size[leaves]
+        return np.repeat(self.first[leaves] - np.cumsum(size) + size, size) + np.arange(size.sum())
+
+    def best(self, ids: np.ndarray, q: np.ndarray, k: int):
+        """(query, id, distance) of the k nearest rows to each row of q, exactly; leaves that are too far from all of a group of queries are passed over."""
+        for group in _leaves(q, _ASKED):
+            part = q[group]
+            away = np.maximum(0.0, np.maximum(self.low - part.max(0), part.min(0) - self.high))
+            away = (away * away).sum(1)
+            near = np.argsort(away, kind="stable")
+            some = near[: np.searchsorted(np.cumsum(self.size[near]), max(k, 4 * _LEAF)) + 1]
+            bound = self._bound(part, self.rows(some), k)
+            reach = np.flatnonzero(away <= bound.max() + 1e-7)
+            step = max(1, _CELLS // max(1, int(self.size[reach].sum())))
+            rows = self.rows(reach)
+            for at in range(0, len(group), step):
+                yield self._best(ids[group[at : at + step]], part[at : at + step], rows, k)
+
+    def _squares(self, part: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        return (part * part).sum(1)[:, None] - 2 * part @ self.x[rows].T + self.square[rows][None, :]
+
+    def _bound(self, part: np.ndarray, rows: np.ndarray, k: int) -> np.ndarray:
+        at = min(len(rows), k) - 1
+        return np.partition(self._squares(part, rows), at, axis=1)[:, at] if len(rows) == len(self.x) or len(rows) >= k else np.full(len(part), np.inf)
+
+    def _best(self, ids: np.ndarray, part: np.ndarray, rows: np.ndarray, k: int):
+        square = self._squares(part, rows)
+        at = min(len(rows), k) - 1
+        bound = np.partition(square, at, axis=1)[:, at]
         # all rows up to a hair beyond the k-th, so that rounding cannot lose a tie; of those the k best by exact distance and id
         row, col = np.nonzero(square <= bound[:, None] + 1e-7)
+        col = rows[col]
         exact = np.zeros(len(row))
-        for c in range(x.shape[1]):
-            exact += (x[col, c] - part[row, c]) ** 2
+        for c in range(part.shape[1]):
+            exact += (self.x[col, c] - part[row, c]) ** 2
         exact = np.floor(np.sqrt(exact) * 1e9 + 0.5) / 1e9
-        order = np.lexsort((own[col], exact, row))
+        order = np.lexsort((self.own[col], exact, row))
         row, col, exact = row[order], col[order], exact[order]
         best = np.arange(len(row)) - np.searchsorted(row, np.arange(len(part)))[row] < k
-        out.append((ids[at + row[best]], own[col[best]], exact[best]))
-    return out
+        return ids[row[best]], self.own[col[best]], exact[best]
 
 
 def _few(own: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -64,21 +114,35 @@ def _few(own: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray
     return own[few], x[few]
 
 
+def _vectors(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
 def search(base: DataFrame, queries: DataFrame, k: int, id_column: str = "chunk_id") -> DataFrame:
     """(query_id, id, distance, rank) of the k nearest base rows to each query (query_id, embedding).
 
-    The base is dealt out in parts of at most about BASE_ROWS; each query travels to every part once. A task holds its
-    part and streams the queries by, and keeps k rows a query, so neither side comes to the driver and what is
-    shuffled does not grow with the number of pairs. base is counted first, so it should be a kept table.
+    Of equal vectors of the base, only the k smallest ids are dealt out, in parts of at most about BASE_ROWS; each query
+    travels to every part once. A task holds its part and streams the queries by, and keeps k rows a query, so neither
+    side comes to the driver and what is shuffled does not grow with the number of pairs. base is counted first, so it
+    should be a kept table.
     """
-    n = base.count()
+
+    def fewer(batches):
+        for batch in batches:
+            if batch.num_rows:
+                own, x = _few(batch.column("id").to_numpy(), _vectors(batch.column("v")), k)
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(list(x), pa.list_(pa.float64()))], ["id", "v"])
+
+    wide = lambda df, name: df.select(F.col(name).cast("bigint").alias("id"), F.col("embedding").cast("array<double>").alias("v")).where("v IS NOT NULL")
+    few = wide(base, id_column).mapInArrow(fewer, "id bigint, v array<double>")
+    n = few.count()
     # a small base is dealt to all cores
     parts = max(1, -(-n // BASE_ROWS), min(base.sparkSession.sparkContext.defaultParallelism, -(-n // LEAST_ROWS)))
-    rows = base.select(F.pmod(F.xxhash64(id_column), F.lit(parts)).cast("int").alias("part"), F.lit(False).alias("asks"), F.col(id_column).cast("bigint").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
-    asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(True).alias("asks"), F.col("query_id").cast("bigint").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    rows = few.select(F.pmod(F.xxhash64("v"), F.lit(parts)).cast("int").alias("part"), F.lit(False).alias("asks"), "id", "v")
+    asked = wide(queries, "query_id").select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(True).alias("asks"), "id", "v")
 
     def run(batches):
-        part, held, x, own = None, [], None, None
+        part, held, rows = None, [], None
         for batch in batches:
             at = batch.column("part").to_numpy()
             asks = batch.column("asks").to_numpy(zero_copy_only=False)
@@ -87,19 +151,19 @@ def search(base: DataFrame, queries: DataFrame, k: int, id_column: str = "chunk_
                 if a == b:
                     continue
                 if at[a] != part:
-                    part, held, x = at[a], [], None
-                ids = batch.column("id").slice(a, b - a).to_numpy()
-                v = batch.column("v").slice(a, b - a).flatten().to_numpy(zero_copy_only=False).reshape(b - a, -1)
+                    part, held, rows = at[a], [], None
+                ids, v = batch.column("id").slice(a, b - a).to_numpy(), _vectors(batch.column("v").slice(a, b - a))
                 if not asks[a]:
                     held.append((ids, v))
                     continue
-                if x is None and held:
-                    own, x = _few(np.concatenate([i for i, _ in held]), np.concatenate([w for _, w in held]), k)
+                if rows is None and held:
+                    rows = _Part(*_few(np.concatenate([i for i, _ in held]), np.concatenate([w for _, w in held]), k))
                     held = []
-                for found in _best(own, x, ids, v, k) if x is not None else ():
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], ["query_id", id_column, "distance"])
+                found = list(rows.best(ids, v, k)) if rows is not None else []
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], ["query_id", id_column, "distance"])
 
-    dealt = rows.unionByName(asked).where("v IS NOT NULL").repartition(parts, "part").sortWithinPartitions("part", "asks")
+    dealt = rows.unionByName(asked).repartition(parts, "part").sortWithinPartitions("part", "asks")
     found = dealt.mapInArrow(run, T.StructType([T.StructField("query_id", T.LongType()), T.StructField(id_column, T.LongType()), T.StructField("distance", T.DoubleType())]))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", id_column))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
