@@ -20,16 +20,12 @@
    are compared with the rest by their lanes, within tasks that hold a bounded part
    of a bucket, and only pairs that may be similar leave them; sets that small ones
    may be similar to are compared in full there, and a task sends on no more of their
-   links than join its rows. Buckets of at most DIRECT strays and buckets of prefix
-   keys, which may be the only ones a pair shares, are compared whole, in parts of
-   strays and parts of members; in those of prefix keys, pairs whose positions rule
+   links than join its rows. Buckets of all sizes are compared whole, in parts of DIRECT
+   strays and parts of PART members; in those of prefix keys, pairs whose positions rule
    them out are passed over: what two sets share from their first common shingle on is
-   at most what follows it in either. In larger buckets of bands that holds for members
-   without a second open bucket; the others meet in sub-buckets of members that share
-   a second (and third) band too. A pair at the threshold shares 12 bands on average,
-   and at most two with a probability of 1e-4: that, and 1e-6 for pairs that share no
-   band, is the one way in which a link may be lost, and only between sets of more
-   than SMALL shingles.
+   at most what follows it in either. That a pair at the threshold shares no band, with
+   a probability of 1e-6, and that fewer lanes agree than are asked for, are the ways in
+   which a link may be lost, and only between sets of more than SMALL shingles.
 
 Nothing is collected but counts. Defined cases: null and empty texts have an empty
 set and link with nothing; with fewer than five words the whole sequence is the one
@@ -59,7 +55,7 @@ BANDS = LANES // ROWS
 SMALL = 48
 #: Lanes of 256 that must agree; at a similarity of 0.75, 192 do on average, with a deviation of about 7 to 9.
 AGREE = 158
-#: Members outside its main component up to which a bucket of bands is compared directly; strays that one task holds of a bucket.
+#: Members outside its main component (strays) that one task holds of a bucket.
 DIRECT = 2048
 #: Members of a bucket that one task compares with its strays at a time.
 PART = 4096
@@ -306,17 +302,16 @@ def _compare(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.concatenate([x[k] for x in out]) if out else np.zeros(0, dtype=np.int64) for k in (0, 1))
 
 
-def _pairs(buckets: DataFrame, lanes: DataFrame, once: bool = True) -> DataFrame:
+def _pairs(buckets: DataFrame, lanes: DataFrame) -> DataFrame:
     """Candidate edges from members outside a bucket's main component to members of other components.
 
     buckets: (key, node, n, p, root, outside, stray, m). A bucket is dealt out in parts of
     PART members, each once with each part of DIRECT strays (rows marked outside, stray in
-    all); pairs are compared within a task, and only those that may be similar leave it;
-    with once, from the first bucket they share.
+    all); pairs are compared within a task, and only those that may be similar leave it,
+    from the first bucket they share.
     """
     keys = buckets.groupBy("node").agg(F.array_sort(F.collect_set("key")).alias("keys"))  # at most BANDS and a prefix
-    wide = buckets.join(lanes, "node")
-    wide = wide.join(keys, "node") if once else wide.withColumn("keys", F.array().cast("array<bigint>"))
+    wide = buckets.join(lanes, "node").join(keys, "node")
     parts, stray_parts = (F.greatest(F.lit(1), F.ceil(F.col(c) / most)).cast("int") for c, most in (("m", PART), ("stray", DIRECT)))
     each = lambda count: F.explode(F.sequence(F.lit(0), count - 1))
     columns = ["node", "n", "p", "root", "lanes", "fine", "small", "keys"]
@@ -397,26 +392,8 @@ def _open_buckets(buckets: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _candidates_of_rest(rest: DataFrame, reps: DataFrame, docs: DataFrame, text: str) -> DataFrame:
-    """Edges between members of different components: in the whole of a bucket with few strays or of a prefix key, else where members share further buckets too, or have none."""
-    lanes = _all_lanes(rest.select("node").distinct(), reps, docs, text)
-    out = _pairs(rest.where(F.col("stray") <= DIRECT), lanes)
-    others = rest.groupBy("node").agg(F.collect_set("key").alias("others"))  # at most BANDS and a prefix
-    for last in (False, True):
-        large = rest.where(F.col("stray") > DIRECT)
-        if large.isEmpty():
-            break
-        if not last:
-            # what may share this bucket alone: all pairs of a prefix key, and members of no other open bucket
-            alone = large.join(others, "node").withColumn("outside", F.when(F.col("p").isNotNull(), F.col("outside")).otherwise(F.size("others") < 2))
-            alone = keep(alone.drop("stray", "others").join(alone.where("outside").groupBy("key").agg(F.count("*").alias("stray")), "key"))
-            out = out.unionByName(_pairs(alone, lanes, once=False))
-            large = large.where("p is null")
-        # a sub-bucket: those members of a large bucket that share a further open bucket
-        two = large.join(others, "node").select("node", "n", "p", "root", F.col("key").alias("k1"), F.explode("others").alias("k2")).where("k1 <> k2")
-        mixed = F.xxhash64("k1", "k2") if last else F.xxhash64(F.least("k1", "k2"), F.greatest("k1", "k2"))
-        rest = keep(_mixed(two.select(mixed.alias("key"), "node", "n", "p", "root").distinct()))
-        out = out.unionByName(_pairs(rest if last else rest.where(F.col("stray") <= DIRECT), lanes, once=False))
-    return out.distinct()
+    """Edges between members of different components, in the whole of each bucket, however many strays it has."""
+    return _pairs(rest, _all_lanes(rest.select("node").distinct(), reps, docs, text))
 
 
 def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -392,3 +392,15 @@ def test_odd_urls_and_popular_ones(spark, monkeypatch):
 def test_url_keys():
     assert warc.url_key("http://www.A.example.com:80/x/?b=2&a=1") == "com,example,a)/x?a=1&b=2"
     assert warc.url_key("https://a.b:8443") == "b,a:8443)/"
+
+
+def test_large_bucket_is_the_only_one_that_a_pair_shares(spark, monkeypatch):
+    """Each has a further open bucket, but they share one alone, which has more strays than DIRECT."""
+    monkeypatch.setattr(near_dedup, "DIRECT", 1)
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(200))
+    docs = spark.createDataFrame([(1, text(1)), (2, text(1) + " and more"), (3, text(3)), (4, text(4))], "doc_id long, text string")
+    reps = near_dedup._sketch_table(docs, "text").selectExpr("doc_id AS node", "n_shingles AS n", "lanes", "keys", "small").cache()
+    members = [(key, node, max(own), len(own), len(own) - 1) for key, own in ((10, (1, 2, 3, 4)), (21, (1, 3)), (22, (2, 4))) for node in own]
+    rest = spark.createDataFrame(members, "key long, node long, main long, m long, stray long").join(reps.select("node", "n"), "node")
+    rest = rest.selectExpr("key", "node", "n", "CAST(null AS int) AS p", "node AS root", "m", "main", "stray", "node <> main AS outside")
+    assert [tuple(r) for r in near_dedup._candidates_of_rest(rest, reps, docs, "text").collect()] == [(1, 2)]
