@@ -385,9 +385,9 @@ def _mixed(buckets: DataFrame) -> DataFrame:
     return buckets.join(by_key, "key").withColumn("outside", F.col("root") != F.col("main"))
 
 
-def _open_buckets(buckets: DataFrame, links: DataFrame) -> DataFrame:
-    """What _mixed() gives for the components of the links so far."""
-    roots = maybe_broadcast(components(links))
+def _open_buckets(buckets: DataFrame, roots: DataFrame) -> DataFrame:
+    """What _mixed() gives for the components (node, root) of the links so far."""
+    roots = maybe_broadcast(roots)
     return keep(_mixed(buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))))
 
 
@@ -405,9 +405,10 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     rep_ids = maybe_broadcast(rep_of.select(F.col("rep").alias("doc_id"), "s1", "s2"))
     reps = keep(alive.join(rep_ids, ["doc_id", "s1", "s2"]).select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "lanes", "keys", "small").dropDuplicates(["node"]))
     buckets = _shared_buckets(reps)
-    first = _confirm(_stars(buckets, reps), docs, text)
+    first = components(_confirm(_stars(buckets, reps), docs, text))
     rest = _candidates_of_rest(_open_buckets(buckets, first), reps, docs, text)
-    roots = components(first.unionByName(_confirm(rest, docs, text)))
+    # the first links go on as the stars of their components
+    roots = components(first.toDF("a", "b").unionByName(_confirm(rest, docs, text)))
     of_rep = rep_of.join(roots, rep_of["rep"] == roots["node"], "left").select("s1", "s2", "n_shingles", F.coalesce("root", "rep").alias("component_id"))
     own = sketch.select("doc_id", "n_shingles", "s1", "s2").join(of_rep, ["s1", "s2", "n_shingles"], "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))

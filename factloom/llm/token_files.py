@@ -277,8 +277,14 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, order:
     """
     with open(tokenizer_path, encoding="utf-8") as f:
         plain = f.read()
-    whole = not splits_at_space(plain) if whole is None else whole
     model = docs.sparkSession.sparkContext.broadcast(plain)
+    if whole is None:
+        # in a task: the tokenizer would stay in the driver's memory
+        def probe(batches):
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([not splits_at_space(model.value)] * batch.num_rows, pa.bool_())], ["whole"])
+
+        whole = docs.sparkSession.range(0, 1, 1, 1).mapInArrow(probe, "whole boolean").first()["whole"]
     ordered = docs.select("doc_id", text, *[c for c in order if c != "doc_id"]).repartitionByRange(*order).sortWithinPartitions(*order, text)
 
     def write(batches):

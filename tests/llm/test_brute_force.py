@@ -1,5 +1,7 @@
 """The operators against brute force, exact round trips and held-out accuracy on small data."""
 
+import importlib
+import os
 import random
 import re
 import zlib
@@ -260,6 +262,32 @@ def test_components(spark):
     assert all(got.get(k, k) == v for k, v in root.items())
 
 
+def test_stars_take_no_round(spark, monkeypatch):
+    """Edges that are stars are components as they are: one kept table, and none for rounds."""
+    module, kept = importlib.import_module("factloom.llm.components"), []
+    monkeypatch.setattr(module, "keep", lambda df: kept.append(1) or keep(df))
+    stars = [(1, k) for k in range(2, 9)] + [(k, 10) for k in range(11, 15)] + [(3, 3)]
+    got = {tuple(r) for r in components(spark.createDataFrame(stars, "a bigint, b bigint")).collect()}
+    assert got == {(k, 1) for k in range(2, 9)} | {(k, 10) for k in range(11, 15)} and len(kept) == 1
+    assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0 and len(kept) == 2
+
+
+def test_tokenizer_is_not_read_by_the_driver(spark, monkeypatch):
+    import public_tokenizers
+
+    driver = os.getpid()
+
+    def elsewhere(model):
+        assert os.getpid() != driver
+        return True
+
+    docs = spark.createDataFrame([(1, "a few words"), (2, None)], "doc_id bigint, text string")
+    want = token_files.write_token_files(docs, shared_dir(spark), public_tokenizers.path("word_bpe_49k.json"), whole=False)
+    monkeypatch.setattr(token_files, "splits_at_space", elsewhere)
+    got = token_files.write_token_files(docs, shared_dir(spark), public_tokenizers.path("word_bpe_49k.json"))
+    assert [x["n_ids"] for x in got] == [x["n_ids"] for x in want]
+
+
 def test_fm_index():
     rng = np.random.default_rng(0)
     for symbols in (2, 5, 50):
