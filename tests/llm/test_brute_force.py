@@ -369,6 +369,60 @@ def test_kneser_ney(spark):
     assert want("unheard") == 0
 
 
+def test_kneser_ney_pairs(spark):
+    """The evidence is that of models of pairs with modified discounts, interpolated with those of words, by the formulas."""
+    rng = random.Random(9)
+    names = ["a", "bee", "sea,", "dee", "far!", "gee"]
+    texts = [(" ".join(rng.choices(names, range(1, 7) if k % 3 else range(6, 0, -1), k=rng.randint(0, 9))), int(k % 3 == 0)) for k in range(50)]
+    split = lambda t: re.findall(r"\w+|[^\w\s]+", t.lower())
+    counts = [{}, {}]
+    for t, y in texts:
+        for pair in zip([None, *split(t)], split(t)):
+            counts[y][pair] = counts[y].get(pair, 0) + 1
+    low = kneser_ney(texts)
+
+    def discounts(y):
+        n = [sum(c == k for c in counts[y].values()) for k in (1, 2, 3, 4)]
+        once = n[0] / (n[0] + 2 * n[1])
+        raw = [1 - 2 * once * n[1] / max(1, n[0]), 2 - 3 * once * n[2] / max(1, n[1]), 3 - 4 * once * n[3] / max(1, n[2])]
+        return [min(most, max(least, d)) for most, least, d in zip((1, 2, 3), toxicity.LEAST, raw)]
+
+    d = [discounts(y) for y in (0, 1)]
+    follows = [[w for _, w in x] for x in (*counts, {**counts[0], **counts[1]})]
+
+    def p_word(word, y):
+        n = {w: follows[y].count(w) for w in follows[y]}
+        once, twice = (sum(c == k for c in n.values()) for k in (1, 2))
+        own = min(0.95, max(0.5, once / max(1, once + 2 * twice)))
+        shared = (follows[2].count(word) + 1) / (len(follows[2]) + len(set(follows[2])) + 1)
+        return (max(n.get(word, 0) - own, 0) + own * len(n) * shared) / len(follows[y])
+
+    def p(before, word, y):
+        """The probability, and what the context leaves to the words."""
+        own = {w: c for (b, w), c in counts[y].items() if b == before}
+        if not own:
+            return p_word(word, y), 1
+        total, taken = sum(own.values()), {w: d[y][min(c, 3) - 1] for w, c in own.items()}
+        left = sum(taken.values()) / total
+        return (own.get(word, 0) - taken.get(word, 0)) / total + left * p_word(word, y), left
+
+    models = toxicity.fit_models(spark.createDataFrame(texts, "text string, __label int").repartition(3))
+    unmet = np.log(p_word(None, 1) / p_word(None, 0))
+    for t in [*(t for t, _ in texts), "gee unheard a", "bee gee", "gee bee", ""]:
+        pairs = list(zip([None, *split(t)], split(t)))
+        best = sorted(pairs, key=lambda x: -np.float32(low(x[1])))[: toxicity.PASSAGE]
+        want = sum(np.log(p(b, w, 1)[0] / p(b, w, 1)[1] / p(b, w, 0)[0] * p(b, w, 0)[1]) - unmet for b, w in best) / toxicity.PASSAGE
+        assert np.allclose(models.evidence(pa.array([t])), want, atol=1e-4)
+    assert any(c > 3 for c in counts[1].values()) and sum(p("a", w, 1)[0] for w in {w for t, _ in texts for w in split(t)}) < 1
+
+
+def test_order_of_words_counts(spark):
+    """Both classes have the same words, in another order."""
+    docs = spark.createDataFrame([("red blue", 1), ("blue red", 0)] * 4, "text string, __label int")
+    first, second = toxicity.fit_models(docs).evidence(pa.array(["red blue", "blue red"]))
+    assert first > 0.1 and second < -0.1
+
+
 def test_models_in_parts(spark, monkeypatch):
     docs = spark.createDataFrame([("some text of many words for all to read", 0), ("some other text by one who reads", 1)], "text string, __label int")
     ratios = toxicity.log_ratios(toxicity.count_words(docs))
